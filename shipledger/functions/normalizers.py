@@ -38,12 +38,14 @@ def quoted_define(raw: Column) -> Column:
 
 
 def decode_integer(value: Column) -> Column:
-    """20913 is 2.9.13."""
+    """20913 is 2.9.13; null stays null."""
     number = value.cast("bigint")
-    return F.concat_ws(
-        ".",
+    dot = F.lit(".")
+    return F.concat(
         F.floor(number / 10000).cast("string"),
+        dot,
         F.floor(number % 10000 / 100).cast("string"),
+        dot,
         (number % 100).cast("string"),
     )
 

@@ -154,16 +154,19 @@ def _version(runs: Column, rule: BinaryRule) -> Column:
 
 
 def extract_components(
-    artifacts: DataFrame, rules: list[BinaryRule] | None = None, keys: list[str] | None = None
+    artifacts: DataFrame,
+    rules: list[BinaryRule] | None = None,
+    keys: list[str] | None = None,
+    release_keys: list[str] | None = None,
 ) -> DataFrame:
     """Components of artifacts (``keys``, path, content): name, version, path, source.
 
     The printable runs are split once per artifact; an artifact no pattern matches gives no
-    row.
+    row. ``release_keys`` name the release when ``keys`` say more than that.
     """
     rules = binary_rules() if rules is None else rules
     keys = keys or ["product", "build_number"]
-    matched = match_rules(artifacts, rules, keys)
+    matched = match_rules(artifacts, rules, release_keys or keys)
     lengths = {r.min_length for r in rules}
     runs = F.lit(None).cast("array<string>")
     for length in sorted(lengths):

@@ -32,7 +32,7 @@ def parity_check(index: DataFrame, catalog: DataFrame, fields: list[str]) -> Dat
     """Fields that differ between index and catalogue, one row per build and field."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*KEY, F.struct(*[F.col(f).cast("string") for f in fields]).alias(name))
+        return df.select(*KEY, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(name))
 
     met = side(index, "i").join(side(catalog, "c"), KEY)
     checks = [

@@ -38,42 +38,42 @@ def _collect(checks: list[Column]) -> Column:
     return F.array_compact(F.array(*checks)).cast(VIOLATION)
 
 
-class _Value:
-    """A JSON value below a variant column, with its type."""
+def _read(variant: Column, field: str) -> Column:
+    """A JSON value below a variant as plain columns, so that its type is looked up once.
 
-    def __init__(self, variant: Column, field: str) -> None:
-        self._variant, self._path = variant, f"$.{field}"
-        self.kind = F.coalesce(
-            F.schema_of_variant(F.try_variant_get(variant, self._path, "variant")), F.lit("VOID")
-        )
-        self.is_string = self.kind == "STRING"
-        self.is_bool = self.kind == "BOOLEAN"
-        self.is_int = self.kind.isin("BIGINT", "INT")
-        self.is_list = self.kind.startswith("ARRAY")
-        self.missing = self.kind == "VOID"
+    ``kind`` is null when the field is missing and VOID for a JSON null; ``text`` and ``number``
+    are null for other types.
+    """
+    path = f"$.{field}"
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    return F.struct(
+        kind.alias("kind"),
+        F.when(kind == "STRING", F.try_variant_get(variant, path, "string")).alias("text"),
+        F.when(
+            kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(variant, path, "bigint")
+        ).alias("number"),
+    )
 
-    def get(self, kind: str) -> Column:
-        return F.try_variant_get(self._variant, self._path, kind)
 
-    @property
-    def text(self) -> Column:
-        """The text; null unless it is a non-empty string."""
-        return F.nullif(F.when(self.is_string, self.get("string")), F.lit(""))
+class _Value:
+    """Predicates on a value that :func:`_read` has looked up."""
 
-    @property
-    def flag(self) -> Column:
-        return F.coalesce(F.when(self.is_bool, self.get("boolean")), F.lit(False))
+    def __init__(self, read: Column) -> None:
+        self.kind = F.coalesce(read["kind"], F.lit("VOID"))
+        self.present = read["kind"].isNotNull()
+        self.missing = self.kind == "VOID"
+        self.is_bool = self.kind == "BOOLEAN"
+        self.is_int = self.kind == "BIGINT"
+        # The text; null unless it is a non-empty string.
+        self.text = F.nullif(read["text"], F.lit(""))
+        # The integer; a boolean counts as one, as in languages where it is a subtype.
+        self.number = read["number"]
+        self.flag = F.coalesce(self.is_bool & (read["number"] == 1), F.lit(False))
 
-    @property
-    def number(self) -> Column:
-        """The integer; a boolean counts as one, as in languages where it is a subtype."""
-        return F.when(self.is_int, self.get("bigint")).when(
-            self.is_bool, self.get("boolean").cast("bigint")
-        )
 
-    @property
-    def elements(self) -> Column:
-        return F.when(self.is_list, self.get("array<variant>"))
+def _list(variant: Column, field: str) -> Column:
+    """The elements of an array; null for anything else."""
+    return F.try_variant_get(variant, f"$.{field}", "array<variant>")
 
 
 def _date_checks(text: Column, field: str) -> list[Column]:
@@ -165,20 +165,23 @@ def _file_checks(value: dict[str, _Value], product: str) -> list[Column]:
             ),
         ]
     else:
-        sdks = value["sdks"]
         checks += [
             _violation(value["minimumOSVersion"].text.isNull(), "minimumOSVersion", "empty"),
-            _violation(~sdks.is_list | (F.size(sdks.elements) == 0), "sdks", "no_entries", WARNING),
+            _violation(F.coalesce("sdk_count", F.lit(0)) == 0, "sdks", "no_entries", WARNING),
         ]
     return checks
 
 
-def _keys(element: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(element)), F.array().cast("array<string>"))
+def _read_elements(elements: Column, fields: list[str], more=None) -> Column:
+    """Objects of an array as structs of looked-up fields; null for other elements."""
 
+    def one(element: Column) -> Column:
+        parts = [_read(element, f).alias(f) for f in fields]
+        parts += [more(element).alias("more")] if more else []
+        is_object = F.try_variant_get(element, "$", "map<string,variant>").isNotNull()
+        return F.when(is_object, F.struct(*parts))
 
-def _is_object(element: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(element).startswith("OBJECT"), F.lit(False))
+    return F.transform(elements, one)
 
 
 def _each(elements: Column, name: str, required: list[str], checks) -> Column:
@@ -186,78 +189,73 @@ def _each(elements: Column, name: str, required: list[str], checks) -> Column:
 
     def one(element: Column, position: Column) -> Column:
         label = F.concat(F.lit(f"{name}["), position.cast("string"), F.lit("]"))
-        shape = _collect([_violation(~_is_object(element), label, "not_object")])
-        absent = F.transform(
-            F.array_except(F.array(*[F.lit(r) for r in required]), _keys(element)),
-            lambda field: F.struct(
-                label.alias("field"),
-                F.lit("missing_field").alias("rule"),
-                F.lit(ERROR).alias("severity"),
-                field.alias("detail"),
-            ),
-        ).cast(VIOLATION)
-        inside = _collect(checks(element, position, label))
-        return F.when(_is_object(element), F.concat(absent, inside)).otherwise(shape)
+        absent = [
+            _violation(~_Value(element[f]).present, label, "missing_field", detail=F.lit(f))
+            for f in required
+        ]
+        shape = _collect([_violation(F.lit(True), label, "not_object")])
+        return F.when(element.isNull(), shape).otherwise(
+            _collect([*absent, *checks(element, position, label)])
+        )
 
     return F.flatten(F.transform(elements, one))
 
 
-def _component_names(elements: Column) -> Column:
-    return F.transform(elements, lambda e: F.when(_is_object(e), _Value(e, "name").text))
+def _component_names(components: Column) -> Column:
+    return F.transform(components, lambda e: F.nullif(e["name"]["text"], F.lit("")))
 
 
-def _component_checks(value: dict[str, _Value], product: str) -> Column:
-    components = value["components"]
-    elements, names = components.elements, _component_names(components.elements)
-    known = F.array_compact(names)
-    repeated = F.size(F.array_distinct(known)) < F.size(known)
+def _component_checks(product: str) -> Column:
     sources = fixed.COMPONENT_SOURCES[product]
 
     def checks(element: Column, position: Column, label: Column) -> list[Column]:
-        name, source = _Value(element, "name").text, _Value(element, "source")
-        earlier = repeated & (F.array_position(names, name) <= position)
+        name, source = _Value(element["name"]).text, _Value(element["source"]).text
+        earlier = F.col("repeated") & (F.array_position("names", name) <= position)
         return [
             _violation(name.isNull(), label, "component_name"),
             _violation(name.isNotNull() & earlier, label, "component_duplicate", detail=name),
-            _violation(_Value(element, "version").text.isNull(), label, "component_version", detail=name),
-            _violation(_Value(element, "path").text.isNull(), label, "component_path", detail=name),
             _violation(
-                ~F.coalesce(source.is_string & source.text.isin(sources), F.lit(False)),
-                label,
-                "component_source",
-                detail=source.text,
+                _Value(element["version"]).text.isNull(), label, "component_version", detail=name
+            ),
+            _violation(_Value(element["path"]).text.isNull(), label, "component_path", detail=name),
+            _violation(
+                ~F.coalesce(source.isin(sources), F.lit(False)), label, "component_source", detail=source
             ),
         ]
 
-    empty = ~components.is_list | (F.size(elements) == 0)
+    empty = F.coalesce(F.size("components"), F.lit(0)) <= 0
     return F.when(
         empty, _collect([_violation(F.lit(True), "components", "no_entries", WARNING)])
-    ).otherwise(_each(elements, "components", fixed.COMPONENT_REQUIRED, checks))
+    ).otherwise(_each(F.col("components"), "components", fixed.COMPONENT_REQUIRED, checks))
+
 
+def _kernel_devices(element: Column) -> Column:
+    devices = _list(element, "devices")
+    return F.struct(
+        F.coalesce(F.size(devices), F.lit(0)).alias("count"),
+        F.exists(devices, lambda d: F.schema_of_variant(d) != "STRING").alias("mixed"),
+    )
 
-def _kernel_checks(value: dict[str, _Value]) -> Column:
-    kernels = value["kernels"]
 
+def _kernel_checks() -> Column:
     def checks(element: Column, _: Column, label: Column) -> list[Column]:
-        devices, chip = _Value(element, "devices"), _Value(element, "chip").text
-        none = ~devices.is_list | (F.size(devices.elements) == 0)
+        none, chip = element["more"]["count"] <= 0, _Value(element["chip"]).text
         exempt = (chip == fixed.NO_DEVICE_CHIP) | (
             (chip == fixed.NO_DEVICE_VM) & F.col("build").isin(fixed.NO_DEVICE_VM_BUILDS)
         )
-        mixed = F.exists(devices.elements, lambda d: F.schema_of_variant(d) != "STRING")
         return [
             *[
-                _violation(_Value(element, f).text.isNull(), label, "kernel_field", detail=F.lit(f))
+                _violation(_Value(element[f]).text.isNull(), label, "kernel_field", detail=F.lit(f))
                 for f in ("arch", "chip", "file")
             ],
             _violation(none & ~F.coalesce(exempt, F.lit(False)), label, "no_devices", WARNING),
-            _violation(~none & mixed, label, "device_not_text"),
+            _violation(~none & element["more"]["mixed"], label, "device_not_text"),
         ]
 
-    empty = ~kernels.is_list | (F.size(kernels.elements) == 0)
+    empty = F.coalesce(F.size("kernels"), F.lit(0)) <= 0
     return F.when(
         empty, _collect([_violation(F.lit(True), "kernels", "no_entries", WARNING)])
-    ).otherwise(_each(kernels.elements, "kernels", fixed.KERNEL_REQUIRED, checks))
+    ).otherwise(_each(F.col("kernels"), "kernels", fixed.KERNEL_REQUIRED, checks))
 
 
 def catalog_documents(raw: DataFrame, product: str) -> DataFrame:
@@ -280,21 +278,42 @@ def catalog_documents(raw: DataFrame, product: str) -> DataFrame:
 
 
 def validate_documents(documents: DataFrame, product: str) -> DataFrame:
-    """Violations of single documents; one scan, no shuffle."""
+    """Violations of single documents; one scan, no shuffle.
+
+    Every value is looked up once into a plain column before the rules read it.
+    """
     required = fixed.REQUIRED_FIELDS[product]
     allowed = required + fixed.OPTIONAL_FIELDS
-    names = [*allowed]
-    value = {f: _Value(F.col("v"), f) for f in names}
+    lists = {"components", "kernels", "sdks"}
+    fields = [f for f in allowed if f not in lists]
+    v = F.col("v")
     keys = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
-    missing = F.array_except(F.array(*[F.lit(f) for f in required]), keys)
-    unexpected = F.array_except(keys, F.array(*[F.lit(f) for f in allowed]))
+    read = documents.select(
+        "file_name",
+        "build",
+        "version",
+        v.isNull().alias("invalid"),
+        F.array_except(F.array(*[F.lit(f) for f in required]), keys).alias("missing"),
+        F.array_except(keys, F.array(*[F.lit(f) for f in allowed])).alias("unexpected"),
+        *[_read(v, f).alias(f"v_{f}") for f in fields],
+        _read_elements(_list(v, "components"), fixed.COMPONENT_REQUIRED).alias("components"),
+        _read_elements(
+            _list(v, "kernels"), [f for f in fixed.KERNEL_REQUIRED], _kernel_devices
+        ).alias("kernels"),
+        F.size(_list(v, "sdks")).alias("sdk_count"),
+    ).withColumn("names", _component_names(F.col("components")))
+    known = F.array_compact("names")
+    read = read.withColumn(
+        "repeated", F.coalesce(F.size(F.array_distinct(known)) < F.size(known), F.lit(False))
+    )
 
+    value = {f: _Value(F.col(f"v_{f}")) for f in fields}
     build, version = value["buildNumber"].text, value["osVersion"].text
-    fields = _collect(
+    single = _collect(
         [
             _violation(
-                F.size(unexpected) > 0, "", "unexpected_fields", WARNING,
-                F.array_join(F.array_sort(unexpected), ","),
+                F.size("unexpected") > 0, "", "unexpected_fields", WARNING,
+                F.array_join(F.array_sort("unexpected"), ","),
             ),
             *_identity_checks(value, product, fixed.BOOL_FIELDS[product]),
             _violation(build != F.col("build"), "buildNumber", "file_name_build", detail=build),
@@ -303,17 +322,19 @@ def validate_documents(documents: DataFrame, product: str) -> DataFrame:
             *_file_checks(value, product),
         ]
     )
-    found = F.concat(fields, _component_checks(value, product))
+    parts = [single, _component_checks(product)]
     if product == "macOS":
-        found = F.concat(found, _kernel_checks(value))
+        parts.append(_kernel_checks())
     broken = _collect([_violation(F.lit(True), "", "invalid_json")])
     incomplete = _collect(
-        [_violation(F.lit(True), "", "missing_fields", detail=F.array_join(missing, ","))]
+        [_violation(F.lit(True), "", "missing_fields", detail=F.array_join("missing", ","))]
     )
-    all_found = (
-        F.when(F.col("v").isNull(), broken).when(F.size(missing) > 0, incomplete).otherwise(found)
+    found = (
+        F.when(F.col("invalid"), broken)
+        .when(F.size("missing") > 0, incomplete)
+        .otherwise(F.concat(*parts))
     )
-    return documents.select("file_name", "build", F.explode(all_found).alias("x")).select(
+    return read.select("file_name", "build", F.explode(found).alias("x")).select(
         "file_name", "build", "x.*"
     )
 
@@ -362,11 +383,11 @@ def _document_components(documents: DataFrame, product: str) -> DataFrame:
     complete = documents.where(
         F.col("v").isNotNull() & (F.size(F.array_except(required, keys)) == 0)
     )
-    names = _component_names(_Value(F.col("v"), "components").elements)
+    elements = _read_elements(_list(F.col("v"), "components"), ["name"])
     return complete.select(
         F.lit(product).alias("product"),
         F.col("file_name").alias("build_number"),
-        F.explode(F.array_compact(names)).alias("name"),
+        F.explode(F.array_compact(_component_names(elements))).alias("name"),
     )
 
 
@@ -438,21 +459,29 @@ def validate_index(
     ``files`` has data_file, the paths that exist.
     """
     required = fixed.INDEX_REQUIRED[product]
-    parsed = entries.withColumn("v", F.try_parse_json("raw"))
     parity = fixed.PARITY_FIELDS[product]
-    value = {f: _Value(F.col("v"), f) for f in [*required, *parity]}
-    keys = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
-    missing = F.array_except(F.array(*[F.lit(f) for f in required]), keys)
+    v = F.col("v")
+    fields = list(dict.fromkeys([*required, *parity]))
+    parsed = entries.withColumn("v", F.try_parse_json("raw")).select(
+        "pos",
+        "v",
+        F.try_variant_get(v, "$", "map<string,variant>").isNotNull().alias("is_object"),
+        *[_read(v, f).alias(f"v_{f}") for f in fields],
+    )
+    value = {f: _Value(F.col(f"v_{f}")) for f in fields}
+    parsed = parsed.withColumn(
+        "missing",
+        F.array_compact(F.array(*[F.when(~value[f].present, F.lit(f)) for f in required])),
+    )
     label = F.coalesce(
         value["buildNumber"].text, F.concat(F.lit("entry "), F.col("pos").cast("string"))
     )
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     checks = (
-        F.when(~is_object, _collect([_violation(F.lit(True), "", "not_object")]))
+        F.when(~F.col("is_object"), _collect([_violation(F.lit(True), "", "not_object")]))
         .when(
-            F.size(missing) > 0,
+            F.size("missing") > 0,
             _collect(
-                [_violation(F.lit(True), "", "missing_fields", detail=F.array_join(missing, ","))]
+                [_violation(F.lit(True), "", "missing_fields", detail=F.array_join("missing", ","))]
             ),
         )
         .otherwise(
@@ -470,7 +499,7 @@ def validate_index(
     )
 
     valid = parsed.where(
-        is_object & (F.size(missing) == 0) & value["buildNumber"].text.isNotNull()
+        F.col("is_object") & (F.size("missing") == 0) & value["buildNumber"].text.isNotNull()
     ).select(
         "pos",
         F.lit(product).alias("product"),

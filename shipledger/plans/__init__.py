@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["comparison", "selection"]
+MODULES = ["comparison", "selection", "histories", "devices", "extraction", "documents"]
 
 
 def load_all() -> None:

@@ -212,3 +212,12 @@ def order_sdks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lines, "order_key").select(
         "product", "build_number", "ord", "sdk_version", "build_version"
     )
+
+
+# Architectures of the derived kernels by nation, known and unknown ones.
+ARCH_CYCLE = [
+    "ARM64_T8020", "ARM64_T8101", "ARM64_T8103", "ARM64_T6000", "ARM64_T6001", "ARM64_T6002", "ARM64_T8110",
+    "ARM64_T8112", "ARM64_T6020", "ARM64_T6021", "ARM64_T6022", "ARM64_T8122", "ARM64_T6030", "ARM64_T6031",
+    "ARM64_T6034", "ARM64_T8132", "ARM64_T6040", "ARM64_T8140", "ARM64_T8142", "ARM64_T6050", "ARM64_T6051",
+    "ARM64_VMAPPLE", "ARM64_T9999", "ARM64", "ARM64_T6032",
+]

@@ -245,8 +245,8 @@ def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "file_from_url",
     """SELECT page_id, coalesce(CASE WHEN wrapped <> '' THEN regexp_extract(wrapped, '([^/]*)$', 1) ELSE nullif(last, '') END, '-') AS file FROM (
- SELECT page_id, coalesce(regexp_extract(url, '[?&]path=([^&]*)', 1), '') AS wrapped,
-  regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '^[a-z]+://[^/]+/(?:.*/)?([^/]*)/*$', 1) AS last FROM (
+ SELECT page_id, coalesce(regexp_extract(split_part(url, '#', 1), '[?&]path=([^&]*)', 1), '') AS wrapped,
+  regexp_extract(rtrim(split_part(split_part(url, '#', 1), '?', 1), '/'), '^[a-z]+://[^/]+/(?:.*/)?([^/]*)$', 1) AS last FROM (
   SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END ||
    'path=/apps/v' || page_id || '/file-' || page_id || '.xip' ELSE url END AS url FROM pages))""",
 )

@@ -6,35 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMPONENT = "name STRING, version STRING, path STRING, source STRING"
-KERNEL = (
-    "file STRING, darwinVersion STRING, xnuVersion STRING, arch STRING, chip STRING, "
-    "devices ARRAY<STRING>, deviceChips ARRAY<STRUCT<device STRING, chip STRING>>"
-)
-SDK = "sdkVersion STRING, buildVersion STRING"
-IDENTITY = (
-    "productType STRING, osVersion STRING, buildNumber STRING, releaseName STRING, "
-    "releaseDate STRING, isBeta BOOLEAN, betaNumber INT, betaRevision INT, isRC BOOLEAN, "
-    "rcNumber INT, isDeviceSpecific BOOLEAN"
-)
-
+TEXT, FLAG, NUMBER = T.StringType(), T.BooleanType(), T.IntegerType()
 
-def _nested(fields: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in _split(fields)))
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-def _split(fields: str) -> list[str]:
-    return [f"{f.name} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(fields)]
 
-
-RELEASE_DOCUMENT = T.StructType.fromDDL(
-    IDENTITY
-    + ", ipswFile STRING, ipswURL STRING, xipFile STRING, xipURL STRING, minimumOSVersion STRING"
-    + f", kernels ARRAY<STRUCT<{_nested(KERNEL)}>>"
-    + f", components ARRAY<STRUCT<{_nested(COMPONENT)}>>"
-    + f", sdks ARRAY<STRUCT<{_nested(SDK)}>>"
+COMPONENT = _struct(name=TEXT, version=TEXT, path=TEXT, source=TEXT)
+KERNEL = _struct(
+    file=TEXT,
+    darwinVersion=TEXT,
+    xnuVersion=TEXT,
+    arch=TEXT,
+    chip=TEXT,
+    devices=T.ArrayType(TEXT),
+    deviceChips=T.ArrayType(_struct(device=TEXT, chip=TEXT)),
+)
+SDK = _struct(sdkVersion=TEXT, buildVersion=TEXT)
+IDENTITY = {
+    "productType": TEXT,
+    "osVersion": TEXT,
+    "buildNumber": TEXT,
+    "releaseName": TEXT,
+    "releaseDate": TEXT,
+    "isBeta": FLAG,
+    "betaNumber": NUMBER,
+    "betaRevision": NUMBER,
+    "isRC": FLAG,
+    "rcNumber": NUMBER,
+    "isDeviceSpecific": FLAG,
+}
+RELEASE_DOCUMENT = _struct(
+    **IDENTITY,
+    ipswFile=TEXT,
+    ipswURL=TEXT,
+    xipFile=TEXT,
+    xipURL=TEXT,
+    minimumOSVersion=TEXT,
+    kernels=T.ArrayType(KERNEL),
+    components=T.ArrayType(COMPONENT),
+    sdks=T.ArrayType(SDK),
 )
-INDEX_ENTRY = T.StructType.fromDDL(IDENTITY + ", dataFile STRING")
+INDEX_ENTRY = _struct(**IDENTITY, dataFile=TEXT)
 
 FLAGS = ["isBeta", "isRC", "isDeviceSpecific"]
 PRODUCTS = {"macOS": "macos", "Xcode": "xcode"}

@@ -31,6 +31,12 @@ def scan_releases(spark: SparkSession, path: str, product: str | None = None) ->
     return documents
 
 
+def scan_release_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Documents as ``write_releases`` leaves them: JSON lines below product and major folders."""
+    raw = spark.read.schema(RELEASE_DOCUMENT).json(path)
+    return with_defaults(raw.drop("product"))
+
+
 def flat_releases(documents: DataFrame) -> DataFrame:
     """Flat identity columns of documents, with file, link and minimum OS version."""
     xcode = F.col("product") == "Xcode"

@@ -26,7 +26,8 @@ def apply_batch(index_dir: str, batch: DataFrame) -> None:
     Only the last batch of a stream can be replayed, and its rows replace themselves, so a
     replay gives the same index.
     """
-    new = latest_per_build(batch, "arrival")
+    arrival = F.struct("file", F.monotonically_increasing_id())
+    new = latest_per_build(settle(batch.withColumn("arrival", arrival).drop("file")), "arrival")
     current = read_index(batch.sparkSession, index_dir)
     write_index(new if current is None else upsert_index(current, new), index_dir)
 
@@ -48,8 +49,7 @@ def entry_stream(spark: SparkSession, in_dir: str, max_files: int = 1000) -> Dat
             F.col("_metadata.file_modification_time"),
             F.col("_metadata.file_path"),
             F.col("_metadata.file_block_start"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("arrival"),
+        ).alias("file"),
     )
     return stamped.where(valid_identity()).withColumn("data_file", data_file())
 
@@ -63,7 +63,7 @@ def stream_upsert_index(
     """
     return (
         entry_stream(spark, in_dir, max_files)
-        .writeStream.foreachBatch(lambda batch, _: apply_batch(index_dir, settle(batch)))
+        .writeStream.foreachBatch(lambda batch, _: apply_batch(index_dir, batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
