@@ -18,6 +18,7 @@ from shipledger import fixed
 from shipledger.functions.labels import file_from_url, release_name_by_major
 from shipledger.functions.normalizers import decode_integer, normalize
 from shipledger.functions.versions import beta_build_flag, major
+from shipledger.operators.found import explode_found, keep_found
 from shipledger.operators.hardware import devices_from_filename
 
 
@@ -68,19 +69,17 @@ def printable_runs(
 ) -> DataFrame:
     """Runs of printable ASCII in order; an over-long run keeps its first ``max_len`` bytes."""
     keep = [c for c in artifacts.columns if c != "content"]
-    return artifacts.select(
-        *keep, F.posexplode(_runs(F.col("content"), min_len, max_len)).alias("run_ord", "run")
-    )
+    split = artifacts.select(*keep, _runs(F.col("content"), min_len, max_len).alias("runs"))
+    return explode_found(split, "runs", keep, "run", "run_ord")
 
 
 def find_all(runs: DataFrame, pattern: str, min_len: int = fixed.MIN_RUN) -> DataFrame:
     """Every match of a pattern in run order."""
-    return runs.where(F.length("run") >= min_len).select(
-        *[c for c in runs.columns if c != "run"],
-        F.posexplode(F.regexp_extract_all("run", F.lit(pattern), F.lit(0))).alias(
-            "match_ord", "match"
-        ),
+    keep = [c for c in runs.columns if c != "run"]
+    matched = runs.where(F.length("run") >= min_len).select(
+        *keep, F.regexp_extract_all("run", F.lit(pattern), F.lit(0)).alias("matches")
     )
+    return explode_found(matched, "matches", keep, "match", "match_ord")
 
 
 def first_match(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,16 +183,15 @@ def extract_components(
             chosen = chosen.when(F.col("rule") == i, value(rule))
         return chosen
 
-    return (
-        split.withColumn("version", by_rule(lambda r: _version(F.col("runs"), r)))
-        .where("version is not null")
-        .select(
-            *keys,
-            by_rule(lambda r: F.lit(r.name)).alias("name"),
-            "version",
-            _rooted(F.col("rule_path")).alias("path"),
-            by_rule(lambda r: F.lit(r.source)).alias("source"),
-        )
+    versions = split.select(
+        *keys, "rule", "rule_path", by_rule(lambda r: _version(F.col("runs"), r)).alias("version")
+    )
+    return keep_found(versions, "version").select(
+        *keys,
+        by_rule(lambda r: F.lit(r.name)).alias("name"),
+        "version",
+        _rooted(F.col("rule_path")).alias("path"),
+        by_rule(lambda r: F.lit(r.source)).alias("source"),
     )
 
 
@@ -227,17 +225,15 @@ def text_components(
             found = normalize(raw, rule.normalizer, rule.arguments)
         version = version.when(here, found)
         name = name.when(here, F.lit(rule.name))
-    return (
-        texts.where(F.col("path").isin([r.path for r in rules]))
-        .withColumn("version", version)
-        .where("version is not null")
-        .select(
-            *keys,
-            name.alias("name"),
-            "version",
-            _rooted(F.col("path")).alias("path"),
-            F.lit("sdk").alias("source"),
-        )
+    versions = texts.where(F.col("path").isin([r.path for r in rules])).select(
+        *keys, "path", version.alias("version")
+    )
+    return keep_found(versions, "version").select(
+        *keys,
+        name.alias("name"),
+        "version",
+        _rooted(F.col("path")).alias("path"),
+        F.lit("sdk").alias("source"),
     )
 
 
@@ -269,8 +265,8 @@ def kernel_fields(
         first(fixed.KERNEL_DARWIN).alias("darwin_version"),
         first(fixed.KERNEL_XNU).alias("xnu_version"),
         first(fixed.KERNEL_ARCH).alias("suffix"),
-    ).where("darwin_version is not null")
-    return fields.join(archs, "suffix", "left").select(
+    )
+    return keep_found(fields, "darwin_version").join(archs, "suffix", "left").select(
         *keys,
         "file",
         "darwin_version",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import release_key
+from shipledger.operators.found import explode_found
 from shipledger.operators.succession import with_next
 
 KEY = ["product", "build_number"]
@@ -46,9 +47,8 @@ def parity_check(index: DataFrame, catalog: DataFrame, fields: list[str]) -> Dat
         )
         for f in fields
     ]
-    return met.select(*KEY, F.explode(F.array_compact(F.array(*checks))).alias("m")).select(
-        *KEY, "m.*"
-    )
+    listed = met.select(*KEY, F.array_compact(F.array(*checks)).alias("m"))
+    return explode_found(listed, "m", KEY, "m").select(*KEY, "m.*")
 
 
 def index_order_check(index: DataFrame, key: Column | None = None) -> DataFrame:
@@ -68,7 +68,9 @@ def index_order_check(index: DataFrame, key: Column | None = None) -> DataFrame:
         .groupBy("product")
         .agg(F.min("pos").alias("_last"))
     )
-    placed = keyed.join(inversions, "product")
+    # The rows that with_next has written out, so that keys are not computed again.
+    rows = following.select(*keyed.columns)
+    placed = rows.join(inversions, "product")
     best = (
         placed.where(F.col("pos") > F.col("_last"))
         .groupBy("product")
@@ -84,7 +86,7 @@ def index_order_check(index: DataFrame, key: Column | None = None) -> DataFrame:
         F.min("pos").alias("_pos"), F.min_by("build_number", "pos").alias("actual")
     )
     before = (
-        keyed.join(first, "product")
+        rows.join(first, "product")
         .where(F.col("pos") < F.col("_pos"))
         .groupBy("product")
         .agg(F.count("*").alias("position"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from shipledger import fixed
 from shipledger.functions.versions import build_key
+from shipledger.operators.found import explode_found
 from shipledger.operators.index import duplicate_check, index_diff, index_order_check
+from shipledger.session import settle
 
 COLUMNS = ["file_name", "build", "field", "rule", "severity", "detail"]
 VIOLATION = "array<struct<field:string,rule:string,severity:string,detail:string>>"
@@ -38,37 +40,68 @@ def _collect(checks: list[Column]) -> Column:
     return F.array_compact(F.array(*checks)).cast(VIOLATION)
 
 
+def _unfold(read: DataFrame, found: Column) -> DataFrame:
+    """One row per violation."""
+    listed = read.select("file_name", "build", found.alias("found"))
+    return explode_found(listed, "found", ["file_name", "build"], "x").select(
+        "file_name", "build", "x.*"
+    )
+
+
+def _parts(variant: Column, field: str) -> dict[str, Column]:
+    path = f"$.{field}"
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    return {
+        "kind": kind,
+        "text": F.when(kind == "STRING", F.try_variant_get(variant, path, "string")),
+        "number": F.when(kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(variant, path, "bigint")),
+    }
+
+
 def _read(variant: Column, field: str) -> Column:
-    """A JSON value below a variant as plain columns, so that its type is looked up once.
+    """A JSON value below a variant with its type, as a struct.
 
     ``kind`` is null when the field is missing and VOID for a JSON null; ``text`` and ``number``
     are null for other types.
     """
-    path = f"$.{field}"
-    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "STRING", F.try_variant_get(variant, path, "string")).alias("text"),
-        F.when(
-            kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(variant, path, "bigint")
-        ).alias("number"),
-    )
+    return F.struct(*[c.alias(name) for name, c in _parts(variant, field).items()])
+
+
+def _columns(variant: Column, fields: list[str]) -> list[Column]:
+    """The parts of several values as plain columns, looked up once per row.
+
+    Structs would not do: the optimizer inlines a struct that is only taken apart again, and
+    with it the look-up into every rule.
+    """
+    return [
+        c.alias(f"{f}_{name}") for f in fields for name, c in _parts(variant, f).items()
+    ]
 
 
 class _Value:
-    """Predicates on a value that :func:`_read` has looked up."""
+    """Predicates on a value that has been looked up."""
 
-    def __init__(self, read: Column) -> None:
-        self.kind = F.coalesce(read["kind"], F.lit("VOID"))
-        self.present = read["kind"].isNotNull()
+    def __init__(self, kind: Column, text: Column, number: Column) -> None:
+        self.kind = F.coalesce(kind, F.lit("VOID"))
+        self.present = kind.isNotNull()
         self.missing = self.kind == "VOID"
         self.is_bool = self.kind == "BOOLEAN"
         self.is_int = self.kind == "BIGINT"
         # The text; null unless it is a non-empty string.
-        self.text = F.nullif(read["text"], F.lit(""))
+        self.text = F.nullif(text, F.lit(""))
         # The integer; a boolean counts as one, as in languages where it is a subtype.
-        self.number = read["number"]
-        self.flag = F.coalesce(self.is_bool & (read["number"] == 1), F.lit(False))
+        self.number = number
+        self.flag = F.coalesce(self.is_bool & (number == 1), F.lit(False))
+
+    @classmethod
+    def of(cls, read: Column) -> _Value:
+        """From a struct of :func:`_read`."""
+        return cls(read["kind"], read["text"], read["number"])
+
+    @classmethod
+    def column(cls, field: str) -> _Value:
+        """From the columns of :func:`_columns`."""
+        return cls(F.col(f"{field}_kind"), F.col(f"{field}_text"), F.col(f"{field}_number"))
 
 
 def _list(variant: Column, field: str) -> Column:
@@ -190,7 +223,7 @@ def _each(elements: Column, name: str, required: list[str], checks) -> Column:
     def one(element: Column, position: Column) -> Column:
         label = F.concat(F.lit(f"{name}["), position.cast("string"), F.lit("]"))
         absent = [
-            _violation(~_Value(element[f]).present, label, "missing_field", detail=F.lit(f))
+            _violation(~_Value.of(element[f]).present, label, "missing_field", detail=F.lit(f))
             for f in required
         ]
         shape = _collect([_violation(F.lit(True), label, "not_object")])
@@ -209,15 +242,15 @@ def _component_checks(product: str) -> Column:
     sources = fixed.COMPONENT_SOURCES[product]
 
     def checks(element: Column, position: Column, label: Column) -> list[Column]:
-        name, source = _Value(element["name"]).text, _Value(element["source"]).text
+        name, source = _Value.of(element["name"]).text, _Value.of(element["source"]).text
         earlier = F.col("repeated") & (F.array_position("names", name) <= position)
         return [
             _violation(name.isNull(), label, "component_name"),
             _violation(name.isNotNull() & earlier, label, "component_duplicate", detail=name),
             _violation(
-                _Value(element["version"]).text.isNull(), label, "component_version", detail=name
+                _Value.of(element["version"]).text.isNull(), label, "component_version", detail=name
             ),
-            _violation(_Value(element["path"]).text.isNull(), label, "component_path", detail=name),
+            _violation(_Value.of(element["path"]).text.isNull(), label, "component_path", detail=name),
             _violation(
                 ~F.coalesce(source.isin(sources), F.lit(False)), label, "component_source", detail=source
             ),
@@ -239,13 +272,13 @@ def _kernel_devices(element: Column) -> Column:
 
 def _kernel_checks() -> Column:
     def checks(element: Column, _: Column, label: Column) -> list[Column]:
-        none, chip = element["more"]["count"] <= 0, _Value(element["chip"]).text
+        none, chip = element["more"]["count"] <= 0, _Value.of(element["chip"]).text
         exempt = (chip == fixed.NO_DEVICE_CHIP) | (
             (chip == fixed.NO_DEVICE_VM) & F.col("build").isin(fixed.NO_DEVICE_VM_BUILDS)
         )
         return [
             *[
-                _violation(_Value(element[f]).text.isNull(), label, "kernel_field", detail=F.lit(f))
+                _violation(_Value.of(element[f]).text.isNull(), label, "kernel_field", detail=F.lit(f))
                 for f in ("arch", "chip", "file")
             ],
             _violation(none & ~F.coalesce(exempt, F.lit(False)), label, "no_devices", WARNING),
@@ -295,7 +328,7 @@ def validate_documents(documents: DataFrame, product: str) -> DataFrame:
         v.isNull().alias("invalid"),
         F.array_except(F.array(*[F.lit(f) for f in required]), keys).alias("missing"),
         F.array_except(keys, F.array(*[F.lit(f) for f in allowed])).alias("unexpected"),
-        *[_read(v, f).alias(f"v_{f}") for f in fields],
+        *_columns(v, fields),
         _read_elements(_list(v, "components"), fixed.COMPONENT_REQUIRED).alias("components"),
         _read_elements(
             _list(v, "kernels"), [f for f in fixed.KERNEL_REQUIRED], _kernel_devices
@@ -307,7 +340,7 @@ def validate_documents(documents: DataFrame, product: str) -> DataFrame:
         "repeated", F.coalesce(F.size(F.array_distinct(known)) < F.size(known), F.lit(False))
     )
 
-    value = {f: _Value(F.col(f"v_{f}")) for f in fields}
+    value = {f: _Value.column(f) for f in fields}
     build, version = value["buildNumber"].text, value["osVersion"].text
     single = _collect(
         [
@@ -334,9 +367,7 @@ def validate_documents(documents: DataFrame, product: str) -> DataFrame:
         .when(F.size("missing") > 0, incomplete)
         .otherwise(F.concat(*parts))
     )
-    return read.select("file_name", "build", F.explode(found).alias("x")).select(
-        "file_name", "build", "x.*"
-    )
+    return _unfold(read, found)
 
 
 def duplicate_builds(documents: DataFrame) -> DataFrame:
@@ -384,11 +415,12 @@ def _document_components(documents: DataFrame, product: str) -> DataFrame:
         F.col("v").isNotNull() & (F.size(F.array_except(required, keys)) == 0)
     )
     elements = _read_elements(_list(F.col("v"), "components"), ["name"])
-    return complete.select(
+    listed = complete.select(
         F.lit(product).alias("product"),
         F.col("file_name").alias("build_number"),
-        F.explode(F.array_compact(_component_names(elements))).alias("name"),
+        F.array_compact(_component_names(elements)).alias("names"),
     )
+    return explode_found(listed, "names", ["product", "build_number"], "name")
 
 
 def validate_releases(raw: DataFrame, product: str) -> DataFrame:
@@ -415,9 +447,8 @@ def validate_releases(raw: DataFrame, product: str) -> DataFrame:
 def index_entries(texts: DataFrame) -> DataFrame:
     """Entries (pos, raw) of an index text (value); an array in one document."""
     entries = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    return texts.select(F.posexplode(entries).alias("pos", "e")).select(
-        F.col("pos").cast("bigint").alias("pos"), F.to_json("e").alias("raw")
-    )
+    listed = explode_found(texts.select(entries.alias("entries")), "entries", [], "e", "pos")
+    return listed.select(F.col("pos").cast("bigint").alias("pos"), F.to_json("e").alias("raw"))
 
 
 def validate_index_text(texts: DataFrame) -> DataFrame:
@@ -466,9 +497,9 @@ def validate_index(
         "pos",
         "v",
         F.try_variant_get(v, "$", "map<string,variant>").isNotNull().alias("is_object"),
-        *[_read(v, f).alias(f"v_{f}") for f in fields],
+        *_columns(v, fields),
     )
-    value = {f: _Value(F.col(f"v_{f}")) for f in fields}
+    value = {f: _Value.column(f) for f in fields}
     parsed = parsed.withColumn(
         "missing",
         F.array_compact(F.array(*[F.when(~value[f].present, F.lit(f)) for f in required])),
@@ -494,21 +525,42 @@ def validate_index(
         )
     )
     name = F.lit("releases.json").alias("file_name")
-    single = parsed.select(name, label.alias("build"), F.explode(checks).alias("x")).select(
-        "file_name", "build", "x.*"
-    )
+    single = _unfold(parsed.withColumns({"file_name": name, "build": label}), checks)
 
-    valid = parsed.where(
-        F.col("is_object") & (F.size("missing") == 0) & value["buildNumber"].text.isNotNull()
-    ).select(
-        "pos",
-        F.lit(product).alias("product"),
-        value["buildNumber"].text.alias("build_number"),
-        value["osVersion"].text.alias("os_version"),
-        value["isBeta"].flag.alias("is_beta"),
-        value["isRC"].flag.alias("is_rc"),
-        value["dataFile"].text.alias("data_file"),
-        "v",
+    def texts(variant: Column) -> Column:
+        return F.struct(
+            *[
+                F.nullif(
+                    F.to_json(F.try_variant_get(variant, f"$.{f}", "variant")), F.lit("null")
+                ).alias(f)
+                for f in parity
+            ]
+        )
+
+    # The rules below meet entries and documents several times; both are parsed once.
+    valid = settle(
+        parsed.where(
+            F.col("is_object") & (F.size("missing") == 0) & value["buildNumber"].text.isNotNull()
+        ).select(
+            "pos",
+            F.lit(product).alias("product"),
+            value["buildNumber"].text.alias("build_number"),
+            value["osVersion"].text.alias("os_version"),
+            value["isBeta"].flag.alias("is_beta"),
+            value["isRC"].flag.alias("is_rc"),
+            value["dataFile"].text.alias("data_file"),
+            texts(v).alias("parity"),
+        )
+    )
+    documents = settle(
+        catalog_documents(raw, product)
+        .where("v is not null")
+        .select(
+            "file_name",
+            F.lit(product).alias("product"),
+            F.col("build").alias("build_number"),
+            texts(v).alias("parity"),
+        )
     )
 
     def rows(df: DataFrame, build: str, field: Column, rule: str, detail: Column) -> DataFrame:
@@ -527,25 +579,10 @@ def validate_index(
     absent = valid.where("data_file is not null").join(files, "data_file", "left_anti")
     no_file = rows(absent, "build_number", F.lit("dataFile"), "file_missing", F.col("data_file"))
 
-    documents = catalog_documents(raw, product).where("v is not null")
-    in_catalog = documents.select(
-        F.lit(product).alias("product"), F.col("build").alias("build_number")
-    )
-    sides = rows(index_diff(valid, in_catalog), "build_number", F.lit(""), "index_diff", F.col("side"))
-
-    def texts(variant: Column) -> Column:
-        return F.struct(
-            *[
-                F.nullif(
-                    F.to_json(F.try_variant_get(variant, f"$.{f}", "variant")), F.lit("null")
-                ).alias(f)
-                for f in parity
-            ]
-        )
-
-    last_entry = valid.groupBy("build_number").agg(F.max_by(texts(F.col("v")), "pos").alias("i"))
-    last_document = documents.groupBy(F.col("build").alias("build_number")).agg(
-        F.max_by(texts(F.col("v")), "file_name").alias("c")
+    sides = rows(index_diff(valid, documents), "build_number", F.lit(""), "index_diff", F.col("side"))
+    last_entry = valid.groupBy("build_number").agg(F.max_by("parity", "pos").alias("i"))
+    last_document = documents.groupBy("build_number").agg(
+        F.max_by("parity", "file_name").alias("c")
     )
     differs = F.array_compact(
         F.array(
@@ -555,9 +592,10 @@ def validate_index(
             ]
         )
     )
-    unequal = last_entry.join(last_document, "build_number").select(
-        "build_number", F.explode(differs).alias("field")
+    met = last_entry.join(last_document, "build_number").select(
+        "build_number", differs.alias("fields")
     )
+    unequal = explode_found(met, "fields", ["build_number"], "field")
     mismatches = rows(unequal, "build_number", F.col("field"), "parity", F.lit(""))
 
     disorder = rows(
@@ -589,9 +627,7 @@ def validate_scan_metadata(meta: DataFrame) -> DataFrame:
             _violation(revision < 2, "beta_revision", "revision_below_two", detail=revision),
         ]
     )
-    return meta.select("file_name", "build", F.explode(checks).alias("x")).select(
-        "file_name", "build", "x.*"
-    )
+    return _unfold(meta, checks)
 
 
 def valid_identity() -> Column:

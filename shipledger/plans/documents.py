@@ -14,6 +14,7 @@ from shipledger.plans.sql import (
     LINE_NAME, LINE_ORD, LINE_PATH, LINE_VERSION, ORDER_REL, ORDER_SDK, build_order, with_,
 )
 from shipledger.schema import data_file
+from shipledger.session import settle
 from shipledger.sources import readers, writers
 from shipledger.streaming.upsert import stream_upsert_index
 
@@ -163,7 +164,7 @@ def _plain_field() -> Column:
 
 
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_documents(spark, sf_dir, faults=True)
+    raw = settle(raw_documents(spark, sf_dir, faults=True))
     found = [
         Q.validate_releases(raw, product).withColumn("product", F.lit(product))
         for product in ("macOS", "Xcode")
@@ -331,7 +332,7 @@ iv AS (SELECT product, '' AS field, 'not_object' AS rule FROM ix WHERE g = 0
 @query("validate_index", with_(ORDER_REL, INDEX_SQL) + "SELECT product, field, rule, count(*) AS n FROM iv GROUP BY 1, 2, 3")
 def validate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the index rules, counted by rule."""
-    raw = raw_documents(spark, sf_dir, faults=False)
+    raw = settle(raw_documents(spark, sf_dir, faults=False))
     entries, files = index_raw(spark, sf_dir)
     parts = []
     for product in ("macOS", "Xcode"):
