@@ -371,12 +371,18 @@ def validate_documents(documents: DataFrame, product: str) -> DataFrame:
 
 
 def duplicate_builds(documents: DataFrame) -> DataFrame:
-    """Every further document of a build, in file order."""
-    valid = documents.where("v is not null").select("file_name", "build")
-    first = valid.groupBy("build").agg(F.min("file_name").alias("first"), F.count("*").alias("n"))
+    """Every further document of a build, in file order; files of one name count each."""
+    valid = documents.where("v is not null").groupBy("build", "file_name").agg(
+        F.count("*").alias("copies")
+    )
+    first = valid.groupBy("build").agg(
+        F.min("file_name").alias("first"), F.sum("copies").alias("n")
+    )
+    further = F.col("copies") - (F.col("file_name") == F.col("first")).cast("int")
     return (
         valid.join(first.where("n > 1"), "build")
-        .where(F.col("file_name") != F.col("first"))
+        .where(further > 0)
+        .withColumn("again", F.explode(F.sequence(F.lit(1), further)))
         .select(
             "file_name",
             "build",
