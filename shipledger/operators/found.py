@@ -8,7 +8,7 @@ explode stays where it is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,14 @@ def keep_found(df: DataFrame, column: str) -> DataFrame:
     rest = [c for c in df.columns if c != column]
     rows = df.select(*rest, F.explode_outer(F.array(column)).alias(column))
     return rows.where(F.col(column).isNotNull()).select(*df.columns)
+
+
+def order_by_key(df: DataFrame, key: Column, *rest: str, descending: bool = False) -> DataFrame:
+    """Sort by an expensive key, then by the columns ``rest``, all in one direction.
+
+    The key becomes a column first: a sort on an expression evaluates it again in every
+    comparison.
+    """
+    names = ["_key", *rest]
+    order = [F.col(n).desc_nulls_last() if descending else F.col(n).asc() for n in names]
+    return df.withColumn("_key", key).orderBy(*order).drop("_key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shipledger.functions.labels import component_slug, display_name, release_slug
 from shipledger.functions.versions import version_key, with_direction
+from shipledger.operators.found import order_by_key
 from shipledger.operators.succession import with_next
 
 
@@ -159,11 +160,8 @@ def sdk_history(sdks: DataFrame, releases: DataFrame) -> DataFrame:
 
 def sdk_versions(sdks: DataFrame) -> DataFrame:
     """Distinct SDK versions, highest first."""
-    return (
-        sdks.select("sdk_version")
-        .distinct()
-        .orderBy(version_key("sdk_version").desc_nulls_last(), "sdk_version")
-    )
+    distinct = sdks.select("sdk_version").distinct()
+    return order_by_key(distinct, version_key("sdk_version"), "sdk_version", descending=True)
 
 
 def dedupe_sdks(sdks: DataFrame) -> DataFrame:

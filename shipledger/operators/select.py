@@ -14,6 +14,7 @@ from shipledger.functions.versions import (
     release_key,
     strip_parenthetical,
 )
+from shipledger.operators.found import order_by_key
 
 
 def list_releases(releases: DataFrame, major_version: int | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def list_releases(releases: DataFrame, major_version: int | None = None) -> Data
     kept = releases
     if major_version is not None:
         kept = releases.where(major("os_version") == major_version)
-    return kept.orderBy(release_key())
+    return order_by_key(kept, release_key())
 
 
 def release_type() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shipledger.fixed import BOARD_KERNEL_DEVICES, CHIP_FAMILIES, CHIP_TIERS, DEVICES
 from shipledger.functions.chips import chip_sort_key
+from shipledger.operators import flatten
 from shipledger.operators import hardware as W
 from shipledger.plans.catalogue import ARCH_CYCLE, table
 from shipledger.plans.registry import query
@@ -295,3 +296,27 @@ def devices_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.array_join(W.devices_from_filename(name), "|").alias("devices")
     )
+
+
+@query(
+    "explode_device_chips",
+    with_(*BASE) + "SELECT build_number, kernel_file, device, chip FROM devchip",
+)
+def explode_device_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device chips of nested release documents; kernels stand in for components."""
+    rows = resolved(spark, sf_dir)
+    nothing = F.lit(None).cast("string")
+    releases = rows.select("product", "build_number").distinct().select(
+        "product", "build_number", F.lit("24.0").alias("os_version"), F.lit("").alias("release_name"),
+        F.lit(None).cast("date").alias("release_date"), nothing.alias("file"), nothing.alias("url"),
+        F.lit(False).alias("is_beta"), F.lit(None).cast("int").alias("beta_number"),
+        F.lit(None).cast("int").alias("beta_revision"), F.lit(False).alias("is_rc"),
+        F.lit(None).cast("int").alias("rc_number"), F.lit(False).alias("is_device_specific"),
+        nothing.alias("minimum_os_version"),
+    )
+    files = rows.select(
+        "product", "build_number", "ord", F.col("file").alias("name"), F.col("chip").alias("version"),
+        F.col("arch").alias("path"), F.lit("filesystem").alias("source"),
+    )
+    nested = flatten.nest_release(releases, files, rows, chips_of(spark, sf_dir))
+    return flatten.explode_device_chips(nested).select("build_number", "kernel_file", "device", "chip")

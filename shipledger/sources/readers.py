@@ -113,6 +113,19 @@ def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def scan_sdk_settings(spark: SparkSession, path: str) -> DataFrame:
+    """SDK folders and versions from the ``SDKSettings.json`` files below a folder."""
+    settings = (
+        spark.read.schema(T.StructType([T.StructField("Version", T.StringType())]))
+        .option("multiLine", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "SDKSettings.json")
+        .json(path)
+    )
+    folder = F.regexp_extract(F.try_url_decode(F.col("_metadata.file_path")), "^(.*)/[^/]*$", 1)
+    return settings.select(folder.alias("sdk_dir"), F.col("Version").alias("version"))
+
+
 def scan_raw_documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents as raw text with their file name, for the quality rules."""
     texts = (

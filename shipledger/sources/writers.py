@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import release_key
+from shipledger.operators.found import order_by_key
 from shipledger.schema import index_row
 
 
@@ -62,7 +63,7 @@ def write_index(index: DataFrame, base: str) -> str:
     """
     spark = index.sparkSession
     version = uuid.uuid4().hex
-    index.orderBy(release_key().desc()).write.mode("errorifexists").parquet(f"{base}/v-{version}")
+    order_by_key(index, release_key(), descending=True).write.mode("errorifexists").parquet(f"{base}/v-{version}")
     jvm, path, files = _paths(spark, base)
     draft, current = path(f"{base}/CURRENT.{version}"), path(f"{base}/CURRENT")
     stream = files.create(draft, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shipledger.functions import labels as L
 from shipledger.operators import changelog, digest, flatten
+from shipledger.operators import extract as X
 from shipledger.operators import index as I
 from shipledger.operators import quality as Q
 from shipledger.schema import data_file
@@ -247,3 +248,15 @@ def test_labels(spark):
     slugs = ["libbz2 (bzip2)", " A (b) c (d) ", "x(y)", "Plain"]
     out = spark.createDataFrame([(s,) for s in slugs], "name string").select(L.component_slug()).collect()
     assert [r[0] for r in out] == ["libbz2", "a", "x", "plain"]
+
+
+def test_sdk_settings(spark, tmp_path):
+    for name, text in (("MacOSX15.0.sdk", '{"Version": "15.0"}'), ("DriverKit.sdk", '{"Version": "24"}'), ("MacOSX.sdk", "{}")):
+        folder = tmp_path / "SDKs" / name
+        folder.mkdir(parents=True)
+        (folder / "SDKSettings.json").write_text(text)
+    found = readers.scan_sdk_settings(spark, str(tmp_path)).select(
+        F.lit("Xcode").alias("product"), F.lit("b").alias("build_number"), "sdk_dir", F.lit(0).alias("ord"), "version"
+    )
+    builds = found.select("product", "build_number", "sdk_dir", F.lit("24A336").alias("sdk_build"))
+    assert [(r.sdk_version, r.build_version) for r in X.sdk_rows(found, builds).collect()] == [("15.0", "24A336")]
