@@ -20,6 +20,7 @@ from shipledger.functions.normalizers import decode_integer, normalize
 from shipledger.functions.versions import beta_build_flag, major
 from shipledger.operators.found import explode_found, keep_found
 from shipledger.operators.hardware import devices_from_filename
+from shipledger.session import constant_table
 
 
 @dataclass(frozen=True)
@@ -102,36 +103,43 @@ def _rooted(path: Column) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
-def match_rules(artifacts: DataFrame, rules: list[BinaryRule], keys: list[str]) -> DataFrame:
-    """Artifacts with the rule that reads them, in ``rule`` (position) and ``rule_path``.
-
-    A rule reads its fallback path only where the release (``keys``) has no artifact at its
-    primary path. Only releases with an artifact at a fallback path enter that check.
-    """
-    spark = artifacts.sparkSession
-    primary = spark.createDataFrame(
-        [(i, r.path.lstrip("/")) for i, r in enumerate(rules)], "rule int, rule_path string"
-    )
-    bare = artifacts.withColumn("rule_path", F.regexp_replace("path", "^/+", ""))
-    direct = bare.join(primary, "rule_path")
-    second = [
+def _candidates(artifacts: DataFrame, rules: list[BinaryRule]) -> DataFrame:
+    """Artifacts at the path or fallback path of a rule: ``rule`` (position), ``rule_path``, and
+    for a fallback the ``primary_path`` that has priority."""
+    rows = [(i, r.path.lstrip("/"), None) for i, r in enumerate(rules)]
+    rows += [
         (i, r.fallback_path.lstrip("/"), r.path.lstrip("/"))
         for i, r in enumerate(rules)
         if r.fallback_path
     ]
-    if not second:
-        return direct.select(*artifacts.columns, "rule", "rule_path")
-    fallback = spark.createDataFrame(second, "rule int, rule_path string, primary_path string")
-    present = bare.select(*keys, F.col("rule_path").alias("primary_path")).join(
-        fallback.select("primary_path"), "primary_path", "left_semi"
+    table = constant_table(
+        artifacts.sparkSession, rows, "rule int, rule_path string, primary_path string"
     )
-    indirect = (
-        bare.join(fallback, "rule_path")
-        .join(present.distinct(), [*keys, "primary_path"], "left_anti")
-        .drop("primary_path")
+    return artifacts.withColumn("rule_path", F.regexp_replace("path", "^/+", "")).join(
+        table, "rule_path"
     )
-    both = direct.unionByName(indirect)
-    return both.select(*artifacts.columns, "rule", "rule_path")
+
+
+def _without_overruled(
+    candidates: DataFrame, artifacts: DataFrame, rules: list[BinaryRule], keys: list[str]
+) -> DataFrame:
+    """Drop fallbacks of releases (``keys``) that have an artifact at the primary path."""
+    primary = [r.path.lstrip("/") for r in rules if r.fallback_path]
+    if not primary:
+        return candidates
+    path = F.regexp_replace("path", "^/+", "")
+    present = artifacts.where(path.isin(primary)).select(*keys, path.alias("primary_path"))
+    return candidates.join(present.distinct(), [*keys, "primary_path"], "left_anti")
+
+
+def match_rules(artifacts: DataFrame, rules: list[BinaryRule], keys: list[str]) -> DataFrame:
+    """Artifacts with the rule that reads them, in ``rule`` (position) and ``rule_path``.
+
+    A rule reads its fallback path only where the release (``keys``) has no artifact at its
+    primary path.
+    """
+    matched = _without_overruled(_candidates(artifacts, rules), artifacts, rules, keys)
+    return matched.select(*artifacts.columns, "rule", "rule_path")
 
 
 def _version(runs: Column, rule: BinaryRule) -> Column:
@@ -161,11 +169,15 @@ def extract_components(
     """Components of artifacts (``keys``, path, content): name, version, path, source.
 
     The printable runs are split once per artifact; an artifact no pattern matches gives no
-    row. ``release_keys`` name the release when ``keys`` say more than that.
+    row. ``release_keys`` name the release when ``keys`` say more than that. Contents are read
+    once and never shuffled: fallbacks are extracted too, and dropped as short rows where the
+    release has the primary artifact.
     """
     rules = binary_rules() if rules is None else rules
     keys = keys or ["product", "build_number"]
-    matched = match_rules(artifacts, rules, release_keys or keys)
+    release_keys = release_keys or keys
+    carried = list(dict.fromkeys([*keys, *release_keys]))
+    matched = _candidates(artifacts, rules)
     lengths = {r.min_length for r in rules}
     runs = F.lit(None).cast("array<string>")
     for length in sorted(lengths):
@@ -175,7 +187,7 @@ def extract_components(
         ).otherwise(runs)
     if len(lengths) == 1:
         runs = _runs(F.col("content"), lengths.pop(), fixed.MAX_RUN)
-    split = matched.select(*keys, "rule", "rule_path", runs.alias("runs"))
+    split = matched.select(*carried, "rule", "rule_path", "primary_path", runs.alias("runs"))
 
     def by_rule(value) -> Column:
         chosen = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -184,9 +196,14 @@ def extract_components(
         return chosen
 
     versions = split.select(
-        *keys, "rule", "rule_path", by_rule(lambda r: _version(F.col("runs"), r)).alias("version")
+        *carried,
+        "rule",
+        "rule_path",
+        "primary_path",
+        by_rule(lambda r: _version(F.col("runs"), r)).alias("version"),
     )
-    return keep_found(versions, "version").select(
+    found = keep_found(versions, "version")
+    return _without_overruled(found, artifacts, rules, release_keys).select(
         *keys,
         by_rule(lambda r: F.lit(r.name)).alias("name"),
         "version",

@@ -12,19 +12,20 @@ from pyspark.sql import functions as F
 
 from shipledger.fixed import BOARD_KERNEL_DEVICES, CHIP_FAMILIES, DEVICES
 from shipledger.functions.chips import chip_sort_key, tier_rank
+from shipledger.session import constant_table
 
 RELEASE = ["product", "build_number"]
 
 
 def devices_table(spark: SparkSession) -> DataFrame:
     """The fixed device registry."""
-    return spark.createDataFrame(DEVICES, "device string, chip string, marketing_name string")
+    return constant_table(spark, DEVICES, "device string, chip string, marketing_name string")
 
 
 def chips_table(spark: SparkSession) -> DataFrame:
     """The fixed chip families: family, tier, tier_rank."""
     rows = [(name, tier) for name, tier, _ in CHIP_FAMILIES]
-    return spark.createDataFrame(rows, "family string, tier string").withColumn(
+    return constant_table(spark, rows, "family string, tier string").withColumn(
         "tier_rank", tier_rank("tier")
     )
 
@@ -32,13 +33,13 @@ def chips_table(spark: SparkSession) -> DataFrame:
 def arch_table(spark: SparkSession) -> DataFrame:
     """The fixed architecture suffixes: suffix, family."""
     rows = [(suffix, name) for name, _, suffixes in CHIP_FAMILIES for suffix in suffixes]
-    return spark.createDataFrame(rows, "suffix string, family string")
+    return constant_table(spark, rows, "suffix string, family string")
 
 
 def board_devices_table(spark: SparkSession) -> DataFrame:
     """The fixed devices of kernel files that are named by board."""
-    return spark.createDataFrame(
-        list(BOARD_KERNEL_DEVICES.items()), "file string, devices array<string>"
+    return constant_table(
+        spark, list(BOARD_KERNEL_DEVICES.items()), "file string, devices array<string>"
     )
 
 

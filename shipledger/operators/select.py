@@ -18,10 +18,15 @@ from shipledger.operators.found import order_by_key
 
 
 def list_releases(releases: DataFrame, major_version: int | None = None) -> DataFrame:
-    """Releases in ascending version order, optionally of one major version."""
+    """Releases in ascending version order, optionally of one major version.
+
+    On a table partitioned by ``major`` only that partition is read.
+    """
     kept = releases
     if major_version is not None:
-        kept = releases.where(major("os_version") == major_version)
+        if "major" in releases.columns:
+            kept = kept.where(F.col("major").try_cast("int") == major_version)
+        kept = kept.where(major("os_version") == major_version)
     return order_by_key(kept, release_key())
 
 

@@ -22,7 +22,8 @@ def with_next(
     range-partitioned on keys and order together, so a large group spreads over many
     slices; the window only looks inside a slice. Rows at the end of a slice take the first
     row of the next one from a table with one row per slice, whose size is the number of
-    slices whatever the data.
+    slices whatever the data. ``order`` should tell all rows of a key apart, as rows that are
+    equal in it stay in one slice.
     """
     spark = df.sparkSession
     count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))

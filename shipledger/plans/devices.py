@@ -12,6 +12,7 @@ from shipledger.operators import hardware as W
 from shipledger.plans.catalogue import ARCH_CYCLE, table
 from shipledger.plans.registry import query
 from shipledger.plans.sql import with_
+from shipledger.session import constant_table
 
 
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boards(spark: SparkSession) -> DataFrame:
     """Fallback devices by file: the fixed ones and two of the derived names."""
-    more = spark.createDataFrame(
+    more = constant_table(
+        spark,
         [("kernelcache.release.n1", ["Mac14,2"]), ("kernelcache.release.n11", ["Mac15,3", "iMac21,1"])],
         "file string, devices array<string>",
     )

@@ -39,3 +39,26 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="shipledger-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_literal(v) for v in value) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows written in code.
+
+    It is an inline table, whose size the optimizer knows, so a join with it is a broadcast;
+    a DataFrame made from a Python list has no known size and would shuffle the other side.
+    """
+    columns = [part.strip().split(" ", 1) for part in schema.split(",")]
+    names = ", ".join(name for name, _ in columns)
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in columns)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")

@@ -31,9 +31,22 @@ def scan_releases(spark: SparkSession, path: str, product: str | None = None) ->
     return documents
 
 
-def scan_release_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Documents as ``write_releases`` leaves them: JSON lines below product and major folders."""
-    raw = spark.read.schema(RELEASE_DOCUMENT).json(path)
+def scan_release_lines(
+    spark: SparkSession,
+    path: str,
+    product: str | None = None,
+    major: int | None = None,
+    fmt: str = "json",
+) -> DataFrame:
+    """Documents as ``write_releases`` leaves them, below product and major folders.
+
+    ``product`` and ``major`` choose folders, so that others are not read.
+    """
+    raw = spark.read.schema(RELEASE_DOCUMENT).format(fmt).load(path)
+    if product is not None:
+        raw = raw.where(F.col("product") == product)
+    if major is not None:
+        raw = raw.where(F.col("major").try_cast("int") == major)
     return with_defaults(raw.drop("product"))
 
 

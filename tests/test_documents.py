@@ -250,6 +250,20 @@ def test_labels(spark):
     assert [r[0] for r in out] == ["libbz2", "a", "x", "plain"]
 
 
+def test_folders_are_pruned(spark, tmp_path):
+    releases = flat(spark, [("15.1", "a", "x"), ("14.1", "b", "y")]).withColumns(
+        {"file": F.lit("f"), "url": F.lit("u"), "minimum_os_version": F.lit(None).cast("string")}
+    )
+    rows = [("macOS", "a", 0, "n", "1", "/p", "sdk")]
+    components = spark.createDataFrame(rows, "product string, build_number string, ord int, name string, version string, path string, source string")
+    nested = flatten.nest_release(releases, components)
+    for fmt in ("json", "parquet"):
+        writers.write_releases(nested, str(tmp_path / fmt), fmt)
+        found = readers.scan_release_lines(spark, str(tmp_path / fmt), "macOS", 15, fmt)
+        assert [r.build_number for r in found.collect()] == ["a"]
+        assert len(found.inputFiles()) >= 1
+
+
 def test_sdk_settings(spark, tmp_path):
     for name, text in (("MacOSX15.0.sdk", '{"Version": "15.0"}'), ("DriverKit.sdk", '{"Version": "24"}'), ("MacOSX.sdk", "{}")):
         folder = tmp_path / "SDKs" / name
