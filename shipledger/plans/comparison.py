@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from shipledger.functions import versions as V
 from shipledger.operators import compare as C
-from shipledger.plans.catalogue import month_components, month_releases
+from shipledger.operators.succession import with_next
+from shipledger.plans.catalogue import line_components, month_components, month_releases, order_releases, table
 from shipledger.plans.registry import query
 from shipledger.plans.sql import (
-    COMP, DIFF, FIRSTS, LINE_VERSION, PAIRS, PAREN, REL, build_order, direction, padded, tokens, with_,
+    COMP, DIFF, FIRSTS, LINE_VERSION, ORDER_REL, PAIRS, PAREN, REL, build_order, direction, padded, tokens, with_,
 )
 
 DIFF_COLUMNS = "product, from_build, to_build, name, from_version, to_version, status"
@@ -147,24 +148,22 @@ def version_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _following(keyed: DataFrame, name: str, descending: bool = False) -> DataFrame:
+    """Every ``name`` with the one that follows it in the order of ``k``."""
+    order = [F.col("k").desc_nulls_last() if descending else F.col("k").asc_nulls_first(), F.col(name).asc()]
+    return with_next(keyed.select("k", name), [], order, [name]).select(
+        name, F.coalesce(f"next.{name}", F.lit("-")).alias("following")
+    )
+
+
 @query(
     "version_key",
     with_(VERSIONS)
-    + f"""SELECT version, CASE WHEN len({tokens('version')}) = 0 THEN -1 ELSE
- dense_rank() OVER (PARTITION BY len({tokens('version')}) = 0 ORDER BY {padded('version')}) END AS position FROM vers""",
+    + f"""SELECT version, coalesce(lead(version) OVER (ORDER BY len({tokens('version')}) > 0, {padded('version')}, version), '-') AS following FROM vers""",
 )
 def version_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position of every version in version order.
-
-    The window runs over the distinct keys of the version texts, of which the derived
-    tables have a few thousand at any size.
-    """
-    keyed = _versions(spark, sf_dir).withColumn("key", V.version_key("version"))
-    keys = keyed.where("key is not null").select("key").distinct()
-    ranked = keys.select("key", F.expr("dense_rank() over (order by key)").alias("position"))
-    return keyed.join(ranked, "key", "left").select(
-        "version", F.coalesce("position", F.lit(-1)).alias("position")
-    )
+    """Every component version with the next higher one."""
+    return _following(_versions(spark, sf_dir).withColumn("k", V.version_key("version")), "version")
 
 
 ADJACENT = f"""lines AS (SELECT l_orderkey, coalesce({LINE_VERSION}, '') AS version, l_partkey,
@@ -182,8 +181,6 @@ ADJACENT = f"""lines AS (SELECT l_orderkey, coalesce({LINE_VERSION}, '') AS vers
 )
 def compare_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction between the versions of the first and the last part of every order."""
-    from shipledger.plans.catalogue import line_components, table
-
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *line_components())
     version = F.coalesce("version", F.lit(""))
     by = F.struct(F.col("l_partkey"), version)
@@ -198,48 +195,60 @@ def compare_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "os_version_key",
-    with_(REL) + "SELECT build_number, maj AS major, mon AS minor, 0 AS patch FROM rel",
+    with_(ORDER_REL)
+    + """SELECT build_number, CAST(split_part(os_version, '.', 1) AS INT) AS major, CAST(split_part(os_version, '.', 2) AS INT) AS minor,
+ coalesce(TRY_CAST(split_part(os_version, '.', 3) AS INT), 0) AS patch FROM orel""",
 )
 def os_version_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the OS version of every release."""
-    return month_releases(spark, sf_dir).select("build_number", V.os_version_key("os_version").alias("k")).select(
+    return order_releases(spark, sf_dir).select("build_number", V.os_version_key("os_version").alias("k")).select(
         "build_number", "k.*"
     )
 
 
 @query(
     "build_key",
-    with_(REL) + f"SELECT build_number, row_number() OVER (ORDER BY {build_order('build_number')}) AS position FROM rel",
+    with_(ORDER_REL)
+    + f"SELECT build_number, coalesce(lead(build_number) OVER (ORDER BY {build_order('build_number')}, build_number), '-') AS following FROM orel",
 )
 def build_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position of every build in build order; the monthly catalogue has three per month."""
-    releases = month_releases(spark, sf_dir).select("build_number", V.build_key("build_number").alias("k"))
-    return releases.select("build_number", F.expr("row_number() over (order by k)").alias("position"))
+    """Every build with the next one in build order."""
+    return _following(order_releases(spark, sf_dir).withColumn("k", V.build_key("build_number")), "build_number")
 
 
 @query(
     "release_key",
-    with_(REL)
-    + f"SELECT build_number, maturity AS rank, row_number() OVER (ORDER BY maj, mon, maturity, {build_order('build_number')}) AS position FROM rel",
+    with_(ORDER_REL)
+    + f"""SELECT build_number, coalesce(lead(build_number) OVER (ORDER BY CAST(split_part(os_version, '.', 1) AS INT), CAST(split_part(os_version, '.', 2) AS INT),
+ coalesce(TRY_CAST(split_part(os_version, '.', 3) AS INT), 0), CASE WHEN is_beta THEN 0 WHEN is_rc THEN 1 ELSE 2 END,
+ {build_order('build_number')}, build_number), '-') AS following FROM orel""",
 )
 def release_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position and maturity of every release in version order."""
-    keyed = month_releases(spark, sf_dir).select(
-        "build_number", V.prerelease_rank().alias("rank"), V.release_key().alias("k")
-    )
-    return keyed.select("build_number", "rank", F.expr("row_number() over (order by k)").alias("position"))
+    """Every release with the next one in version order."""
+    return _following(order_releases(spark, sf_dir).withColumn("k", V.release_key()), "build_number")
+
+
+@query(
+    "prerelease_rank",
+    with_(ORDER_REL)
+    + "SELECT build_number, CASE WHEN is_beta THEN 0 WHEN is_rc THEN 1 ELSE 2 END AS rank FROM orel",
+)
+def prerelease_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maturity of every release."""
+    return order_releases(spark, sf_dir).select("build_number", V.prerelease_rank().alias("rank"))
 
 
 @query(
     "recency_order",
-    with_(REL)
-    + f"""SELECT build_number, row_number() OVER (ORDER BY release_date DESC NULLS LAST,
- {padded('os_version')} DESC, {build_order('build_number', desc=True)}) AS position FROM rel""",
+    with_(ORDER_REL)
+    + f"""SELECT build_number, coalesce(lead(build_number) OVER (ORDER BY release_date DESC NULLS LAST,
+ {padded('os_version')} DESC, {build_order('build_number', desc=True)}, build_number), '-') AS following FROM orel""",
 )
 def recency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position of every release, newest first."""
-    keyed = month_releases(spark, sf_dir).select("build_number", V.recency_key().alias("k"))
-    return keyed.select("build_number", F.expr("row_number() over (order by k desc)").alias("position"))
+    """Every release with the next older one."""
+    return _following(
+        order_releases(spark, sf_dir).withColumn("k", V.recency_key()), "build_number", descending=True
+    )
 
 
 @query(
