@@ -65,13 +65,53 @@ def _runs(content: Column, min_len: int, max_len: int) -> Column:
     return F.transform(found, lambda run: F.substring(run, 1, max_len))
 
 
+PIECE_BYTES = 8 * 1024 * 1024
+
+
+def _pieces(content: Column, size: int, max_len: int) -> Column:
+    """A content cut into texts that hold the runs starting in each ``size`` bytes.
+
+    A piece loses a run that began before it and gains the rest of a run that leaves it, up to
+    ``max_len`` bytes, so every run is whole in exactly one piece.
+    """
+
+    def text(start: Column, length: Column | int) -> Column:
+        return F.decode(F.substring(content, start + 1, length), "ISO-8859-1")
+
+    def piece(number: Column) -> Column:
+        start, before = number * size, F.least(number, F.lit(1))
+        own = text(start - before, before + size)
+        own = F.when(number > 0, F.regexp_replace(own, r"^[\x20-\x7E]+", "")).otherwise(own)
+        rest = F.regexp_extract(text(start + size, max_len), r"^[\x20-\x7E]+", 0)
+        return F.when(own.rlike(r"[\x20-\x7E]\z"), F.concat(own, rest)).otherwise(own)
+
+    last = F.floor(F.greatest(F.length(content) - 1, F.lit(0)) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), piece)
+
+
 def printable_runs(
-    artifacts: DataFrame, min_len: int = fixed.MIN_RUN, max_len: int = fixed.MAX_RUN
+    artifacts: DataFrame,
+    min_len: int = fixed.MIN_RUN,
+    max_len: int = fixed.MAX_RUN,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
-    """Runs of printable ASCII in order; an over-long run keeps its first ``max_len`` bytes."""
+    """Runs of printable ASCII; an over-long run keeps its first ``max_len`` bytes.
+
+    ``run_ord`` orders the runs of an artifact. A large content is searched in pieces, so the
+    matcher never works on one text of its whole size.
+    """
     keep = [c for c in artifacts.columns if c != "content"]
-    split = artifacts.select(*keep, _runs(F.col("content"), min_len, max_len).alias("runs"))
-    return explode_found(split, "runs", keep, "run", "run_ord")
+    cut = artifacts.where(F.col("content").isNotNull()).select(
+        *keep, _pieces(F.col("content"), piece_bytes, max_len).alias("pieces")
+    )
+    pieces = explode_found(cut, "pieces", keep, "piece", "piece_ord")
+    found = F.regexp_extract_all("piece", F.lit(r"[\x20-\x7E]{%d,}" % min_len), F.lit(0))
+    split = pieces.select(
+        *keep, "piece_ord", F.transform(found, lambda run: F.substring(run, 1, max_len)).alias("runs")
+    )
+    rows = explode_found(split, "runs", [*keep, "piece_ord"], "run", "at")
+    place = F.shiftleft(F.col("piece_ord").cast("bigint"), 32) + F.col("at")
+    return rows.select(*keep, place.alias("run_ord"), "run")
 
 
 def find_all(runs: DataFrame, pattern: str, min_len: int = fixed.MIN_RUN) -> DataFrame:

@@ -1,5 +1,8 @@
 """Runs, rules and normalizers."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +35,20 @@ def test_long_run_keeps_its_start(spark):
     assert runs(spark, b"ab\x00abc", min_len=2) == ["ab", "abc"]
 
 
+def test_pieces_give_the_same_runs(spark):
+    rng = random.Random(11)
+    contents = [bytes(rng.choice(b"ab~ \x00\x1f\x7f\xe9\n") if rng.random() < 0.4 else 120 for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    contents += [b"x" * 40, b"x" * 16, b"\x00" * 16, b"", b"abcd\n", b"abcdefgh\nabcdefgh"]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)], "id int, content binary")
+    for size, cap in ((1, 100), (5, 100), (8, 9), (8, 100), (64, 6)):
+        got = {}
+        for r in X.printable_runs(df, max_len=cap, piece_bytes=size).orderBy("id", "run_ord").collect():
+            got.setdefault(r.id, []).append(r.run)
+        for i, content in enumerate(contents):
+            expected = [m.decode()[:cap] for m in re.findall(rb"[\x20-\x7e]{4,}", content)]
+            assert got.get(i, []) == expected, (size, cap, content)
+
+
 def test_look_behind_and_highest_integer(spark):
     df = spark.createDataFrame([(1, bytearray(b"2147483647 20913 x 21209 9"))], "id int, content binary")
     pattern = next(r.pattern for r in X.binary_rules() if r.name == "libxml2")
