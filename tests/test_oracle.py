@@ -5,9 +5,12 @@ import pathlib
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from shipledger.plans import load_all
+from shipledger.plans.registry import ORACLE, QUERIES
 from tools.check_oracle import bag
 
+load_all()
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -20,12 +23,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, con, name):
-    df = contract.queries()[name](spark, SF_DIR)
-    result = con.sql(contract.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    result = con.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(result.columns)
     assert bag([tuple(r) for r in df.collect()], df.columns) == bag(result.fetchall(), result.columns)
