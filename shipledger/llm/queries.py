@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm import bpe, chat, line_dedup, sharding, token_store, topk, work
+from shipledger.llm import bpe, chat, decontaminate, line_dedup, pii, sharding, token_store, topk, work
 from shipledger.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -24,6 +24,28 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_store(spark, path, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and revealing terms in all documents."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    every = F.expr(
+        "array_sort(concat(transform(base, s -> named_struct('start', s.start, 'rank', s.rank, 'kind', s.kind, 'end', s.end)), "
+        "transform(coalesce(added, array()), s -> named_struct('start', s.start, 'rank', s.rank, 'kind', s.kind, 'end', s.end))))"
+    )
+    return found.withColumn("_every", every).select(
+        "doc_id",
+        *[F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+        pii.joined("_every").alias("spans"),
+    )
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in all documents."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _OP5_SQL = """
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
