@@ -17,8 +17,10 @@ A document starts at slice start + block offset + boundary in the concatenated a
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +43,24 @@ def _block_schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (part.split(" ") for part in BLOCKS.split(", "))])
 
 
-def _encoder(tokenizer_file: str):
-    import os
-
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str) -> PieceEncoder:
+    """The encoder of a worker process; it keeps what it knows for the next task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.encode_special_tokens = True
-    return tokenizer
+    return PieceEncoder(tokenizer)
 
 
 def _write_blocks(tokenizer_file: str, end_id: int, block_tokens: int, block_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _encoder(tokenizer_file)
-        size = max(tokenizer.get_vocab_size(), end_id + 1)
+        encoder = _encoder(tokenizer_file)
+        size = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         width = 2 if size <= 1 << 16 else 4
         dtype = f"<u{width}"
         end = np.asarray([end_id], dtype=dtype).tobytes()
-        encoder = PieceEncoder(tokenizer)
         slice_no, schema = TaskContext.get().partitionId(), _block_schema()
         number = offset = 0
         docs: list = []
