@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm import bpe, chat, decontaminate, line_dedup, pii, sharding, token_store, topk, work
+from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, pii, sharding, token_store, topk, work
 from shipledger.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -24,6 +24,35 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_store(spark, path, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+_OP2_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 3) + 1),
+    lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS n_ab
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b FROM common WHERE 100 * n_ab >= 85 * (n_a + n_b - n_ab)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id,
+  (SELECT count(*) FROM links l WHERE l.a = s.doc_id) AS n_links
+FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op2_ngram_join", _OP2_SQL)
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their 4-word shingles."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 @query("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms in all documents."""
