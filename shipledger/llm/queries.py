@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, pii, sharding, token_store, topk, work
+from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, pii, quality, sharding, token_store, topk, work
 from shipledger.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -163,6 +163,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        "expected_grade",
+        "tail_probability",
+        (F.col("tail_probability") >= quality.LEAST_TAIL).alias("keep"),
+    )
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 _OP10_SQL = f"""
