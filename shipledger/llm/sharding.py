@@ -4,7 +4,7 @@ Documents with equal texts form a group, and a group is placed as a whole. What
 every group, whose number grows with the corpus, but a fixed number of bundles: groups fall into
 bundles by hash, their bytes, tokens and rows are summed in Spark, and the bundles are packed one
 after the other, the heaviest first, each into the shard where the dot product of its vector with
-the shard's residual capacity is highest. A group heavier than an average bundle is cut into
+the shard's residual capacity is highest. Only a group heavier than a quarter of a shard is cut into
 pieces of about that weight, so that one text that fills a third of the corpus is spread.
 """
 
@@ -47,13 +47,15 @@ def pack(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     return shard
 
 
-def shard_documents(docs: DataFrame, n_shards: int, bundles_per_shard: int = 256) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, n_shards: int, bundles_per_shard: int = 256, pieces_per_shard: int = 4
+) -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard and slot of every row of ``docs``.
 
     ``size`` is the bytes of the text plus 16, ``tokens`` its words; a null text is an empty one. Slots
     number the rows of a shard from 0 in doc_id order (nulls first). Repeated rows are rows of their
-    own. Other columns are ignored; an empty table gives no rows. The driver sees
-    ``n_shards * bundles_per_shard`` sums at most.
+    own. Other columns are ignored; an empty table gives no rows. Rows of one text share a shard unless together
+    they weigh more than 1 / ``pieces_per_shard`` of it. The driver sees ``n_shards * bundles_per_shard`` sums at most.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -77,8 +79,9 @@ def shard_documents(docs: DataFrame, n_shards: int, bundles_per_shard: int = 256
     groups = measured.groupBy(*text_key).agg(
         F.sum(F.col("size")).alias("_size"), F.sum("tokens").alias("_tokens"), F.count(F.lit(1)).alias("_rows")
     )
-    most = F.greatest(*[F.col(f"_{c}") * bundles / max(1, total[c]) for c in LOAD])
-    # Groups above an average bundle in one of three measures: 3 * bundles at most.
+    pieces = n_shards * pieces_per_shard
+    most = F.greatest(*[F.col(f"_{c}") * pieces / max(1, total[c]) for c in LOAD])
+    # Groups above 1 / pieces of the corpus in one of three measures: 3 * pieces at most.
     hot = groups.withColumn("_pieces", F.ceil(most)).where((F.col("_pieces") > 1) & (F.col("_rows") > 1))
     piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("_pieces", F.lit(1)))
     placed = measured.join(F.broadcast(hot.select(*text_key, "_pieces")), text_key, "left").withColumn(
