@@ -118,10 +118,8 @@ BOARD_KERNEL_DEVICES = {
     "kernelcache.release.vma2": ["VirtualMac2,1"],
 }
 
-# Bounds of printable runs and the largest kernel file read.
+# Fixed value: the shortest printable run.
 MIN_RUN = 4
-MAX_RUN = 1024 * 1024
-MAX_KERNEL_BYTES = 512 * 1024 * 1024
 
 # Rules for binary artifacts as
 # (name, path, fallback path, source, pattern, normalizer, normalizer arguments).

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import with_direction
+from shipledger.operators.dimension import join_dimension
 from shipledger.operators.succession import with_next
 
 PAIR = ["product", "from_build", "to_build"]
@@ -45,8 +46,8 @@ def _diff(sided: DataFrame, keys: list[str]) -> DataFrame:
 def compare_many(components: DataFrame, pairs: DataFrame) -> DataFrame:
     """All requested pairs in one job; ``pairs`` has product, from_build and to_build.
 
-    Only the four columns needed travel; the join to ``pairs`` is broadcast by the
-    optimizer when ``pairs`` is small and is a shuffle join otherwise.
+    Only the four columns needed travel. ``pairs`` meets the components by ``join_dimension``:
+    the shuffle on (pair, name) is the only one of the facts, as long as the pairs are few.
     """
     wanted = pairs.select(*PAIR).distinct()
     sides = wanted.select(
@@ -59,7 +60,7 @@ def compare_many(components: DataFrame, pairs: DataFrame) -> DataFrame:
         ).alias("s"),
     ).select(*PAIR, "s.build_number", "s.side")
     slim = components.select("product", "build_number", "ord", "name", "version")
-    return _diff(slim.join(sides, ["product", "build_number"]), PAIR)
+    return _diff(join_dimension(slim, sides, ["product", "build_number"]), PAIR)
 
 
 def compare_releases(

@@ -58,57 +58,77 @@ def text_rules() -> list[TextRule]:
     return [TextRule(*row) for row in fixed.TEXT_RULES]
 
 
-def _runs(content: Column, min_len: int, max_len: int) -> Column:
+def _runs(content: Column, min_len: int, max_len: int | None = None) -> Column:
     found = F.regexp_extract_all(
         F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7E]{%d,}" % min_len), F.lit(0)
     )
-    return F.transform(found, lambda run: F.substring(run, 1, max_len))
+    return found if max_len is None else F.transform(found, lambda run: F.substring(run, 1, max_len))
 
 
 PIECE_BYTES = 8 * 1024 * 1024
 
 
-def _pieces(content: Column, size: int, max_len: int) -> Column:
+def _pieces(content: Column, size: int) -> Column:
     """A content cut into texts that hold the runs starting in each ``size`` bytes.
 
-    A piece loses a run that began before it and gains the rest of a run that leaves it, up to
-    ``max_len`` bytes, so every run is whole in exactly one piece.
+    A piece loses a run that began before it and gains the rest of a run that leaves it, over as
+    many pieces as the run is long, so every run is whole in exactly one piece. A content of one
+    piece is taken as it is.
     """
-
-    def text(start: Column, length: Column | int) -> Column:
-        return F.decode(F.substring(content, start + 1, length), "ISO-8859-1")
-
-    def piece(number: Column) -> Column:
-        start, before = number * size, F.least(number, F.lit(1))
-        own = text(start - before, before + size)
-        own = F.when(number > 0, F.regexp_replace(own, r"^[\x20-\x7E]+", "")).otherwise(own)
-        rest = F.regexp_extract(text(start + size, max_len), r"^[\x20-\x7E]+", 0)
-        return F.when(own.rlike(r"[\x20-\x7E]\z"), F.concat(own, rest)).otherwise(own)
-
     last = F.floor(F.greatest(F.length(content) - 1, F.lit(0)) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), piece)
+    parts = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda n: F.decode(F.substring(content, n * size + 1, F.lit(size)), "ISO-8859-1"),
+    )
+
+    def start(part: Column) -> Column:
+        return F.regexp_extract(part, r"^[\x20-\x7E]+", 0)
+
+    def cut(parts: Column) -> Column:
+        def piece(part: Column, n: Column) -> Column:
+            inside = (n > 0) & F.get(parts, n - 1).rlike(r"[\x20-\x7E]\z")
+            own = F.when(inside, F.regexp_replace(part, r"^[\x20-\x7E]+", "")).otherwise(part)
+            rest = F.aggregate(
+                F.slice(parts, n + 2, F.size(parts)),
+                F.struct(F.array().cast("array<string>").alias("found"), F.lit(True).alias("open")),
+                lambda seen, other: F.when(
+                    seen["open"],
+                    F.struct(
+                        F.concat(seen["found"], F.array(start(other))).alias("found"),
+                        (F.length(start(other)) == F.length(other)).alias("open"),
+                    ),
+                ).otherwise(seen),
+                lambda seen: F.array_join(seen["found"], ""),
+            )
+            return F.when(own.rlike(r"[\x20-\x7E]\z"), F.concat(own, rest)).otherwise(own)
+
+        return F.transform(parts, piece)
+
+    one = F.array(F.decode(content, "ISO-8859-1"))
+    cut_parts = F.flatten(F.transform(F.array(parts), cut))
+    return F.when(last == 0, one).otherwise(cut_parts)
 
 
 def printable_runs(
     artifacts: DataFrame,
     min_len: int = fixed.MIN_RUN,
-    max_len: int = fixed.MAX_RUN,
+    max_len: int | None = None,
     piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
-    """Runs of printable ASCII; an over-long run keeps its first ``max_len`` bytes.
+    """Runs of printable ASCII, whole; with ``max_len`` an over-long run keeps its first bytes.
 
     ``run_ord`` orders the runs of an artifact. A large content is searched in pieces, so the
     matcher never works on one text of its whole size.
     """
     keep = [c for c in artifacts.columns if c != "content"]
     cut = artifacts.where(F.col("content").isNotNull()).select(
-        *keep, _pieces(F.col("content"), piece_bytes, max_len).alias("pieces")
+        *keep, _pieces(F.col("content"), piece_bytes).alias("pieces")
     )
     pieces = explode_found(cut, "pieces", keep, "piece", "piece_ord")
     found = F.regexp_extract_all("piece", F.lit(r"[\x20-\x7E]{%d,}" % min_len), F.lit(0))
-    split = pieces.select(
-        *keep, "piece_ord", F.transform(found, lambda run: F.substring(run, 1, max_len)).alias("runs")
-    )
+    if max_len is not None:
+        found = F.transform(found, lambda run: F.substring(run, 1, max_len))
+    split = pieces.select(*keep, "piece_ord", found.alias("runs"))
     rows = explode_found(split, "runs", [*keep, "piece_ord"], "run", "at")
     place = F.shiftleft(F.col("piece_ord").cast("bigint"), 32) + F.col("at")
     return rows.select(*keep, place.alias("run_ord"), "run")
@@ -223,10 +243,10 @@ def extract_components(
     for length in sorted(lengths):
         users = [i for i, r in enumerate(rules) if r.min_length == length]
         runs = F.when(
-            F.col("rule").isin(users), _runs(F.col("content"), length, fixed.MAX_RUN)
+            F.col("rule").isin(users), _runs(F.col("content"), length)
         ).otherwise(runs)
     if len(lengths) == 1:
-        runs = _runs(F.col("content"), lengths.pop(), fixed.MAX_RUN)
+        runs = _runs(F.col("content"), lengths.pop())
     split = matched.select(*carried, "rule", "rule_path", "primary_path", runs.alias("runs"))
 
     def by_rule(value) -> Column:
@@ -298,17 +318,13 @@ def kernel_fields(
     artifacts: DataFrame,
     archs: DataFrame,
     keys: list[str] | None = None,
-    max_bytes: int = fixed.MAX_KERNEL_BYTES,
 ) -> DataFrame:
     """Darwin and XNU version, architecture, chip and devices of kernel files.
 
-    Each field is its first match over all runs. Kernels without a Darwin version, and
-    files over the size bound, give no row.
+    Each field is its first match over all runs. Kernels without a Darwin version give no row.
     """
     keys = keys or ["product", "build_number"]
-    runs = artifacts.where(F.length("content") <= max_bytes).select(
-        *keys, "file", _runs(F.col("content"), fixed.MIN_RUN, fixed.MAX_RUN).alias("runs")
-    )
+    runs = artifacts.select(*keys, "file", _runs(F.col("content"), fixed.MIN_RUN).alias("runs"))
 
     def first(pattern: str) -> Column:
         hits = F.filter(
@@ -371,7 +387,7 @@ def python_runtime_pick(
     name, pattern, source = fixed.PYTHON_RULE
     library = F.substring_index("path", "/", -1)
     libraries = artifacts.where(library.startswith("libpython3") & library.endswith(".dylib"))
-    hits = F.filter(_runs(F.col("content"), min_len, fixed.MAX_RUN), lambda r: r.rlike(pattern))
+    hits = F.filter(_runs(F.col("content"), min_len), lambda r: r.rlike(pattern))
     per_dir = libraries.select(
         *keys, "version_dir", "path", F.get(hits, F.lit(0)).alias("version")
     ).groupBy(*keys, "version_dir").agg(F.min_by(F.struct("path", "version"), "path").alias("l"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shipledger.functions.labels import component_slug, display_name, release_slug
 from shipledger.functions.versions import version_key, with_direction
+from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import order_by_key
 from shipledger.operators.succession import with_next
+from shipledger.session import settle
 
 
 def _age() -> Column:
@@ -20,7 +22,8 @@ def _age() -> Column:
 
 def latest_components(components: DataFrame, releases: DataFrame) -> DataFrame:
     """Per name, the entry in the most recent release that has it."""
-    dated = components.join(
+    dated = join_dimension(
+        components.select("product", "build_number", "ord", "name", "version", "source", "path"),
         releases.select("product", "build_number", "release_date", "pos"),
         ["product", "build_number"],
     )
@@ -59,14 +62,14 @@ def component_history(components: DataFrame, releases: DataFrame) -> DataFrame:
             F.col("is_rc").alias("first_release_rc"),
         ).alias("label"),
     )
+    versions = components.select(
+        "product",
+        "build_number",
+        component_slug().alias("slug"),
+        F.coalesce("version", F.lit("")).alias("version"),
+    )
     earliest = (
-        components.select(
-            "product",
-            "build_number",
-            component_slug().alias("slug"),
-            F.coalesce("version", F.lit("")).alias("version"),
-        )
-        .join(labelled, ["product", "build_number"])
+        join_dimension(versions, labelled, ["product", "build_number"])
         .groupBy("product", "slug", "version")
         .agg(F.min_by("label", _age()).alias("label"), F.min("pos").alias("min_pos"))
     )
@@ -77,7 +80,11 @@ def component_meta(components: DataFrame, releases: DataFrame) -> DataFrame:
     """Name, source and path that stand for a slug: its first entry in index order."""
     positions = releases.select("product", "build_number", "pos")
     first = (
-        components.join(positions, ["product", "build_number"])
+        join_dimension(
+            components.select("product", "build_number", "ord", "name", "source", "path"),
+            positions,
+            ["product", "build_number"],
+        )
         .groupBy("product", component_slug().alias("slug"))
         .agg(F.min_by(F.struct("name", "source", "path"), F.struct("pos", "ord")).alias("m"))
     )
@@ -110,21 +117,23 @@ def sdk_history(sdks: DataFrame, releases: DataFrame) -> DataFrame:
     """Releases per SDK version, whether a release is the first to ship its SDK build, and the
     latest known build of the SDK version.
 
-    First and latest come from aggregates over (version, build) joined back, so no SDK
-    version has to be sorted in one task.
+    The entries are computed once. First and latest come from aggregates over (version, build)
+    joined back, so no SDK version has to be sorted in one task.
     """
-    entries = first_sdk_build(sdks).join(
-        releases.select(
-            "product",
-            "build_number",
-            "release_date",
-            "pos",
-            display_name(include_release_name=False).alias("release"),
-            release_slug().alias("release_slug"),
-            "is_beta",
-            "is_rc",
-        ),
-        ["product", "build_number"],
+    entries = settle(
+        first_sdk_build(sdks).join(
+            releases.select(
+                "product",
+                "build_number",
+                "release_date",
+                "pos",
+                display_name(include_release_name=False).alias("release"),
+                release_slug().alias("release_slug"),
+                "is_beta",
+                "is_rc",
+            ),
+            ["product", "build_number"],
+        )
     )
     builds = (
         entries.where(F.col("sdk_build").isNotNull())
@@ -134,13 +143,14 @@ def sdk_history(sdks: DataFrame, releases: DataFrame) -> DataFrame:
     latest = builds.groupBy("product", "sdk_version").agg(
         F.max_by("sdk_build", "last").alias("latest_build")
     )
+    known = join_dimension(
+        entries,
+        builds.select("product", "sdk_version", "sdk_build", "first"),
+        ["product", "sdk_version", "sdk_build"],
+        "left",
+    )
     return (
-        entries.join(
-            builds.select("product", "sdk_version", "sdk_build", "first"),
-            ["product", "sdk_version", "sdk_build"],
-            "left",
-        )
-        .join(latest, ["product", "sdk_version"], "left")
+        join_dimension(known, latest, ["product", "sdk_version"], "left")
         .select(
             "product",
             "sdk_version",

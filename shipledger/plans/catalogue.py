@@ -14,21 +14,9 @@ from pyspark.sql import functions as F
 from shipledger.functions.labels import release_name_by_major
 
 
-SMALL_TABLE_BYTES = 1 << 30
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables.
-
-    A small table comes as one row group, which is one task however many cores wait; it is
-    spread over them. Larger tables are read in their own splits.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if cores * 65536 < size < SMALL_TABLE_BYTES:
-        return df.repartition(cores)
-    return df
+    """One of the given Parquet tables, in its own splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _month_build(date: str, flag: str) -> Column:

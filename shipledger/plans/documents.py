@@ -604,18 +604,24 @@ def scan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'U' || user_id AS build_number, arg_max(event_type, (ts, event_id)) AS release_name FROM events GROUP BY 1""",
 )
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as arriving documents: three deliveries, the last entry of each build stays."""
+    """All events as arriving documents in three deliveries; the last entry of each build stays."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     bounds = events.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
     width = (bounds["high"] - bounds["low"]) // 3 + 1
     delivery = F.floor((F.unix_micros("ts") - F.lit(bounds["low"])) / F.lit(width)).cast("int")
-    latest = events.groupBy(delivery.alias("delivery"), F.concat(F.lit("U"), "user_id").alias("buildNumber")).agg(
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("releaseName")
+    # Raw events, several of a build in a delivery: all of a build are in one file, in their order.
+    documents = events.select(
+        delivery.alias("delivery"),
+        "ts",
+        "event_id",
+        F.concat(F.lit("U"), "user_id").alias("buildNumber"),
+        F.col("event_type").alias("releaseName"),
+        F.lit("15.1").alias("osVersion"),
     )
     base = scratch(spark, "stream")
     for number in range(3):
-        latest.where(F.col("delivery") == number).select(
-            "buildNumber", "releaseName", F.lit("15.1").alias("osVersion")
-        ).write.mode("append").json(f"{base}/in")
+        documents.where(F.col("delivery") == number).repartition("buildNumber").sortWithinPartitions(
+            "ts", "event_id"
+        ).select("buildNumber", "releaseName", "osVersion").write.mode("append").json(f"{base}/in")
         stream_upsert_index(spark, f"{base}/in", f"{base}/index", f"{base}/checkpoint").awaitTermination()
     return writers.read_index(spark, f"{base}/index").select("build_number", "release_name")

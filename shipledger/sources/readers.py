@@ -13,8 +13,8 @@ def scan_releases(spark: SparkSession, path: str, product: str | None = None) ->
     """All release documents below a folder, one per file or one per line.
 
     ``data_path`` is the path of the file below the folder, for :func:`load_indexed`.
-    A document that lacks a required field or is not JSON is left out here and reported by
-    the quality rules.
+    A document that lacks a required field or is not JSON is left out here and given by
+    :func:`scan_rejected`.
     """
     raw = (
         spark.read.schema(RELEASE_DOCUMENT)
@@ -31,6 +31,24 @@ def scan_releases(spark: SparkSession, path: str, product: str | None = None) ->
     return documents
 
 
+def scan_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that :func:`scan_releases` leaves out: file_path, reason and text.
+
+    ``reason`` is ``invalid_json`` or names the first required field that is missing.
+    """
+    texts = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json")
+        .text(path, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
+    )
+    parsed = texts.withColumn("d", F.from_json("text", RELEASE_DOCUMENT))
+    reason = F.when(F.expr("try_parse_json(text) IS NULL"), "invalid_json")
+    for name in ("osVersion", "buildNumber", "releaseName"):
+        reason = reason.when(F.col(f"d.{name}").isNull(), name)
+    return parsed.select("file_path", reason.alias("reason"), "text").where(F.col("reason").isNotNull())
+
+
 def scan_release_lines(
     spark: SparkSession,
     path: str,

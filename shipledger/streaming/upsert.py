@@ -20,50 +20,75 @@ def latest_per_build(entries: DataFrame, order: str) -> DataFrame:
     return last.select(*KEY, "e.*")
 
 
-def apply_batch(index_dir: str, batch: DataFrame) -> None:
-    """Merge one batch of entries into the index.
+def apply_batch(index_dir: str, batch: DataFrame, rejects_dir: str | None = None) -> None:
+    """Merge one batch of entries into the index; rows without a valid identity go to ``rejects_dir``.
 
     Only the last batch of a stream can be replayed, and its rows replace themselves, so a
-    replay gives the same index.
+    replay gives the same index. A replayed batch writes its rejects again.
     """
-    arrival = F.struct("file", F.monotonically_increasing_id())
-    new = latest_per_build(settle(batch.withColumn("arrival", arrival).drop("file")), "arrival")
+    batch = settle(batch)
+    if rejects_dir is not None:
+        rejected = batch.where(~F.col("valid")).select("arrival.*", "document")
+        rejected.write.mode("append").json(rejects_dir)
+    new = latest_per_build(batch.where("valid").drop("valid", "document"), "arrival")
     current = read_index(batch.sparkSession, index_dir)
     write_index(new if current is None else upsert_index(current, new), index_dir)
 
 
 def entry_stream(spark: SparkSession, in_dir: str, max_files: int = 1000) -> DataFrame:
-    """Index entries of arriving JSON-lines documents; only valid identities pass.
+    """Index entries of arriving files, each one document over any number of lines or one document per line.
 
-    Entries of one file come in file order, files in the order of their modification time.
+    ``valid`` tells whether an entry has a valid identity; ``document`` keeps the text of those that have not.
+    Entries of one file come in file order, files in the order of their modification time
+    (``arrival``).
     """
-    documents = (
-        spark.readStream.schema(RELEASE_DOCUMENT)
+    files = (
+        spark.readStream.schema("value string")
         .option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", True)
-        .json(in_dir)
+        .text(in_dir, wholetext=True)
     )
-    stamped = documents.select(
-        *release_columns(),
-        F.struct(
-            F.col("_metadata.file_modification_time"),
-            F.col("_metadata.file_path"),
-            F.col("_metadata.file_block_start"),
-        ).alias("file"),
+    lines = F.filter(F.split("value", "\n"), lambda line: F.trim(line) != "")
+    # A file whose first line is a document by itself holds one in every line.
+    per_line = F.expr("trim(lines[0]) LIKE '{%' AND try_parse_json(lines[0]) IS NOT NULL")
+    texts = (
+        files.select("value", lines.alias("lines"), "_metadata.file_modification_time", "_metadata.file_path")
+        .where(F.size("lines") > 0)
+        .select(
+            "file_modification_time",
+            "file_path",
+            F.posexplode(F.when(per_line, F.col("lines")).otherwise(F.array("value"))).alias("line", "text"),
+        )
     )
-    return stamped.where(valid_identity()).withColumn("data_file", data_file())
+    parsed = texts.withColumn("d", F.from_json("text", RELEASE_DOCUMENT))
+    columns = parsed.select(
+        F.struct("file_modification_time", "file_path", "line").alias("arrival"), "text", F.col("d.*")
+    )
+    entries = columns.select(*release_columns(), "arrival", "text")
+    return entries.withColumns(
+        {"valid": F.coalesce(valid_identity(), F.lit(False)), "data_file": data_file()}
+    ).withColumn("document", F.when(~F.col("valid"), F.col("text"))).drop("text")
 
 
 def stream_upsert_index(
-    spark: SparkSession, in_dir: str, index_dir: str, checkpoint: str, max_files: int = 1000
+    spark: SparkSession,
+    in_dir: str,
+    index_dir: str,
+    checkpoint: str,
+    max_files: int = 1000,
+    rejects_dir: str | None = None,
 ) -> StreamingQuery:
     """Start the upsert of everything that is in ``in_dir`` now; runs to its end.
 
+    Documents without a valid identity, or that are not JSON, are appended to ``rejects_dir``, by default
+    ``<index_dir>-rejects``.
+
     Call again, or pass the entry stream to a query with another trigger, for later files.
     """
+    rejects = rejects_dir or f"{index_dir.rstrip('/')}-rejects"
     return (
         entry_stream(spark, in_dir, max_files)
-        .writeStream.foreachBatch(lambda batch, _: apply_batch(index_dir, batch))
+        .writeStream.foreachBatch(lambda batch, _: apply_batch(index_dir, batch, rejects))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -200,23 +200,56 @@ def test_nest_and_flatten(spark):
     assert sorted(r.name for r in flatten.explode_components(nested).collect()) == ["n0", "n1"]
 
 
-def test_digests(spark):
+def test_digests(spark, tmp_path):
     good = hashlib.sha256(b"abc").hexdigest()
-    files = spark.createDataFrame([("a", 3, bytearray(b"abc")), ("b", 3, bytearray(b"abc")), ("c", 3, bytearray(b"abc")), ("d", 2**31, bytearray(b""))], "path string, length bigint, content binary")
+    files = spark.createDataFrame([("a", 3, bytearray(b"abc")), ("b", 3, bytearray(b"abc")), ("c", 3, bytearray(b"abc"))], "path string, length bigint, content binary")
     cars = spark.createDataFrame([("a", good.upper() + "  a.ipsw\n"), ("b", "\n0  b")], "path string, value string")
-    assert {r.path: r.status for r in digest.archive_digest(files, cars).collect()} == {"a": "verified", "b": "failed", "c": "hashed", "d": "too_large"}
-    assert {r.status for r in digest.archive_digest(files, cars, rehash=True).collect()} == {"hashed", "too_large"}
+    assert {r.path: r.status for r in digest.archive_digest(files, cars).collect()} == {"a": "verified", "b": "failed", "c": "hashed"}
+    assert {r.status for r in digest.archive_digest(files, cars, rehash=True).collect()} == {"hashed"}
+
+    large = b"0123456789abcdef" * (1 << 16) * 20  # several reads
+    (tmp_path / "large.ipsw").write_bytes(large)
+    paths = [(f"file:{tmp_path}/large.ipsw", len(large)), (f"{tmp_path}/none.ipsw", 1)]
+    found = digest.archive_digest(spark.createDataFrame(paths, "path string, length bigint"), cars).collect()
+    assert {r.path.rpartition("/")[2]: (r.status, r.digest) for r in found} == {
+        "large.ipsw": ("hashed", hashlib.sha256(large).hexdigest()), "none.ipsw": ("unreadable", None)
+    }
+
+
+def test_rejected_documents(spark, tmp_path):
+    good = {"osVersion": "15.1", "buildNumber": "A1", "releaseName": "n"}
+    (tmp_path / "a.json").write_text(json.dumps(good, indent=2))
+    (tmp_path / "b.json").write_text("{ not json")
+    (tmp_path / "c.json").write_text(json.dumps({"osVersion": "15.1", "releaseName": "n"}))
+    rejected = {r.file_path.rpartition("/")[2]: r.reason for r in readers.scan_rejected(spark, str(tmp_path)).collect()}
+    assert rejected == {"b.json": "invalid_json", "c.json": "buildNumber"}
+    assert [r.build_number for r in readers.flat_releases(readers.scan_releases(spark, str(tmp_path))).collect()] == ["A1"]
+
+
+def test_stream_takes_both_forms_and_keeps_rejects(spark, tmp_path):
+    def row(build, name):
+        return {"osVersion": "15.1", "buildNumber": build, "releaseName": name}
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps(row("A1", "pretty"), indent=2))
+    (tmp_path / "in" / "2.json").write_text("\n".join(json.dumps(row("B1", n)) for n in ("x", "y", "z")) + "\nnot json\n")
+    (tmp_path / "in" / "3.json").write_text("{ broken\n document")
+    stream_upsert_index(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
+    index = {r.build_number: r.release_name for r in writers.read_index(spark, str(tmp_path / "index")).collect()}
+    assert index == {"A1": "pretty", "B1": "z"}
+    assert sorted(r.document for r in spark.read.json(str(tmp_path / "index-rejects")).collect()) == ["not json", "{ broken\n document"]
 
 
 def test_change_lines(spark):
     lines = [
         "## What's Changed", "* feat(site): add page by @a-b in https://x/1", "* fix: typo", "* chore: bump by @x in https://x/2",
         "* plain words in https://x/3", "**Full Changelog**: https://x/compare/a...b", "* odd: kept", "  * perf: fast  ", "*nospace",
+        "* feat(a:b): scoped by @x", "* fix(open: no scope", "* Fix: capital", "* feat:", "* docs(x) : no", "**Full Changelog**: ftp://x", "* x by @y in z",
     ]
     df = spark.createDataFrame([(1, i, line) for i, line in enumerate(lines)], "doc_id int, ord int, line string")
     rows = changelog.section_lists(changelog.classify_change_lines(df)).collect()
     assert [(r.section, r.entries) for r in rows] == [
-        ("What's New", ["add page"]), ("Fixes", ["typo"]), ("Performance", ["fast"]), ("Other", ["plain words", "kept"]),
+        ("What's New", ["add page", "scoped"]), ("Fixes", ["typo"]), ("Performance", ["fast"]), ("Other", ["plain words", "kept", "fix(open: no scope", "Fix: capital", "feat:", "docs(x) : no", "x by @y in z"]),
         ("Full Changelog", ["https://x/compare/a...b"]),
     ]
 

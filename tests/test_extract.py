@@ -35,12 +35,20 @@ def test_long_run_keeps_its_start(spark):
     assert runs(spark, b"ab\x00abc", min_len=2) == ["ab", "abc"]
 
 
+def test_long_runs_are_whole(spark):
+    long = b"v" * (3 * 1024 * 1024) + b" version 9"
+    df = spark.createDataFrame([(1, bytearray(b"\x00" + long + b"\x00tail"))], "id int, content binary")
+    for size in (1 << 20, X.PIECE_BYTES):
+        rows = X.printable_runs(df, piece_bytes=size).orderBy("run_ord").collect()
+        assert [r.run.encode() for r in rows] == [long, b"tail"]
+
+
 def test_pieces_give_the_same_runs(spark):
     rng = random.Random(11)
     contents = [bytes(rng.choice(b"ab~ \x00\x1f\x7f\xe9\n") if rng.random() < 0.4 else 120 for _ in range(rng.randint(0, 60))) for _ in range(150)]
     contents += [b"x" * 40, b"x" * 16, b"\x00" * 16, b"", b"abcd\n", b"abcdefgh\nabcdefgh"]
     df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)], "id int, content binary")
-    for size, cap in ((1, 100), (5, 100), (8, 9), (8, 100), (64, 6)):
+    for size, cap in ((1, None), (5, 100), (8, 9), (8, None), (64, 6)):
         got = {}
         for r in X.printable_runs(df, max_len=cap, piece_bytes=size).orderBy("id", "run_ord").collect():
             got.setdefault(r.id, []).append(r.run)
