@@ -184,7 +184,7 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 2
     added = """
     filter(transform(_spans, s -> named_struct('start', s.start + line_start, 'rank', s.rank, 'kind', s.kind,
         'end', s.end + line_start, 'value', s.value,
-        'action', filter(risky, r -> r.term = lower(s.value)).action[0])),
+        'action', get(filter(risky, r -> r.term = lower(s.value)).action, 0))),
       s -> s.action IS NOT NULL AND NOT exists(inside, b -> b.start < s.end AND s.start < b.end))"""
     by_text = placed.select(*KEY, F.explode(F.expr(added)).alias("span")).groupBy(*KEY).agg(
         F.array_sort(F.collect_set("span")).alias("added")
