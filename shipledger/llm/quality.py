@@ -135,7 +135,7 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    features: list[list[int]], grades: np.ndarray, least_rows: int = 4, least_score: float = 5.5, penalty: float = 0.5, steps: int = 400
+    features: list[list[int]], grades: np.ndarray, least_rows: int = 4, least_score: float = 4.0, penalty: float = 0.5, steps: int = 400
 ) -> OrdinalModel:
     """Fit weights and thresholds by maximum likelihood with an L2 penalty.
 
