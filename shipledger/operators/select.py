@@ -14,6 +14,7 @@ from shipledger.functions.versions import (
     release_key,
     strip_parenthetical,
 )
+from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import order_by_key
 
 
@@ -146,7 +147,7 @@ def _containing_names(terms: DataFrame, names: DataFrame) -> DataFrame:
 
     A name that contains a term contains each piece of it. Both sides meet on the piece of
     the term that the fewest names have, then the pair is verified. Terms shorter than a
-    piece are a piece of their own.
+    piece are a piece of their own. Only pieces that some term has are counted and joined.
     """
     length = F.length("lname")
     pieces = names.select(
@@ -170,6 +171,7 @@ def _containing_names(terms: DataFrame, names: DataFrame) -> DataFrame:
             .otherwise(_grams(F.col("term"), F.array(size)))
         ).alias("gram"),
     )
+    pieces = join_dimension(pieces, wanted.select("gram").distinct(), ["gram"])
     frequency = pieces.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         wanted.join(frequency, "gram", "left")
@@ -177,7 +179,7 @@ def _containing_names(terms: DataFrame, names: DataFrame) -> DataFrame:
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     )
     return (
-        pieces.join(rarest, "gram")
+        join_dimension(pieces, rarest, ["gram"])
         .where(F.contains(F.col("lname"), F.col("term")))
         .select("term", "lname")
     )

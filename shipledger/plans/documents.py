@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shipledger.operators import changelog, digest, flatten, index as I, quality as Q
 from shipledger.plans.catalogue import line_components, order_releases, order_sdks, table
-from shipledger.plans.registry import query
+from shipledger.plans.registry import ORACLE, QUERIES, query
 from shipledger.plans.sql import (
     LINE_NAME, LINE_ORD, LINE_PATH, LINE_VERSION, ORDER_REL, ORDER_SDK, build_order, with_,
 )
@@ -534,6 +534,19 @@ def write_and_scan_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.explode_components(back).drop("ord")
 
 
+@query(
+    "explode_components",
+    with_(ORDER_REL)
+    + f"""SELECT build_number, count(*) AS n, min(name) AS low, max(name) AS high FROM orel r JOIN (
+ SELECT l_orderkey, {LINE_NAME} AS name FROM lineitem GROUP BY 1, 2) c ON c.l_orderkey = r.order_key GROUP BY 1""",
+)
+def explode_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component rows of nested documents, counted per release."""
+    return flatten.explode_components(documents(spark, sf_dir)).groupBy("build_number").agg(
+        F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high")
+    )
+
+
 @query(
     "explode_sdks",
     with_(ORDER_REL, ORDER_SDK)
@@ -556,6 +569,28 @@ def publish_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("product", "build_number", "os_version", "is_beta")
 
 
+def _publish_query(name: str, of: str) -> None:
+    """Register ``name``: the rows of query ``of``, published as JSON and read back."""
+
+    def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = scratch(spark, "publish")
+        rows = QUERIES[of](spark, sf_dir)
+        writers.publish(rows, name, out)
+        return spark.read.schema(rows.schema).json(f"{out}/{name}")
+
+    published.__doc__ = f"The rows of ``{of}`` published as JSON and read back."
+    query(name, ORACLE[of])(published)
+
+
+for _name, _of in (
+    ("publish_latest", "latest_releases"),
+    ("publish_components", "latest_components"),
+    ("publish_history", "history_direction"),
+    ("publish_compare", "compare_with_previous"),
+):
+    _publish_query(_name, _of)
+
+
 @query(
     "load_indexed",
     with_(ORDER_REL)

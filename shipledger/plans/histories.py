@@ -79,14 +79,6 @@ def history_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directed.drop("min_pos")
 
 
-@query("explode_components", with_(COMP) + "SELECT build_number, count(*) AS n, min(name) AS low, max(name) AS high FROM comp GROUP BY 1")
-def explode_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component rows per release."""
-    return month_components(spark, sf_dir).groupBy("build_number").agg(
-        F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high")
-    )
-
-
 @query("sdk_versions", with_(ORDER_REL, ORDER_SDK) + "SELECT DISTINCT sdk_version FROM osdk")
 def sdk_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct SDK versions."""

@@ -59,7 +59,8 @@ def write_index(index: DataFrame, base: str) -> str:
 
     The rows are written completely to a folder of their own before the pointer file
     ``CURRENT`` is replaced by a rename, so readers see the old or the new index, never a
-    part. The rows are in version order, newest first, and range-partitioned by it.
+    part. The rows are in version order, newest first, and range-partitioned by it. The current
+    version and the one before stay, older ones are removed. The store must rename atomically.
     """
     spark = index.sparkSession
     version = uuid.uuid4().hex
@@ -77,9 +78,18 @@ def write_index(index: DataFrame, base: str) -> str:
     )
     overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
     context.rename(draft, current, overwrite)
+    _drop_old_versions(base, version, path, files)
     return version
 
 
+def _drop_old_versions(base: str, current: str, path, files, keep: int = 2) -> None:
+    """Remove all versions but the newest ``keep``; a reader of the one before can finish."""
+    found = [(s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(path(base))]
+    versions = sorted(v for v in found if v[1].startswith("v-") and v[1] != f"v-{current}")
+    for _, name in versions[: max(0, len(versions) - (keep - 1))]:
+        files.delete(path(f"{base}/{name}"), True)
+
+
 def read_index(spark: SparkSession, base: str) -> DataFrame | None:
     """The current index below ``base``; None when there is none yet.
 
