@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shipledger import fixed
 from shipledger.functions.versions import build_key
+from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import explode_found
 from shipledger.operators.index import duplicate_check, index_diff, index_order_check
 from shipledger.session import settle
@@ -311,9 +312,15 @@ def catalog_documents(raw: DataFrame, product: str) -> DataFrame:
 
 
 def validate_documents(documents: DataFrame, product: str) -> DataFrame:
-    """Violations of single documents; one scan, no shuffle.
+    """Violations of single documents; one scan, no shuffle."""
+    return _unfold(judge_documents(documents, product), F.col("found"))
 
-    Every value is looked up once into a plain column before the rules read it.
+
+def judge_documents(documents: DataFrame, product: str) -> DataFrame:
+    """file_name, build, valid, names and found of every document; one scan, no shuffle.
+
+    ``valid`` tells whether it is JSON, ``names`` are its component names if no required field is missing, ``found`` are
+    its violations. Every value is looked up once into a plain column before the rules read it.
     """
     required = fixed.REQUIRED_FIELDS[product]
     allowed = required + fixed.OPTIONAL_FIELDS
@@ -367,12 +374,19 @@ def validate_documents(documents: DataFrame, product: str) -> DataFrame:
         .when(F.size("missing") > 0, incomplete)
         .otherwise(F.concat(*parts))
     )
-    return _unfold(read, found)
+    complete = ~F.col("invalid") & (F.size("missing") == 0)
+    return read.select(
+        "file_name",
+        "build",
+        (~F.col("invalid")).alias("valid"),
+        F.when(complete, F.array_compact("names")).alias("names"),
+        found.alias("found"),
+    )
 
 
 def duplicate_builds(documents: DataFrame) -> DataFrame:
-    """Every further document of a build, in file order; files of one name count each."""
-    valid = documents.where("v is not null").groupBy("build", "file_name").agg(
+    """Every further valid document of a build (file_name, build, valid), in file order; files of one name count each."""
+    valid = documents.where("valid").groupBy("build", "file_name").agg(
         F.count("*").alias("copies")
     )
     first = valid.groupBy("build").agg(
@@ -406,36 +420,28 @@ def rare_names(
         releases.select("product", "build_number").distinct()
         .groupBy("product").count().where(F.col("count") > min_releases).select("product")
     )
-    return (
+    rare = (
         components.select("product", "name", "build_number").distinct()
         .groupBy("product", "name").agg(F.count("*").alias("releases"))
         .where(F.col("releases") < min_count)
-        .join(big, "product", "left_semi")
-    )
-
-
-def _document_components(documents: DataFrame, product: str) -> DataFrame:
-    required = F.array(*[F.lit(f) for f in fixed.REQUIRED_FIELDS[product]])
-    keys = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
-    complete = documents.where(
-        F.col("v").isNotNull() & (F.size(F.array_except(required, keys)) == 0)
-    )
-    elements = _read_elements(_list(F.col("v"), "components"), ["name"])
-    listed = complete.select(
-        F.lit(product).alias("product"),
-        F.col("file_name").alias("build_number"),
-        F.array_compact(_component_names(elements)).alias("names"),
     )
-    return explode_found(listed, "names", ["product", "build_number"], "name")
+    return join_dimension(rare, big, ["product"])
 
 
 def validate_releases(raw: DataFrame, product: str) -> DataFrame:
-    """All violations of the documents (file_name, raw) of a product."""
-    documents = catalog_documents(raw, product)
-    releases = documents.where("v is not null").select(
+    """All violations of the documents (file_name, raw) of a product.
+
+    Documents are parsed and judged once; rules about several documents read the table that gives.
+    """
+    judged = settle(judge_documents(catalog_documents(raw, product), product))
+    releases = judged.where("valid").select(
         F.lit(product).alias("product"), F.col("build").alias("build_number")
     )
-    rare = rare_names(_document_components(documents, product), releases).select(
+    listed = judged.where(F.col("names").isNotNull()).select(
+        F.lit(product).alias("product"), F.col("file_name").alias("build_number"), "names"
+    )
+    components = explode_found(listed, "names", ["product", "build_number"], "name")
+    rare = rare_names(components, releases).select(
         F.lit("").alias("file_name"),
         F.lit("").alias("build"),
         F.lit("components").alias("field"),
@@ -444,8 +450,8 @@ def validate_releases(raw: DataFrame, product: str) -> DataFrame:
         F.col("name").alias("detail"),
     )
     return (
-        validate_documents(documents, product)
-        .unionByName(duplicate_builds(documents))
+        _unfold(judged, F.col("found"))
+        .unionByName(duplicate_builds(judged))
         .unionByName(rare)
     )
 
