@@ -49,6 +49,10 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
+#: Components in a block at most: 2 MiB of doubles.
+BLOCK_VALUES = 1 << 18
+#: Dimensions up to which their first blocks are broadcast: 32 MiB at most.
+BROADCAST_HEADS = 16
 BLOCK = "block long, dim int, longest double, ids binary, data binary"
 
 
@@ -57,7 +61,7 @@ def _to_blocks(rows_per_block: int):
         number = TaskContext.get().partitionId() << 32
         ids: list[np.ndarray] = []
         vectors: list[np.ndarray] = []
-        have, now, longest = 0, None, 0.0
+        have, most, now, longest = 0, rows_per_block, None, 0.0
 
         def block() -> pa.RecordBatch:
             row = {
@@ -78,13 +82,14 @@ def _to_blocks(rows_per_block: int):
             names = batch.column(0).to_numpy()
             at = 0
             while at < batch.num_rows:
-                if have and (dims[at] != now or have >= rows_per_block):
+                if have and (dims[at] != now or have >= most):
                     yield block()
                     number, have, ids, vectors = number + 1, 0, [], []
                 if not have:
                     now, longest = int(dims[at]), float(norms[at])
+                    most = max(1, min(rows_per_block, BLOCK_VALUES // now))
                 other = np.flatnonzero(dims[at:] != now)
-                end = min(at + rows_per_block - have, at + int(other[0]) if len(other) else batch.num_rows)
+                end = min(at + most - have, at + int(other[0]) if len(other) else batch.num_rows)
                 ids.append(names[at:end])
                 vectors.append(values[offsets[at] : offsets[end]].reshape(end - at, now))
                 have, at = have + end - at, end
@@ -275,8 +280,9 @@ def exact_top_k(
     heads = blocks.join(head, ["dim", "block"]).select(
         "dim", F.col("ids").alias("head_ids"), F.col("data").alias("head_data")
     )
+    few = F.broadcast(heads) if head.count() <= BROADCAST_HEADS else heads
     bounded = written(
-        query_blocks.join(heads, "dim", "left").mapInArrow(_bound_rows(k), "block long, bounds binary, need double"),
+        query_blocks.join(few, "dim", "left").mapInArrow(_bound_rows(k), "block long, bounds binary, need double"),
         "query-bounds",
     )
     q = query_blocks.join(bounded, "block").select(
