@@ -230,12 +230,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     return fit_ordinal([r["features"] for r in rows], np.array([r["grade"] for r in rows], dtype=np.int64))
 
 
-def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` with expected_grade and tail_probability (P(grade >= 2)), which replace such columns.
+def score(
+    docs: DataFrame, model: OrdinalModel, grade: str = "expected_grade", tail: str = "tail_probability"
+) -> DataFrame:
+    """``docs`` with the expected grade and the tail probability P(grade >= 2).
 
-    All rows and columns stay; a null text is an empty one; texts are read whole.
+    The columns ``grade`` and ``tail`` replace such columns; all rows and other columns stay; a null
+    text is an empty one; texts are read whole.
     """
-    docs = docs.drop("expected_grade", "tail_probability")
+    docs = docs.drop(grade, tail)
     at = docs.columns.index("text")
     # The selected buckets and weights: bounded by the number of buckets.
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.thresholds))
@@ -250,11 +253,11 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 chances = model.probabilities(sums)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(chances @ np.arange(GRADES)), pa.array(chances[:, GRADES - 1])],
-                    names=[*part.schema.names, "expected_grade", "tail_probability"],
+                    names=[*part.schema.names, grade, tail],
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")
+    return docs.mapInArrow(run, f"{schema}, `{grade}` double, `{tail}` double")
 
 
 #: Documents with a smaller chance of the best grade are rejected.
@@ -263,5 +266,5 @@ LEAST_TAIL = 0.5
 
 def select(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL) -> DataFrame:
     """``docs`` whose tail probability is at least ``least_tail``, with their own columns only."""
-    scored = score(docs, model)
-    return scored.where(F.col("tail_probability") >= least_tail).select(*docs.columns)
+    scored = score(docs, model, "_selected_grade", "_selected_tail")
+    return scored.where(F.col("_selected_tail") >= least_tail).select(*docs.columns)

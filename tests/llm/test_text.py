@@ -113,7 +113,7 @@ def test_quality(spark):
     grades = [[scored[d].expected_grade for d, q, t in labels[1200:] if (q, t) == kind] for kind in ((1, 1), (0, 0), (1, 0))]
     assert np.mean(grades[0]) < np.mean(grades[1]) < np.mean(grades[2])
     kept = quality.select(df, model)
-    assert kept.columns == df.columns
+    assert kept.schema == df.schema
     nothing = quality.fit(df, train.limit(0))
     assert quality.select(df, nothing).count() == df.count()
     assert quality.score(df.limit(0), model).count() == 0
