@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import release_key
+from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import explode_found
 from shipledger.operators.succession import with_next
+from shipledger.session import settle
 
 KEY = ["product", "build_number"]
 
@@ -59,18 +61,19 @@ def index_order_check(index: DataFrame, key: Column | None = None) -> DataFrame:
 
     The sorted index is never numbered. The rows before the first inversion are in order,
     so the first wrong place is where the highest later row would belong: the first row
-    below that one. Everything but finding neighbours is an aggregate.
+    below that one. Everything but finding neighbours is an aggregate; what is found per product, a row
+    each, meets the rows by ``join_dimension``.
     """
-    keyed = index.select("product", "build_number", "pos", (release_key() if key is None else key).alias("_key"))
-    following = with_next(keyed, ["product"], [F.col("pos").asc()], ["_key"])
+    rows = settle(
+        index.select("product", "build_number", "pos", (release_key() if key is None else key).alias("_key"))
+    )
+    following = with_next(rows, ["product"], [F.col("pos").asc()], ["_key"])
     inversions = (
         following.where(F.col("_key") < F.col("next._key"))
         .groupBy("product")
         .agg(F.min("pos").alias("_last"))
     )
-    # The rows that with_next has written out, so that keys are not computed again.
-    rows = following.select(*keyed.columns)
-    placed = rows.join(inversions, "product")
+    placed = join_dimension(rows, inversions, ["product"])
     best = (
         placed.where(F.col("pos") > F.col("_last"))
         .groupBy("product")
@@ -79,14 +82,14 @@ def index_order_check(index: DataFrame, key: Column | None = None) -> DataFrame:
             F.max_by("build_number", F.struct("_key", -F.col("pos"))).alias("expected"),
         )
     )
-    wrong = placed.join(best, "product").where(
+    wrong = join_dimension(placed, best, ["product"]).where(
         (F.col("pos") <= F.col("_last")) & (F.col("_key") < F.col("_top._key"))
     )
     first = wrong.groupBy("product", "expected").agg(
         F.min("pos").alias("_pos"), F.min_by("build_number", "pos").alias("actual")
     )
     before = (
-        rows.join(first, "product")
+        join_dimension(rows, first, ["product"])
         .where(F.col("pos") < F.col("_pos"))
         .groupBy("product")
         .agg(F.count("*").alias("position"))
