@@ -457,23 +457,37 @@ def validate_releases(raw: DataFrame, product: str) -> DataFrame:
 
 
 def index_entries(texts: DataFrame) -> DataFrame:
-    """Entries (pos, raw) of an index text (value); an array in one document."""
-    entries = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    """Entries (pos, raw) of an index text (value); an array in one document.
+
+    The array is split into the texts of its entries without a VARIANT of the whole, whose size is limited.
+    """
+    entries = F.from_json("value", "array<string>")
     listed = explode_found(texts.select(entries.alias("entries")), "entries", [], "e", "pos")
-    return listed.select(F.col("pos").cast("bigint").alias("pos"), F.to_json("e").alias("raw"))
+    return listed.select(F.col("pos").cast("bigint").alias("pos"), F.col("e").alias("raw"))
+
+
+#: Texts up to this size can be told from JSON of another kind; VARIANT values end there.
+VARIANT_BYTES = 128 * 1024 * 1024
 
 
 def validate_index_text(texts: DataFrame) -> DataFrame:
-    """Violations of an index text as a whole: not JSON, or not an array."""
-    parsed = F.try_parse_json("value")
+    """Violations of an index text as a whole: missing, not JSON, not an array, or neither an array nor
+    small enough to tell."""
+    is_array = F.json_array_length("value").isNotNull()
+    large = F.octet_length("value") > VARIANT_BYTES
+    parsed = F.when(~is_array & ~large, F.try_parse_json("value"))
     kind = F.schema_of_variant(parsed)
     checks = _collect(
         [
-            _violation(parsed.isNull(), "", "invalid_json"),
-            _violation(parsed.isNotNull() & ~kind.startswith("ARRAY"), "", "not_array", detail=kind),
+            _violation(~is_array & large, "", "too_large"),
+            _violation(~is_array & ~large & parsed.isNull(), "", "invalid_json"),
+            _violation(parsed.isNotNull(), "", "not_array", detail=kind),
         ]
     )
-    return texts.select(F.explode(checks).alias("x")).select(
+    absent = texts.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        F.explode(_collect([_violation(F.lit(True), "", "index_missing")])).alias("x")
+    )
+    return texts.select(F.explode(checks).alias("x")).unionByName(absent).select(
         F.lit("releases.json").alias("file_name"), F.lit("").alias("build"), "x.*"
     )
 

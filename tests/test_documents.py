@@ -216,6 +216,26 @@ def test_digests(spark, tmp_path):
     }
 
 
+def test_index_text(spark):
+    def rules(*values):
+        return [r.rule for r in Q.validate_index_text(spark.createDataFrame([(v,) for v in values], "value string")).collect()]
+
+    assert rules('[{"buildNumber": "A"}, 3, null]') == [] and rules("[]") == []
+    assert rules('[{"a": 1}, {"b"') == ["invalid_json"] and rules("{}") == ["not_array"] and rules() == ["index_missing"]
+    entries = Q.index_entries(spark.createDataFrame([('[{"b": 1,  "a": [2, "x"]}, 3, {"c": null}]',)], "value string")).collect()
+    assert [(r.pos, json.loads(r.raw)) for r in entries] == [(0, {"b": 1, "a": [2, "x"]}), (1, 3), (2, {"c": None})]
+
+
+def test_large_index_text(spark):
+    count = 700_000
+    texts = spark.createDataFrame([("x",)], "v string").select(F.expr("repeat('n', 170)").alias("n")).select(
+        F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.concat(F.lit('{"buildNumber": "B'), i.cast("string"), F.lit('", "releaseName": "'), F.col("n"), F.lit('"}'))), ","), F.lit("]")).alias("value")
+    )
+    assert texts.select(F.length("value")).first()[0] > Q.VARIANT_BYTES
+    assert Q.validate_index_text(texts).count() == 0
+    assert Q.index_entries(texts).count() == count
+
+
 def test_rejected_documents(spark, tmp_path):
     good = {"osVersion": "15.1", "buildNumber": "A1", "releaseName": "n"}
     (tmp_path / "a.json").write_text(json.dumps(good, indent=2))
