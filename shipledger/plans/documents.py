@@ -623,14 +623,14 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("scan_artifacts", "SELECT CAST(page_id AS VARCHAR) AS page_id, sha256(html || chr(10)) AS digest FROM pages WHERE octet_length(encode(html)) + 1 <= 8000")
+@query("scan_artifacts", "SELECT CAST(page_id AS VARCHAR) AS page_id, sha256(html || chr(10)) AS digest FROM pages")
 def scan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as files, read as binary up to a size."""
+    """Pages written as files, read as binary."""
     out = scratch(spark, "artifacts")
     table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy(
         "page_id"
     ).text(out)
-    found = readers.scan_artifacts(spark, out, exts=["txt"], max_bytes=8000)
+    found = readers.scan_artifacts(spark, out, exts=["txt"])
     return found.select(F.regexp_extract("path", r"page_id=(\d+)", 1).alias("page_id"), F.sha2("content", 256).alias("digest"))
 
 

@@ -355,8 +355,8 @@ def python_runtime_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sdk_rows",
-    """SELECT o.o_orderkey AS ord, CAST(o.o_custkey AS VARCHAR) AS build_number, o.o_orderpriority AS sdk_version, coalesce(c_mktsegment, '-') AS build_version
- FROM orders o LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 WHERE o_orderstatus <> 'O'""",
+    """SELECT o.o_orderkey AS ord, CAST(o.o_custkey AS VARCHAR) AS build_number, o.o_orderpriority AS sdk_version, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, '-') AS build_version
+ FROM orders o LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'O'""",
 )
 def sdk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SDK settings made from orders, with builds made from customers."""
@@ -365,9 +365,9 @@ def sdk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Xcode").alias("product"), F.col("o_custkey").cast("string").alias("build_number"),
         folder.alias("sdk_dir"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("version"),
     )
-    versions = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(
+    versions = table(spark, sf_dir, "customer").select(
         F.lit("Xcode").alias("product"), F.col("c_custkey").cast("string").alias("build_number"),
-        F.lit("SDKs/MacOSX.sdk").alias("sdk_dir"), F.col("c_mktsegment").alias("sdk_build"),
+        F.lit("SDKs/MacOSX.sdk").alias("sdk_dir"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("sdk_build"),
     )
     return X.sdk_rows(settings, versions).select(
         "ord", "build_number", "sdk_version", F.coalesce("build_version", F.lit("-")).alias("build_version")

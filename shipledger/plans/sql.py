@@ -61,7 +61,7 @@ def tokens(v: str) -> str:
 
 def padded(v: str) -> str:
     """Token list padded with zeros, so that a missing token equals zero."""
-    return f"list_resize({tokens(v)}, 16, {{'r': 0, 'n': CAST(0 AS BIGINT), 't': ''}})"
+    return f"list_resize({tokens(v)}, greatest(256, len({tokens(v)})), {{'r': 0, 'n': CAST(0 AS BIGINT), 't': ''}})"
 
 
 def direction(a: str, b: str) -> str:
