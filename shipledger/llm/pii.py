@@ -1,15 +1,15 @@
 """Personal data by patterns, and terms that give protected entities away.
 
 Base spans are matches of fixed patterns. The values found are the protected entities. A term
-reveals an entity when the corpus shows that it comes with it: over the distinct lines of all
-documents, the share of an entity's information that a term discloses is
+reveals an entity when the corpus shows that it comes with it: over the lines of all documents,
+the share of an entity's information that a term discloses is
 
     disclosure(e, t) = PMI(e, t) / IC(e) = log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e))
 
-with N distinct lines, n(e), n(t) and n(e, t) of them with the entity, the term and both. It is 1
+with N lines, n(e), n(t) and n(e, t) of them with the entity, the term and both. It is 1
 for a term that only occurs with the entity. A term with a disclosure of at least ``threshold``, seen
-with the entity in at least ``support`` distinct lines, is generalised to its class, or removed from
-``removal`` on, in every line that holds the entity. A line that was copied counts once.
+with the entity in at least ``support`` different lines, is generalised to its class, or removed from
+``removal`` on, in every line that holds the entity. A copied line is no further support.
 
 Everything is Column code; a text's added spans depend on the text and the corpus, so they are
 joined by a hash of the text.
@@ -94,9 +94,9 @@ KEY = ["_hash", "_chars"]
 
 
 def _entity_lines(texts: DataFrame) -> DataFrame:
-    """Lines with protected entities: text key, start and hash of the line, line, entities in it."""
-    lines = texts.select(*KEY, "base", F.split("text", "\n", -1).alias("lines")).selectExpr(
-        *KEY, "base", "lines", "posexplode(lines) AS (at, line)"
+    """Lines with protected entities: text key, rows with the text, start and hash of the line, line, entities in it."""
+    lines = texts.select(*KEY, "copies", "base", F.split("text", "\n", -1).alias("lines")).selectExpr(
+        *KEY, "copies", "base", "lines", "posexplode(lines) AS (at, line)"
     )
     # The start of a line is what stands before it: all earlier lines and their line feeds.
     start = "aggregate(slice(lines, 1, at), 0, (a, b) -> a + length(b) + 1)"
@@ -105,7 +105,7 @@ def _entity_lines(texts: DataFrame) -> DataFrame:
         .withColumn("line_end", F.col("line_start") + F.length("line"))
         .withColumn("inside", F.expr("filter(base, s -> s.start >= line_start AND s.end <= line_end)"))
         .where(F.size("inside") > 0)
-        .select(*KEY, "line", F.xxhash64("line").alias("context"), "line_start", "inside")
+        .select(*KEY, "copies", "line", F.xxhash64("line").alias("context"), "line_start", "inside")
     )
 
 
@@ -119,35 +119,37 @@ def revealing_terms(
     seen = (
         lines.withColumn("entities", F.expr("array_distinct(transform(inside, s -> lower(s.value)))"))
         .withColumn("line", masked)
-        .select("context", F.explode("entities").alias("entity"), words.alias("terms"))
-        .distinct()
+        .select("context", "copies", F.explode("entities").alias("entity"), words.alias("terms"))
+    )
+    entities = (
+        seen.groupBy("entity")
+        .agg(F.sum("copies").alias("n_e"), F.countDistinct("context").alias("lines"))
+        .where(F.col("lines") >= support)
     )
-    entities = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_e")).where(F.col("n_e") >= support)
     joint = (
-        seen.join(entities, "entity")
-        .select("entity", "n_e", "context", F.explode("terms").alias("term"))
+        seen.join(entities.select("entity", "n_e"), "entity")
+        .select("entity", "n_e", "context", "copies", F.explode("terms").alias("term"))
+        .groupBy("entity", "n_e", "term", "context")
+        .agg(F.sum("copies").alias("copies"))
         .groupBy("entity", "n_e", "term")
-        .agg(F.countDistinct("context").alias("n_et"))
-        .where(F.col("n_et") >= support)
+        .agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("lines"))
+        .where(F.col("lines") >= support)
     )
-    joint = written(joint, "pii-joint")
-    # Counts over all documents; only the terms in question are carried on.
+    joint = written(joint.withColumn("term_hash", F.xxhash64("term")), "pii-joint")
+    # Counts over all documents, combined before they are shuffled.
     every = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    asked = joint.select("term").distinct()
-    n_lines = every.select(F.xxhash64("line").alias("context")).distinct().agg(F.count(F.lit(1)).alias("n"))
     counts = (
-        every.select(F.xxhash64("line").alias("context"), F.explode(words).alias("term"))
-        .join(asked, "term", "left_semi")
-        .distinct()
-        .groupBy("term")
+        every.select(F.explode(words).alias("term"))
+        .groupBy(F.xxhash64("term").alias("term_hash"))
         .agg(F.count(F.lit(1)).alias("n_t"))
     )
-    total = n_lines.first()["n"]  # one number
+    line_feeds = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
+    total = docs.agg(F.sum(line_feeds + 1).alias("n")).first()["n"] or 0  # one number
     disclosure = F.log2(F.lit(float(max(1, total))) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(
         F.lit(float(max(1, total))) / F.col("n_e")
     )
     return (
-        joint.join(counts, "term")
+        joint.join(counts, "term_hash")
         .where(F.col("n_e") < total)
         .withColumn("disclosure", disclosure)
         .where(F.col("disclosure") >= threshold)
@@ -169,7 +171,11 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 2
         "doc_id", *_text_key(), "base", F.when(F.size("base") > 0, F.col("text")).alias("text")
     )
     base = written(base, "pii-base")
-    texts = base.where(F.col("text").isNotNull()).select(*KEY, "base", "text").dropDuplicates(KEY)
+    texts = (
+        base.where(F.col("text").isNotNull())
+        .groupBy(*KEY)
+        .agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    )
     lines = written(_entity_lines(texts), "pii-lines")
     terms = revealing_terms(docs, lines, threshold, support, removal)
     risky = (
