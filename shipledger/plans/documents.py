@@ -11,7 +11,7 @@ from shipledger.operators import changelog, digest, flatten, index as I, quality
 from shipledger.plans.catalogue import line_components, order_releases, order_sdks, table
 from shipledger.plans.registry import ORACLE, QUERIES, query
 from shipledger.plans.sql import (
-    LINE_NAME, LINE_ORD, LINE_PATH, LINE_VERSION, ORDER_REL, ORDER_SDK, build_order, with_,
+    LINE_NAME, LINE_ORD, LINE_PATH, LINE_VERSION, ORDER_REL, ORDER_SDK, with_,
 )
 from shipledger.schema import data_file
 from shipledger.session import settle
