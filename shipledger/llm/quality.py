@@ -21,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,19 +136,19 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    features: list[list[int]], grades: np.ndarray, least_rows: int = 4, least_score: float = 4.0, penalty: float = 0.5, steps: int = 400
+    lengths: np.ndarray, column: np.ndarray, grades: np.ndarray, least_rows: int = 4, least_score: float = 4.0, penalty: float = 0.5, steps: int = 400
 ) -> OrdinalModel:
     """Fit weights and thresholds by maximum likelihood with an L2 penalty.
 
+    ``column`` holds the buckets of all rows one after the other, ``lengths`` how many each row has.
     Buckets are taken whose rows have a mean grade ``least_score`` standard errors away from that of all rows,
     and at least ``least_rows`` rows; others say nothing and would add up in long texts.
     """
-    n = len(features)
+    n = len(lengths)
     none = OrdinalModel(np.zeros(0, dtype=np.int64), np.zeros(0), np.array([-20.0, -10.0]))
     if n == 0 or len(set(grades.tolist())) < 2:
         return none
-    row = np.repeat(np.arange(n), [len(f) for f in features])
-    column = np.concatenate([np.asarray(f, dtype=np.int64) for f in features])
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
     count = np.bincount(column, minlength=BUCKETS)
     mean, spread = grades.mean(), max(1e-9, grades.std())
     total = np.bincount(column, weights=(grades - mean)[row], minlength=BUCKETS)
@@ -166,13 +167,13 @@ def fit_ordinal(
     for step in range(1, steps + 1):
         w, t0, gaps = params[: len(used)], params[len(used)], np.exp(params[len(used) + 1 :])
         cuts = np.concatenate([[t0], t0 + np.cumsum(gaps)])
-        score = x @ w
+        score = (x @ w.astype(np.float32)).astype(np.float64)
         below = 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -500, 500)))
         padded = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
         upper, lower = padded[np.arange(n), grades + 1], padded[np.arange(n), grades]
         chance = np.maximum(1e-12, upper - lower)
         slope_u, slope_l = upper * (1 - upper) / chance, lower * (1 - lower) / chance
-        grad_w = x.T @ (slope_u - slope_l) + penalty * w
+        grad_w = x.T @ (slope_u - slope_l).astype(np.float32) + penalty * w
         grad_cuts = np.zeros(GRADES - 1)
         for k in range(GRADES - 1):
             grad_cuts[k] = -(slope_u[grades == k].sum() - slope_l[grades == k + 1].sum())
@@ -217,17 +218,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
             )
 
     # At most sample_rows short rows on both ways.
-    rows = (
+    found = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
         .select("doc_id", "grade", "text")
         .mapInArrow(run, "doc_id long, grade int, text long, features array<int>")
         .toArrow()
-        .to_pylist()
+        .combine_chunks()
     )
-    by_text = {r["text"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["grade"]), reverse=True)}
-    rows = [by_text[t] for t in sorted(by_text)]
-    return fit_ordinal([r["features"] for r in rows], np.array([r["grade"] for r in rows], dtype=np.int64))
+    ids, grades, texts = (found.column(n).to_numpy() for n in ("doc_id", "grade", "text"))
+    order = np.lexsort((grades, ids, texts))
+    order = order[np.append(True, np.diff(texts[order]) != 0)[: len(order)]]
+    features = found.column("features").take(pa.array(order))
+    lengths = pc.list_value_length(features).to_numpy()
+    columns = pc.list_flatten(features).to_numpy()
+    return fit_ordinal(lengths, columns, grades[order].astype(np.int64))
 
 
 def score(
