@@ -534,6 +534,53 @@ def write_and_scan_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.explode_components(back).drop("ord")
 
 
+def release_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents of the order catalogue: files of many lines, every 7th torn or without build, and single ones."""
+    releases = order_releases(spark, sf_dir)
+    key = F.col("order_key")
+    text = F.to_json(
+        F.struct(
+            key.alias("orderKey"),
+            F.col("product").alias("productType"),
+            F.col("os_version").alias("osVersion"),
+            F.when(key % 14 != 7, F.col("build_number")).alias("buildNumber"),
+            F.col("release_name").alias("releaseName"),
+        )
+    )
+    torn = F.when(key % 14 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    single = (key <= 64) & (key % 7 != 0)
+    texts = releases.select("order_key", text.alias("value")).withColumn("value", torn)
+    out = scratch(spark, "release-files")
+    # Torn lines come first in a file, in between and last.
+    order = F.when(key % 28 == 0, 0).when(key % 56 == 14, 2).otherwise(1)
+    texts.where(~single).sortWithinPartitions(order, "order_key").select("value").write.text(f"{out}/lines")
+    texts.where(single).select("order_key", F.regexp_replace("value", ',"', ',\n  "').alias("value")).repartition(
+        "order_key"
+    ).write.partitionBy("order_key").text(f"{out}/single")
+    return out
+
+
+@query(
+    "scan_releases",
+    with_(ORDER_REL) + "SELECT product, build_number, os_version FROM orel WHERE order_key % 7 <> 0",
+)
+def scan_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read from files of many lines, some of them broken, and of one document."""
+    found = readers.scan_releases(spark, release_files(spark, sf_dir), glob="*.txt")
+    return readers.flat_releases(found).select("product", "build_number", "os_version")
+
+
+@query(
+    "scan_releases_rejected",
+    """SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 14 = 0 THEN 'invalid_json' ELSE 'buildNumber' END AS reason
+ FROM orders WHERE o_orderkey % 7 = 0""",
+)
+def scan_releases_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of ``scan_releases`` hold besides its documents."""
+    found = readers.scan_rejected(spark, release_files(spark, sf_dir), glob="*.txt")
+    return found.select(F.regexp_extract("text", r'"orderKey":(\d+)', 1).cast("bigint").alias("order_key"), "reason")
+
+
 @query(
     "explode_components",
     with_(ORDER_REL)

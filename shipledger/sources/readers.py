@@ -7,46 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shipledger.schema import INDEX_ENTRY, RELEASE_DOCUMENT, release_columns, with_defaults
+from shipledger.sources.forms import document_texts, is_document
 
 
-def scan_releases(spark: SparkSession, path: str, product: str | None = None) -> DataFrame:
+REQUIRED = ("osVersion", "buildNumber", "releaseName")
+
+
+def _scanned(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Every text below a folder that stands for a document: file_path, text, document ``d`` and reason of a reject."""
+    texts = document_texts(spark, path, glob).select("file_path", "text")
+    parsed = texts.withColumn("d", F.when(is_document(), F.from_json("text", RELEASE_DOCUMENT)))
+    reason = F.when(~is_document(), "invalid_json")
+    for name in REQUIRED:
+        reason = reason.when(F.col(f"d.{name}").isNull(), name)
+    return parsed.withColumn("reason", reason)
+
+
+def scan_releases(
+    spark: SparkSession, path: str, product: str | None = None, glob: str = "*.json"
+) -> DataFrame:
     """All release documents below a folder, one per file or one per line.
 
-    ``data_path`` is the path of the file below the folder, for :func:`load_indexed`.
+    ``glob`` chooses files by name. ``data_path`` is the path of the file below the folder, for :func:`load_indexed`.
     A document that lacks a required field or is not JSON is left out here and given by
     :func:`scan_rejected`.
     """
-    raw = (
-        spark.read.schema(RELEASE_DOCUMENT)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
-    )
-    whole = raw.where("osVersion is not null and buildNumber is not null and releaseName is not null")
-    documents = with_defaults(whole)
+    documents = with_defaults(_scanned(spark, path, glob).where("reason IS NULL").select("d.*", "file_path"))
     if product is not None:
         documents = documents.where(F.col("product") == product)
     return documents
 
 
-def scan_rejected(spark: SparkSession, path: str) -> DataFrame:
+def scan_rejected(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Documents that :func:`scan_releases` leaves out: file_path, reason and text.
 
-    ``reason`` is ``invalid_json`` or names the first required field that is missing.
+    ``reason`` is ``invalid_json`` or names the first required field that is missing. Both readers
+    take their rows from the same texts, so each document is in one of them.
     """
-    texts = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
-    )
-    parsed = texts.withColumn("d", F.from_json("text", RELEASE_DOCUMENT))
-    reason = F.when(F.expr("try_parse_json(text) IS NULL"), "invalid_json")
-    for name in ("osVersion", "buildNumber", "releaseName"):
-        reason = reason.when(F.col(f"d.{name}").isNull(), name)
-    return parsed.select("file_path", reason.alias("reason"), "text").where(F.col("reason").isNotNull())
+    return _scanned(spark, path, glob).where("reason IS NOT NULL").select("file_path", "reason", "text")
 
 
 def scan_release_lines(

@@ -13,7 +13,7 @@ from shipledger.operators import extract as X
 from shipledger.operators import index as I
 from shipledger.operators import quality as Q
 from shipledger.schema import data_file
-from shipledger.sources import readers, writers
+from shipledger.sources import forms, readers, writers
 from shipledger.streaming.upsert import stream_upsert_index
 
 
@@ -246,6 +246,34 @@ def test_rejected_documents(spark, tmp_path):
     assert [r.build_number for r in readers.flat_releases(readers.scan_releases(spark, str(tmp_path))).collect()] == ["A1"]
 
 
+@pytest.mark.parametrize("whole_bytes", [forms.WHOLE_BYTES, 0])
+def test_scan_takes_every_line(spark, tmp_path, monkeypatch, whole_bytes):
+    """Small files are read whole, large ones by line; both give the same."""
+    monkeypatch.setattr(forms.document_texts, "__defaults__", (None, whole_bytes))
+
+    def row(build, **more):
+        return {"osVersion": "15.1", "buildNumber": build, "releaseName": "n", **more}
+
+    lines = [json.dumps(row(f"L{i}")) for i in range(3)]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    (tmp_path / "first.json").write_text("{\"torn\":\n" + "\n\n".join(json.dumps(row(f"F{i}")) for i in range(2)))
+    (tmp_path / "middle.json").write_text("\r\n".join([json.dumps(row("M0")), "# comment", json.dumps(row("M1")), '{"osVersion": "1"}']))
+    (tmp_path / "mark.json").write_text("\ufeff" + json.dumps(row("B0")) + "\n" + json.dumps(row("B1")))
+    (tmp_path / "two.json").write_text(json.dumps(row("T0")) + " " + json.dumps(row("T1")))
+    parts = ",\n".join(json.dumps({"name": n, "version": "1", "path": "/p", "source": "sdk"}) for n in "ab")
+    (tmp_path / "pretty.json").write_text(json.dumps(row("P0"))[:-1] + ',\n"components": [\n' + parts + "\n]\n}\n")
+    (tmp_path / "array.json").write_text(json.dumps([row("A0"), row("A1"), 7], indent=1))
+    (tmp_path / "broken.json").write_text("{ broken\n document }")
+    docs = readers.scan_releases(spark, str(tmp_path)).collect()
+    assert sorted(r.build_number for r in docs) == ["A0", "A1", "B0", "B1", "F0", "F1", "L0", "L1", "L2", "M0", "M1", "P0"]
+    assert [len(r.components) for r in docs if r.build_number == "P0"] == [2]
+    rejected = sorted((r.file_path.rpartition("/")[2], r.reason) for r in readers.scan_rejected(spark, str(tmp_path)).collect())
+    assert rejected == [
+        ("array.json", "invalid_json"), ("broken.json", "invalid_json"), ("first.json", "invalid_json"),
+        ("middle.json", "buildNumber"), ("middle.json", "invalid_json"), ("two.json", "invalid_json"),
+    ]
+
+
 def test_stream_takes_both_forms_and_keeps_rejects(spark, tmp_path):
     def row(build, name):
         return {"osVersion": "15.1", "buildNumber": build, "releaseName": name}
