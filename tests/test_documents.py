@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -288,6 +289,20 @@ def test_stream_takes_both_forms_and_keeps_rejects(spark, tmp_path):
     assert sorted(r.document for r in spark.read.json(str(tmp_path / "index-rejects")).collect()) == ["not json", "{ broken\n document"]
 
 
+def test_stream_rejects_only_broken_lines(spark, tmp_path):
+    def row(build):
+        return json.dumps({"osVersion": "15.1", "buildNumber": build, "releaseName": "n"})
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "first[1].json").write_text("\n".join(["torn line", row("A1"), row("A2")]))
+    (tmp_path / "in" / "middle.json").write_text("\n".join([row("B1"), "# comment", row("B2"), '{"torn":', row("B3")]))
+    (tmp_path / "in" / "mark.json").write_text("\ufeff" + row("C1") + "\n" + row("C2"))
+    stream_upsert_index(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
+    index = sorted(r.build_number for r in writers.read_index(spark, str(tmp_path / "index")).collect())
+    assert index == ["A1", "A2", "B1", "B2", "B3", "C1", "C2"]
+    assert sorted(r.document for r in spark.read.json(str(tmp_path / "index-rejects")).collect()) == ["# comment", "torn line", '{"torn":']
+
+
 def test_change_lines(spark):
     lines = [
         "## What's Changed", "* feat(site): add page by @a-b in https://x/1", "* fix: typo", "* chore: bump by @x in https://x/2",
