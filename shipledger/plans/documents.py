@@ -688,10 +688,11 @@ def scan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as arriving documents in three deliveries; the last entry of each build stays."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    bounds = events.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    bounds = events.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"), F.min("event_id").alias("first")).first()
     width = (bounds["high"] - bounds["low"]) // 3 + 1
     delivery = F.floor((F.unix_micros("ts") - F.lit(bounds["low"])) / F.lit(width)).cast("int")
-    # Raw events, several of a build in a delivery: all of a build are in one file, in their order.
+    # Raw events, several of a build in a delivery; a build may spread over several files, so each event carries its order.
+    place = [F.lpad((c - F.lit(bounds[low])).cast("string"), 20, "0") for c, low in ((F.unix_micros("ts"), "low"), (F.col("event_id"), "first"))]
     documents = events.select(
         delivery.alias("delivery"),
         "ts",
@@ -699,11 +700,16 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("U"), "user_id").alias("buildNumber"),
         F.col("event_type").alias("releaseName"),
         F.lit("15.1").alias("osVersion"),
+        F.concat(*place).alias("order"),
     )
     base = scratch(spark, "stream")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for number in range(3):
-        documents.where(F.col("delivery") == number).repartition("buildNumber").sortWithinPartitions(
-            "ts", "event_id"
-        ).select("buildNumber", "releaseName", "osVersion").write.mode("append").json(f"{base}/in")
-        stream_upsert_index(spark, f"{base}/in", f"{base}/index", f"{base}/checkpoint").awaitTermination()
+        documents.where(F.col("delivery") == number).repartitionByRange(
+            files, "buildNumber", "ts", "event_id"
+        ).select("buildNumber", "releaseName", "osVersion", "order").write.mode("append").json(f"{base}/in")
+        # All files of a delivery are one batch.
+        stream_upsert_index(
+            spark, f"{base}/in", f"{base}/index", f"{base}/checkpoint", max_files=max(1000, 2 * files), order="order"
+        ).awaitTermination()
     return writers.read_index(spark, f"{base}/index").select("build_number", "release_name")

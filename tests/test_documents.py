@@ -303,6 +303,24 @@ def test_stream_rejects_only_broken_lines(spark, tmp_path):
     assert sorted(r.document for r in spark.read.json(str(tmp_path / "index-rejects")).collect()) == ["# comment", "torn line", '{"torn":']
 
 
+@pytest.mark.parametrize("whole_bytes", [forms.WHOLE_BYTES, 0])
+def test_stream_orders_a_build_over_files(spark, tmp_path, monkeypatch, whole_bytes):
+    """A build in two files of a batch: the order field decides, also in files read by line."""
+    monkeypatch.setattr(forms.document_texts, "__defaults__", (None, whole_bytes))
+
+    def row(name, seq):
+        return json.dumps({"osVersion": "15.1", "buildNumber": "A", "releaseName": name, "seq": seq})
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join([row("third", "3"), row("last", "4"), row("second", "2")]))
+    os.utime(tmp_path / "in" / "1.json", (1_000_000_000, 1_000_000_000))
+    (tmp_path / "in" / "2.json").write_text("\n".join([row("first", "1"), row("zero", "0")]))
+    for order, expected in (("seq", "last"), (None, "zero")):
+        out = str(tmp_path / f"index-{order}")
+        stream_upsert_index(spark, str(tmp_path / "in"), out, f"{out}-check", order=order).awaitTermination()
+        assert [r.release_name for r in writers.read_index(spark, out).collect()] == [expected]
+
+
 def test_change_lines(spark):
     lines = [
         "## What's Changed", "* feat(site): add page by @a-b in https://x/1", "* fix: typo", "* chore: bump by @x in https://x/2",
