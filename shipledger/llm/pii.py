@@ -6,10 +6,11 @@ the share of an entity's information that a term discloses is
 
     disclosure(e, t) = PMI(e, t) / IC(e) = log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e))
 
-with N lines, n(e), n(t) and n(e, t) of them with the entity, the term and both. It is 1
-for a term that only occurs with the entity. A term with a disclosure of at least ``threshold``, seen
-with the entity in at least ``support`` different lines, is generalised to its class, or removed from
-``removal`` on, in every line that holds the entity. A copied line is no further support.
+with N lines, n(e) and n(t) of them with the entity and with the term, and n(e, t) with the entity that have
+the term in them or in a line next to them. It is 1 for a term that only occurs there. A term with a disclosure
+of at least ``threshold``, seen with the entity in at least ``support`` different places, is generalised to its
+class, or removed from ``removal`` on, in every line of each text that holds the entity. Places differ by the line if the
+term is in it, else by two lines to either side; a copied line or block is no further support.
 
 Everything is Column code; a text's added spans depend on the text and the corpus, so they are
 joined by a hash of the text.
@@ -93,42 +94,64 @@ def _text_key() -> list[Column]:
 KEY = ["_hash", "_chars"]
 
 
-def _entity_lines(texts: DataFrame) -> DataFrame:
-    """Lines with protected entities: text key, rows with the text, start and hash of the line, line, entities in it."""
-    lines = texts.select(*KEY, "copies", "base", F.split("text", "\n", -1).alias("lines")).selectExpr(
-        *KEY, "copies", "base", "lines", "posexplode(lines) AS (at, line)"
-    )
+def _lines(texts: DataFrame) -> DataFrame:
+    """Lines of texts: text key, rows with the text, line, its start, entities in it, and the lines around it."""
+    lines = texts.withColumn("lines", F.split("text", "\n", -1)).drop("text").selectExpr("*", "posexplode(lines) AS (at, line)")
     # The start of a line is what stands before it: all earlier lines and their line feeds.
     start = "aggregate(slice(lines, 1, at), 0, (a, b) -> a + length(b) + 1)"
     return (
         lines.withColumn("line_start", F.expr(start))
         .withColumn("line_end", F.col("line_start") + F.length("line"))
         .withColumn("inside", F.expr("filter(base, s -> s.start >= line_start AND s.end <= line_end)"))
-        .where(F.size("inside") > 0)
-        .select(*KEY, "copies", "line", F.xxhash64("line").alias("context"), "line_start", "inside")
     )
 
 
+def _entity_lines(texts: DataFrame) -> DataFrame:
+    """Lines with protected entities: rows with the text, line, entities in it, the lines next to it without
+    entities, and hashes of the line (context) and of two lines to either side with it (around)."""
+    before, after = "coalesce(get(lines, at - 1), '')", "coalesce(get(lines, at + 1), '')"
+    near = f"filter(base, s -> s.end >= line_start - 1 - length({before}) AND s.start <= line_end + 1 + length({after}))"
+    found = _lines(texts).where(F.size("inside") > 0).withColumn("near", F.expr(near))
+    return found.select(
+        "copies",
+        "line",
+        "inside",
+        *[F.expr(f"aggregate(near, {x}, (l, s) -> replace(l, s.value, ' '))").alias(n) for n, x in (("before", before), ("after", after))],
+        F.xxhash64("line").alias("context"),
+        F.expr("xxhash64(slice(lines, greatest(at - 1, 1), 3 + least(at, 2)))").alias("around"),
+    )
+
+
+def _words(line: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
+
+
 def revealing_terms(
     docs: DataFrame, lines: DataFrame, threshold: float = 0.8, support: int = 2, removal: float = 0.95
 ) -> DataFrame:
     """(entity, term, disclosure, action): terms that reveal an entity in the lines of ``docs``."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))
     # Terms are looked for outside the entities.
     masked = F.expr("aggregate(inside, line, (l, s) -> replace(l, s.value, ' '))")
+    # A term of the line counts by the line, one beside it by the surroundings.
+    terms = F.expr(
+        "concat(transform(own, t -> named_struct('term', t, 'context', context)), "
+        "transform(array_except(array_union(first, last), own), t -> named_struct('term', t, 'context', around)))"
+    )
     seen = (
         lines.withColumn("entities", F.expr("array_distinct(transform(inside, s -> lower(s.value)))"))
         .withColumn("line", masked)
-        .select("context", "copies", F.explode("entities").alias("entity"), words.alias("terms"))
+        .withColumns({"own": _words("line"), "first": _words("before"), "last": _words("after")})
+        .select("around", "copies", F.explode("entities").alias("entity"), terms.alias("terms"))
     )
     entities = (
         seen.groupBy("entity")
-        .agg(F.sum("copies").alias("n_e"), F.countDistinct("context").alias("lines"))
+        .agg(F.sum("copies").alias("n_e"), F.countDistinct("around").alias("lines"))
         .where(F.col("lines") >= support)
     )
     joint = (
         seen.join(entities.select("entity", "n_e"), "entity")
-        .select("entity", "n_e", "context", "copies", F.explode("terms").alias("term"))
+        .select("entity", "n_e", "copies", F.explode("terms").alias("t"))
+        .select("entity", "n_e", "copies", "t.term", "t.context")
         .groupBy("entity", "n_e", "term", "context")
         .agg(F.sum("copies").alias("copies"))
         .groupBy("entity", "n_e", "term")
@@ -139,13 +162,13 @@ def revealing_terms(
     # Counts over all documents, combined before they are shuffled.
     every = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
     counts = (
-        every.select(F.explode(words).alias("term"))
+        every.select(F.explode(_words("line")).alias("term"))
         .groupBy(F.xxhash64("term").alias("term_hash"))
         .agg(F.count(F.lit(1)).alias("n_t"))
     )
     line_feeds = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
     total = docs.agg(F.sum(line_feeds + 1).alias("n")).first()["n"] or 0  # one number
-    disclosure = F.log2(F.lit(float(max(1, total))) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(
+    disclosure = F.log2(F.lit(float(max(1, total))) * F.least("n_et", "n_t") / (F.col("n_e") * F.col("n_t"))) / F.log2(
         F.lit(float(max(1, total))) / F.col("n_e")
     )
     return (
@@ -171,26 +194,33 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 2
         "doc_id", *_text_key(), "base", F.when(F.size("base") > 0, F.col("text")).alias("text")
     )
     base = written(base, "pii-base")
-    texts = (
+    texts = written(
         base.where(F.col("text").isNotNull())
         .groupBy(*KEY)
-        .agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.first("base").alias("base"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")),
+        "pii-texts",
     )
     lines = written(_entity_lines(texts), "pii-lines")
     terms = revealing_terms(docs, lines, threshold, support, removal)
+    # The revealing terms of a text are those of all its entities; they are marked in all its lines.
     risky = (
-        lines.withColumn("entity", F.explode(F.expr("array_distinct(transform(inside, s -> lower(s.value)))")))
+        texts.select(*KEY, F.explode(F.expr("array_distinct(transform(base, s -> lower(s.value)))")).alias("entity"))
         .join(terms, "entity")
-        .groupBy(*KEY, "line", "line_start", "inside")
-        .agg(F.collect_set(F.struct("term", "action")).alias("risky"))
+        .groupBy(*KEY, "term")
+        .agg(F.max("action").alias("action"))  # remove before generalise
+        .groupBy(*KEY)
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("risky"))
+    )
+    placed = (
+        _lines(texts.join(risky, KEY))
+        .withColumn("_words", F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))
+        .where(F.expr("exists(_words, w -> map_contains_key(risky, lower(w)))"))
+        .withColumn("_gaps", F.split("line", TERM, -1))
+        .withColumn("_spans", F.expr(_placed("_words", "_gaps", len(KINDS), "term")))
     )
-    placed = risky.withColumn("_words", F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).withColumn(
-        "_gaps", F.split("line", TERM, -1)
-    ).withColumn("_spans", F.expr(_placed("_words", "_gaps", len(KINDS), "term")))
     added = """
     filter(transform(_spans, s -> named_struct('start', s.start + line_start, 'rank', s.rank, 'kind', s.kind,
-        'end', s.end + line_start, 'value', s.value,
-        'action', get(filter(risky, r -> r.term = lower(s.value)).action, 0))),
+        'end', s.end + line_start, 'value', s.value, 'action', risky[lower(s.value)])),
       s -> s.action IS NOT NULL AND NOT exists(inside, b -> b.start < s.end AND s.start < b.end))"""
     by_text = placed.select(*KEY, F.explode(F.expr(added)).alias("span")).groupBy(*KEY).agg(
         F.array_sort(F.collect_set("span")).alias("added")

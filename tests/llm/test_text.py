@@ -80,6 +80,25 @@ def test_revealing_terms(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_revealing_terms_in_all_lines(spark):
+    docs = [(i, f"ordinary words about the weather number {i}\nanother ordinary line {i * 7}") for i in range(200)]
+    docs += [(300 + i, f"ask Nightjar the boss@corp.example {i}\nordinary line\nordinary end\nNightjar again, ordinary weather") for i in range(3)]
+    docs += [(400 + i, f"another ordinary number {i * 3}\nordinary weather\nOakwood Tern\nchief@corp.example\nanother line") for i in range(3)]
+    docs += [(500 + i, f"ordinary words {i}\nOakwood\nmail chief@corp.example {i}") for i in range(2)]
+    docs += [(600, "Nightjar ordinary"), (601, "copied Plover\ncopy@corp.example"), (602, "copied Plover\ncopy@corp.example")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    text = dict(docs)
+    for doc in (300, 301, 302):
+        at = [s.start for s in found[doc].added if s.value == "Nightjar"]
+        assert at == [m.start() for m in re.finditer("Nightjar", text[doc])] and len(at) == 2
+        assert not {s.value for s in found[doc].added} & {"ordinary", "weather"}
+    for doc in (400, 401, 402, 500, 501):
+        assert "Oakwood" in {s.value for s in found[doc].added} and all(text[doc][s.start : s.end] == s.value for s in found[doc].added)
+        assert not {s.value for s in found[doc].added} & {"ordinary", "weather"}
+    assert not found[600].added and not found[601].added
+
+
 def labelled(count, seed):
     rng = random.Random(seed)
     words = [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.choice('mnrst')}{rng.choice('aeiou')}{i}" for i in range(800)]
