@@ -76,6 +76,20 @@ def test_store_round_trip(spark, tokenizer):
         assert token_store.boundary(b, len(b.doc_ids)) == b.n_tokens and token_store.boundary(b, 0) == 0
 
 
+def test_store_against_the_tokenizer_as_loaded(spark):
+    """The ids are those of the untouched tokenizer, but for special tokens in a text, which are letters in the store."""
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    path = work.new_folder(spark, "store")
+    token_store.write_token_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    special = [t.content for t in loaded.get_added_tokens_decoder().values() if t.special]
+    for r in token_store.read_token_store(spark, path).collect():
+        text, ids = TEXTS[r.doc_id] or "", np.frombuffer(r.ids, "<u4").tolist()[:-1]
+        assert loaded.decode(ids, skip_special_tokens=True) == text
+        if not any(s in text for s in special):
+            assert ids == loaded.encode(text, add_special_tokens=False).ids
+
+
 def test_empty_store(spark):
     path = work.new_folder(spark, "store")
     docs = spark.createDataFrame([], "doc_id long, text string")
