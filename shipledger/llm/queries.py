@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, pii, quality, sharding, token_store, topk, work
+from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, sharding, token_store, topk, work
 from shipledger.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -208,3 +208,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, read back from the sequences."""
+    path, tokenizer = work.new_folder(spark, "packing"), public_tokenizers.path("word_bpe_49k.json")
+    packing.pack_documents(table(spark, sf_dir, "documents"), path, tokenizer, END_ID)
+    return packing.read_pieces(spark, path, tokenizer)
