@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, sharding, token_store, topk, work
+from shipledger.llm import bpe, chat, decontaminate, line_dedup, ngram_join, packing, pii, quality, runs, sharding, token_store, topk, work
 from shipledger.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -216,3 +216,43 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, tokenizer = work.new_folder(spark, "packing"), public_tokenizers.path("word_bpe_49k.json")
     packing.pack_documents(table(spark, sf_dir, "documents"), path, tokenizer, END_ID)
     return packing.read_pieces(spark, path, tokenizer)
+
+
+#: Every tenth document (by checksum of its id) becomes periodic from word ``a`` on, with period ``p``.
+_MADE_PERIODIC = r"""
+CASE WHEN crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN
+  transform(array(filter(split(text, r'[\x20\x09-\x0D]+'), w -> w <> '')), words ->
+    transform(array(crc32(CAST(doc_id AS STRING)) div 10), g ->
+      transform(array(g % size(words)), a ->
+        transform(array(1 + (size(words) - a) div (3 + g % 8)), p ->
+          array_join(transform(words, (w, i) -> if(i < a, w, get(words, CAST(a + (i - a) % p AS INT)))), ' ')
+        )[0])[0])[0])[0]
+ELSE text END
+"""
+
+
+def periodic_documents(docs: DataFrame) -> DataFrame:
+    """Documents of the contract of ``op12``: some texts replaced by periodic ones."""
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    return docs.select("doc_id", F.when(~blank, F.expr(_MADE_PERIODIC)).alias("text"))
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents, and digests of the runs and of the words outside of repetitions."""
+    best = F.expr(
+        f"aggregate(runs, CAST(NULL AS {runs.RUN}), (b, r) -> "
+        "if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))"
+    )
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    found = runs.find_runs(periodic_documents(table(spark, sf_dir, "documents"))).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
