@@ -20,9 +20,9 @@ def brute(words, min_length, min_exponent):
             while i + q < n and words[i] == words[i + q]:
                 i += 1
             length = i - s + q
-            smaller = any(all(words[s + k] == words[s + k + p] for k in range(length - p)) for p in range(1, q))
-            if i > s and length >= max(min_length, min_exponent * q) and not smaller:
-                found.append((s, length, q))
+            if i > s and length >= max(min_length, min_exponent * q):
+                if not any(words[s : s + length - p] == words[s + p : s + length] for p in range(1, q)):
+                    found.append((s, length, q))
             i += i == s
     return sorted(found, key=lambda r: (r[0], r[2]))
 
