@@ -10,6 +10,10 @@ from __future__ import annotations
 import numpy as np
 
 SAMPLE = 64
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Set bits of a byte, and the place of its k-th set bit.
+_ONES = _BITS.sum(axis=1).astype(np.int64)
+_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 def low_width(n: int, universe: int) -> int:
@@ -69,6 +73,22 @@ class EliasFano:
             low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << bit
         return (place - i) << self.width | low
 
+    def select_many(self, places: np.ndarray) -> np.ndarray:
+        """The values of many numbers at once, each by select: byte by rank, bit inside the byte by table."""
+        places = np.asarray(places, dtype=np.int64)
+        if len(places) and not (0 <= places.min() and places.max() < self.n):
+            raise IndexError(places)
+        if not len(places):
+            return np.zeros(0, dtype=np.int64)
+        ranks = np.cumsum(_ONES[self.high], dtype=np.int64)
+        byte = np.searchsorted(ranks, places, side="right")
+        inside = places - ranks[byte] + _ONES[self.high[byte]]
+        values = (byte * 8 + _SELECT[self.high[byte], inside] - places) << self.width
+        for bit in range(self.width):
+            at = places * self.width + bit
+            values |= (self.low[at >> 3].astype(np.int64) >> (at & 7) & 1) << bit
+        return values
+
     def all(self) -> np.ndarray:
         """All values, decoded at once."""
         if self.n == 0:

@@ -10,31 +10,11 @@ joined.
 
 from __future__ import annotations
 
-import json
 import re
 
-import numpy as np
-
 #: Characters with the Unicode property White_Space (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
-#: ``\s`` is a faster class, and also takes these four, which do not have the property.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_FAST_PIECE = re.compile(r"\s*\S+|\s+")
-
-
-def pieces(text: str) -> list[str]:
-    """Parts of ``text`` between the places where it may be cut."""
-    if any(c in text for c in _SEPARATORS):
-        return _PIECE.findall(text)
-    return _FAST_PIECE.findall(text)
-
-
-#: Letters only, after at most one space: one match of the pattern.
-_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: A piece that keeps its ids between line feeds: at most one space in front, no other white space.
-_SIMPLE = re.compile(r" ?\S+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,80 +22,3 @@ def byte_letters() -> dict[int, str]:
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
     return {byte: chr(byte if byte in visible else next(others)) for byte in range(256)}
-
-
-class PieceEncoder:
-    """Encode texts with a ``tokenizers`` tokenizer, each distinct piece once.
-
-    A new word goes straight to the tokenizer's model. Other new pieces of a few texts are encoded
-    together, one per line: a line feed before a space or another character is a match of its own,
-    so the ids of a line are those of its piece. A tokenizer of another kind than byte-level BPE
-    with the pattern above, without normalizer, encodes whole texts.
-    ``limit`` bounds the remembered pieces of a worker; beyond it they are forgotten and
-    encoded again, which costs time only.
-    """
-
-    def __init__(self, tokenizer, limit: int = 400_000):
-        self.tokenizer = tokenizer
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.letters = byte_letters()
-        kind = json.loads(tokenizer.to_str())
-        cutter = kind["pre_tokenizer"] or {}
-        self.by_piece = (
-            kind["model"]["type"] == "BPE"
-            and kind["normalizer"] is None
-            and cutter.get("type") == "ByteLevel"
-            and cutter.get("use_regex", True)
-            and not cutter.get("add_prefix_space")
-        )
-        feed = tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
-
-    def encode(self, texts: list[str], dtype) -> list[bytes]:
-        """The ids of every text as the bytes of ``dtype``."""
-        if not self.by_piece:
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.asarray(f.ids, dtype=dtype).tobytes() for f in found]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        cut = [pieces(text) for text in texts]
-        new = list(set().union(*cut) - known.keys())
-        self._learn_words([p for p in new if _WORD.fullmatch(p)], dtype)
-        new = [p for p in new if p not in known]
-        if self.feed is not None:
-            self._learn_lines([p for p in new if _SIMPLE.fullmatch(p)], dtype)
-            new = [p for p in new if p not in known]
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.asarray(found.ids, dtype=dtype).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
-
-    def _learn_words(self, new: list[str], dtype) -> None:
-        if not new:
-            return
-        tokenize = self.tokenizer.model.tokenize
-        letters = self.letters
-        ids: list[int] = []
-        ends: list[int] = []
-        for piece in new:
-            ids += [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-            ends.append(len(ids))
-        self._keep(new, np.asarray(ids, dtype=dtype), ends, 0)
-
-    def _learn_lines(self, new: list[str], dtype) -> None:
-        lines = ["\n".join(new[start : start + 2048]) for start in range(0, len(new), 2048)]
-        for start, found in zip(range(0, len(new), 2048), self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-            part = new[start : start + 2048]
-            ids = np.asarray(found.ids, dtype=dtype)
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-            if len(ends) == len(part):  # else left to be encoded one by one
-                self._keep(part, ids, ends.tolist(), 1)
-
-    def _keep(self, new: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
-        data, width, begin = ids.tobytes(), ids.itemsize, 0
-        for piece, end in zip(new, ends):
-            self.known[piece] = data[begin * width : end * width]
-            begin = end + gap

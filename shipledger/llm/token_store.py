@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shipledger.llm.elias_fano import EliasFano, build
-from shipledger.llm.pieces import PieceEncoder
+from shipledger.llm.word_cache import encoder_for
 from shipledger.llm.work import slices
 
 BLOCKS = (
@@ -44,14 +44,12 @@ def _block_schema() -> pa.Schema:
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer_file: str) -> PieceEncoder:
+def _encoder(tokenizer_file: str):
     """The encoder of a worker process; it keeps what it knows for the next task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(tokenizer)
+    return encoder_for(Tokenizer.from_file(tokenizer_file))
 
 
 def _write_blocks(tokenizer_file: str, end_id: int, block_tokens: int, block_docs: int):
@@ -76,16 +74,12 @@ def _write_blocks(tokenizer_file: str, end_id: int, block_tokens: int, block_doc
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for start in range(0, batch.num_rows, 256):
-                names = ids.slice(start, 256).to_pylist()
-                found = encoder.encode([t or "" for t in texts.slice(start, 256).to_pylist()], dtype)
-                for name, data in zip(names, found):
-                    docs.append(name)
-                    parts.append(data + end)
-                    bounds.append(bounds[-1] + len(data) // width + 1)
-                    if bounds[-1] >= block_tokens or len(docs) >= block_docs:
-                        yield block()
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                docs.append(name)
+                parts.append(ids.astype(dtype, copy=False).tobytes() + end)
+                bounds.append(bounds[-1] + len(ids) + 1)
+                if bounds[-1] >= block_tokens or len(docs) >= block_docs:
+                    yield block()
         if docs:
             yield block()
 
@@ -102,7 +96,8 @@ def write_token_store(
 ) -> None:
     """Encode ``docs`` (doc_id, text) into a token store at ``path``, in ascending doc_id order.
 
-    Every document gets ``end_id`` at its end. A null text is an empty one; a null doc_id sorts
+    Every document gets ``end_id`` at its end. The tokenizer is used as loaded, so a special token that stands in a text
+    becomes its id. A null text is an empty one; a null doc_id sorts
     first; rows with the same doc_id are all stored, ordered by text. Other columns are ignored.
     An empty table gives an empty store. Texts of any length are encoded whole; a document is
     never split over blocks. ``block_tokens`` and ``block_docs`` close a block.
@@ -140,7 +135,7 @@ def _read_blocks(columns: list[str]):
             for row in batch.to_pylist():
                 n = len(row["doc_ids"])
                 code = EliasFano(n + 1, row["low_width"], row["low"], row["high"], row["samples"])
-                bounds = code.all()
+                bounds = code.select_many(np.arange(n + 1))
                 ids = np.frombuffer(row["ids"], dtype=f"<u{row['width']}")
                 parts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
                 data = {

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from shipledger.llm.pieces import byte_letters
+
 #: Bytes of text that are cut and gathered at a time, so that the gathered ids stay small.
 PART_BYTES = 1 << 23
 #: Letters whose lower case is one letter, for which no normalization changes anything (fixed values).
@@ -135,6 +137,104 @@ class FoldedWordEncoder:
         return found
 
 
+#: Bytes of ASCII white space.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: First bytes of two-byte characters, but for 0xC2, with which two characters of white space begin.
+_TWO = np.zeros(256, dtype=bool)
+_TWO[0xC3:0xE0] = True
+
+
+def spaced_pieces(texts: pa.Array) -> pa.ListArray:
+    """Every text cut before ASCII white space that follows an ASCII character or a two-byte one, which are not white space.
+
+    Pre-tokenizers of the kind of :class:`SpacedWordEncoder` always cut there (see ``pieces``).
+    """
+    texts = pc.cast(pc.fill_null(texts, ""), pa.string())
+    size = len(texts)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + size + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    white = _SPACE[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    if len(data) > 1:
+        before = (data[:-1] < 0x80) & ~white[:-1]
+        before[1:] |= (data[1:-1] >= 0x80) & _TWO[data[:-2]]
+        cut[1:-1] = white[1:] & before
+    cut[ends] = True
+    places = np.flatnonzero(cut).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(places, ends).astype(np.int32)), pieces)
+
+
+class SpacedWordEncoder:
+    """A byte-level BPE tokenizer whose pre-tokenizer is the pattern in ``pieces``, without normalizer.
+
+    A piece of letters after one space, perhaps with punctuation behind, is put together from the ids of its letters and those
+    of the punctuation, which never share a match of the pattern. New runs of letters are encoded many at a time, and their
+    beginnings found by the space that starts a token. Other pieces, those with special tokens in them included,
+    are encoded many at a time as lines, where a line feed stays a match of its own, else by themselves.
+    """
+
+    _PLAIN = re.compile(f"( [{LETTERS}]+)([!-&(-/:;=?@^_~]*)")
+    _LINE = re.compile(r" ?[^\s<|>]+")
+
+    def __init__(self, tokenizer, limit: int = 1_500_000):
+        self.tokenizer = tokenizer
+        size = tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.is_start = np.zeros(size, dtype=bool)
+        space = byte_letters()[0x20]
+        for token, number in tokenizer.get_vocab().items():
+            self.is_start[number] = token.startswith(space)
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.limit = limit
+        self.runs: dict[str, bytes] = {}
+        self.words = WordStore(self._learn, self.dtype, limit)
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [
+            np.asarray(found.ids, dtype=self.dtype).tobytes()
+            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ]
+
+    def _joined(self, texts: list[str], by: str, known: dict[str, bytes]) -> None:
+        for start in range(0, len(texts), 2048):
+            part = texts[start : start + 2048]
+            ids = np.frombuffer(self._each([by.join(part)])[0], dtype=self.dtype)
+            if by:
+                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+                width = ids.itemsize
+                found = [d[width:] if i else d for i, d in enumerate(cut_bytes(ids, ends))]
+            else:
+                ends = np.append(np.flatnonzero(self.is_start[ids])[1:], len(ids))
+                found = cut_bytes(ids, ends)
+            known.update(zip(part, found if len(found) == len(part) else self._each(part)))
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        if len(self.runs) > self.limit:
+            self.runs.clear()
+        runs, plain = self.runs, self._PLAIN.fullmatch
+        split = [(m[1], m[2]) if (m := plain(w)) else ("", w) for w in new]
+        self._joined(list({run for run, _ in split if run not in runs} - {""}), "", runs)
+        runs[""] = b""
+        other = {rest for _, rest in split}
+        known = {"": b""}
+        lines = [w for w in other if self._LINE.fullmatch(w)] if self.feed is not None else []
+        self._joined(lines, "\n", known)
+        alone = list(other - known.keys())
+        known.update(zip(alone, self._each(alone)))
+        return [runs[run] + known[rest] for run, rest in split]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text."""
+        found: list[np.ndarray] = []
+        for part in parts(texts):
+            found += self.words.gather(spaced_pieces(part))
+        return found
+
+
 class WholeTextEncoder:
     """Any tokenizer: every text by itself."""
 
@@ -161,4 +261,13 @@ def encoder_for(tokenizer):
         and r"\s" in cutters[0]["pattern"].get("Regex", "")
     ):
         return FoldedWordEncoder(tokenizer, kind["model"]["end_of_word_suffix"])
+    cutter = kind["pre_tokenizer"] or {}
+    if (
+        kind["model"]["type"] == "BPE"
+        and kind["normalizer"] is None
+        and cutter.get("type") == "ByteLevel"
+        and cutter.get("use_regex", True)
+        and not cutter.get("add_prefix_space")
+    ):
+        return SpacedWordEncoder(tokenizer)
     return WholeTextEncoder(tokenizer)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -11,16 +12,14 @@ from tokenizers import Tokenizer
 
 from shipledger.llm import bpe, token_store, work
 from shipledger.llm.elias_fano import EliasFano, build
-from shipledger.llm.pieces import PieceEncoder
+from shipledger.llm.word_cache import SpacedWordEncoder, encoder_for
 
-TEXTS = [None, "", "a", "  two  spaces ", "line\n\nline\r\n\tx", "it's we'll THEY'RE '' '", "漢字　テスト 🙂🙂", "<|endoftext|> x", "a\x1cb \x1d c", "0 12 3.4", " \n", "word " * 3000, "x" * 20000, "é" * 5000 + " " * 300]
+TEXTS = [None, "", "<|endoftext|> hello <|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n", "a", "  two  spaces ", "line\n\nline\r\n\tx", "it's we'll THEY'RE '' '", "漢字　テスト 🙂🙂", "<|endoftext|> x", "a\x1cb \x1d c", "0 12 3.4", " \n", "word " * 3000, "x" * 20000, "é" * 5000 + " " * 300]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +38,8 @@ def test_elias_fano(values):
     code = EliasFano(len(values), *build(np.array(values, dtype=np.int64)))
     assert code.all().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    assert code.select_many(np.arange(len(values))).tolist() == values
+    assert code.select_many(np.arange(len(values))[::-3]).tolist() == values[::-3]
     with pytest.raises(IndexError):
         code.select(len(values))
 
@@ -49,11 +50,16 @@ def test_elias_fano_is_small():
     assert len(low) + len(high) + len(samples) < 10000 * (np.log2(values[-1] / 10000) + 3) / 8
 
 
-def test_pieces_encode_as_the_whole(tokenizer):
-    encoder = PieceEncoder(tokenizer, limit=50)
-    texts = [t or "" for t in TEXTS] + noise(2000)
-    found = [np.frombuffer(b, "<u2").tolist() for start in range(0, len(texts), 100) for b in encoder.encode(texts[start : start + 100], "<u2")]
-    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def test_cached_words_encode_as_whole_texts(tokenizer):
+    encoder = encoder_for(tokenizer)
+    assert isinstance(encoder, SpacedWordEncoder)
+    encoder.limit = encoder.words.limit = 200
+    rng = random.Random(8)
+    special = ["".join(rng.choice(["a", " ", "\n", "<|endoftext|>", "b,", "<|"]) for _ in range(9)) for _ in range(500)]
+    texts = TEXTS + noise(2000) + special
+    whole = pa.array(texts, pa.string())
+    found = [ids for start in range(0, len(texts), 300) for ids in encoder.encode(whole.slice(start, 300))]
+    assert [f.tolist() for f in found] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_store_round_trip(spark, tokenizer):
@@ -76,20 +82,6 @@ def test_store_round_trip(spark, tokenizer):
         assert token_store.boundary(b, len(b.doc_ids)) == b.n_tokens and token_store.boundary(b, 0) == 0
 
 
-def test_store_against_the_tokenizer_as_loaded(spark):
-    """The ids are those of the untouched tokenizer, but for special tokens in a text, which are letters in the store."""
-    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    path = work.new_folder(spark, "store")
-    token_store.write_token_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2)
-    special = [t.content for t in loaded.get_added_tokens_decoder().values() if t.special]
-    for r in token_store.read_token_store(spark, path).collect():
-        text, ids = TEXTS[r.doc_id] or "", np.frombuffer(r.ids, "<u4").tolist()[:-1]
-        assert loaded.decode(ids, skip_special_tokens=True) == text
-        if not any(s in text for s in special):
-            assert ids == loaded.encode(text, add_special_tokens=False).ids
-
-
 def test_empty_store(spark):
     path = work.new_folder(spark, "store")
     docs = spark.createDataFrame([], "doc_id long, text string")
