@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shipledger.schema import INDEX_ENTRY, RELEASE_DOCUMENT, release_columns, with_defaults
+from shipledger.sources.arrays import array_entries
 from shipledger.sources.forms import document_texts, is_document
 
 
@@ -77,15 +78,30 @@ def flat_releases(documents: DataFrame) -> DataFrame:
     )
 
 
-def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a ``releases.json`` array with their position.
+def scan_index_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Entries of ``releases.json`` arrays as they stand there: file_path, pos, raw and the ``reason`` of a reject.
 
-    The array is one JSON value, so its positions come from one document; large indexes
-    belong in the Parquet form of ``write_index``, which stores ``pos``.
+    Arrays of any size are read in splits (see ``arrays``). ``reason`` is ``not_array`` for a file that is no array (``pos`` is -1), ``not_closed``
+    for the last entry of an array without its end, ``invalid_json`` for an entry that is not one JSON object, or the first required
+    field that is missing.
     """
-    document = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", T.ArrayType(INDEX_ENTRY), {"mode": "FAILFAST"})
-    return document.select(F.posexplode(entries).alias("pos", "e")).select("e.*", "pos").select(
+    entries = array_entries(spark, path)
+    whole = is_document("raw")
+    parsed = entries.withColumn("e", F.when(whole, F.from_json("raw", INDEX_ENTRY)))
+    reason = (
+        F.when(F.col("closed_by") == "not_array", "not_array").when(F.col("closed_by") == "", "not_closed").when(~whole, "invalid_json")
+    )
+    for name in (*REQUIRED, "dataFile"):
+        reason = reason.when(F.col(f"e.{name}").isNull(), name)
+    return parsed.select("file_path", "pos", F.btrim("raw", F.lit(" \t\r\n")).alias("raw"), reason.alias("reason"), "e")
+
+
+def scan_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Entries of ``releases.json`` arrays with their position, those that :func:`scan_index_rejected` gives left out.
+
+    Positions count all entries of a file, rejected ones too. An index in the Parquet form of ``write_index`` stores ``pos``.
+    """
+    return scan_index_entries(spark, path).where("reason IS NULL").select("e.*", "pos").select(
         *release_columns(),
         F.col("dataFile").alias("data_file"),
         F.col("pos").cast("bigint").alias("pos"),
@@ -93,6 +109,11 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_index_rejected(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What :func:`scan_index` leaves out: file_path, pos, reason and raw text."""
+    return scan_index_entries(spark, path).where("reason IS NOT NULL").select("file_path", "pos", "reason", "raw")
+
+
 def unsafe_data_file(column: str = "data_file") -> Column:
     """True for a path that could leave the data folder."""
     return F.coalesce(F.col(column).contains(".."), F.lit(True))
