@@ -16,7 +16,7 @@ from shipledger.functions.versions import build_key
 from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import explode_found
 from shipledger.operators.index import duplicate_check, index_diff, index_order_check
-from shipledger.session import settle
+from shipledger.session import constant_table, settle
 
 COLUMNS = ["file_name", "build", "field", "rule", "severity", "detail"]
 VIOLATION = "array<struct<field:string,rule:string,severity:string,detail:string>>"
@@ -470,11 +470,21 @@ def index_entries(texts: DataFrame) -> DataFrame:
 VARIANT_BYTES = 128 * 1024 * 1024
 
 
-def validate_index_text(texts: DataFrame) -> DataFrame:
-    """Violations of an index text as a whole: missing, not JSON, not an array, or neither an array nor
-    small enough to tell."""
+def validate_index_text(
+    texts: DataFrame, expected: DataFrame | None = None, variant_bytes: int = VARIANT_BYTES
+) -> DataFrame:
+    """Violations of index texts as wholes: missing, not JSON, not an array, or neither an array nor
+    small enough to tell (``variant_bytes``).
+
+    ``texts`` has value and, for several indexes, file_name; without it, the text is that of ``releases.json``. ``expected`` (file_name) lists
+    the indexes that must be there.
+    """
+    if "file_name" not in texts.columns:
+        texts = texts.withColumn("file_name", F.lit("releases.json"))
+    if expected is None:
+        expected = constant_table(texts.sparkSession, [("releases.json",)], "file_name string")
     is_array = F.json_array_length("value").isNotNull()
-    large = F.octet_length("value") > VARIANT_BYTES
+    large = F.octet_length("value") > variant_bytes
     parsed = F.when(~is_array & ~large, F.try_parse_json("value"))
     kind = F.schema_of_variant(parsed)
     checks = _collect(
@@ -484,12 +494,10 @@ def validate_index_text(texts: DataFrame) -> DataFrame:
             _violation(parsed.isNotNull(), "", "not_array", detail=kind),
         ]
     )
-    absent = texts.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
-        F.explode(_collect([_violation(F.lit(True), "", "index_missing")])).alias("x")
-    )
-    return texts.select(F.explode(checks).alias("x")).unionByName(absent).select(
-        F.lit("releases.json").alias("file_name"), F.lit("").alias("build"), "x.*"
-    )
+    missing = _collect([_violation(F.lit(True), "", "index_missing")])
+    absent = expected.join(texts.select("file_name"), "file_name", "left_anti")
+    found = texts.select("file_name", checks.alias("xs")).unionByName(absent.select("file_name", missing.alias("xs")))
+    return explode_found(found, "xs", ["file_name"], "x").select("file_name", F.lit("").alias("build"), "x.*")
 
 
 def _lint_key() -> Column:

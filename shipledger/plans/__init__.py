@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["comparison", "selection", "histories", "devices", "extraction", "documents"]
+MODULES = ["comparison", "selection", "histories", "devices", "extraction", "documents", "indexes"]
 
 
 def load_all() -> None:
