@@ -1,7 +1,7 @@
 """How far the sources of a language are from each other in their terms, by in-mapper stripes.
 
 1. Partitions fold whole documents into stripes, one per language and term: the number of documents with the
-   term, and its occurrences by source. Beyond ``held`` counts the stripes of a task are spilled as rows. A stripe of the
+   term, and its occurrences by source. Every ``held`` bytes of text the stripes of a task are spilled as rows. A stripe of the
    empty term counts the documents of every source, so that sources without a term are known.
 2. Stripes are merged by key: a shuffle on (language, term), sorted, of which a task holds one merged stripe at a time.
    Terms in fewer than ``min_docs`` documents of the language go.
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shipledger.llm.word_cache import parts
 from shipledger.llm.work import slices, written
 
 MIN_DOCS = 10
 RANKS = 10
-#: Counts that the stripes of a task hold before they are spilled (about 200 bytes each).
-HELD = 400_000
+#: Bytes of text whose stripes a task holds before they are spilled.
+HELD = 1 << 24
 #: Terms of a slice of merged stripes.
 SLICE_TERMS = 8192
 #: Languages up to which the table of their vocabularies is broadcast.
@@ -42,27 +44,74 @@ _STRIPE = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.i
 _FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 #: Bytes of UTF-8 that belong to terms stay, with A-Z in lower case; others become spaces.
-_TERM_BYTES = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
+_TERM_BYTES = np.array(
+    [b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], dtype=np.uint8
 )
 
 Stripe = list  # [documents, {source: occurrences}]
 
 
-def terms(text: bytes) -> list[bytes]:
-    """Terms of a text in UTF-8: runs of ASCII letters and characters from U+0080 on, A-Z as a-z."""
-    return text.translate(_TERM_BYTES).split()
-
-
 def _stripe_rows(stripes: list[tuple[str, bytes, Stripe]]) -> pa.RecordBatch:
     langs, keys, found = zip(*stripes)
+    offsets = pa.array(np.cumsum([0, *(len(s[1]) for s in found)]), pa.int32())
+    sources = pa.array([source for s in found for source in s[1]], pa.string())
+    counts = pa.array([n for s in found for n in s[1].values()], pa.int64())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(langs, pa.string()),
             pa.array(keys, pa.binary()),
             pa.array([s[0] for s in found], pa.int64()),
-            pa.array([list(s[1]) for s in found], pa.list_(pa.string())),
-            pa.array([list(s[1].values()) for s in found], pa.list_(pa.int64())),
+            pa.ListArray.from_arrays(offsets, sources),
+            pa.ListArray.from_arrays(offsets, counts),
+        ],
+        schema=_STRIPE,
+    )
+
+
+def term_lists(texts: pa.Array) -> pa.ListArray:
+    """The terms of every text and empty strings between them.
+
+    Terms are runs of ASCII letters and characters from U+0080 on, A-Z as a-z.
+    """
+    texts = pc.cast(texts, pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    spaced = pa.py_buffer(_TERM_BYTES[data])
+    return pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), spaced))
+
+
+def fold(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The stripes of some documents: Arrow's hash tables give terms, languages and sources numbers, sorted numbers give the counts."""
+    lists, langs, sources = term_lists(texts), langs.dictionary_encode(), sources.dictionary_encode()
+    coded = lists.flatten().dictionary_encode()
+    names, size = coded.dictionary, len(coded.dictionary) + 1
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    real = code != pc.index(names, "").as_py()
+    pair, n = np.unique(doc[real] * size + code[real], return_counts=True)
+    # Every document also counts once under the empty term, the last number.
+    pair = np.concatenate([pair, np.arange(len(texts)) * size + size - 1])
+    n = np.concatenate([n, np.ones(len(texts), dtype=np.int64)])
+    doc, code = np.divmod(pair, size)
+    lang, source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc] for x in (langs, sources))
+    many = len(sources.dictionary)
+    cell = (lang * size + code) * many + source
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    counts, docs = np.add.reduceat(n[order], first), np.diff(np.append(first, len(cell)))
+    key, source = np.divmod(cell[first], many)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lang, code = np.divmod(key[begin], size)
+    offsets = pa.array(np.append(begin, len(key)), pa.int32())
+    names = pa.concat_arrays([names, pa.array([""])])
+    return pa.RecordBatch.from_arrays(
+        [
+            langs.dictionary.take(pa.array(lang)),
+            names.take(pa.array(code)).cast(pa.binary()),
+            pa.array(np.add.reduceat(docs, begin), pa.int64()),
+            pa.ListArray.from_arrays(offsets, sources.dictionary.take(pa.array(source))),
+            pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
         ],
         schema=_STRIPE,
     )
@@ -70,73 +119,69 @@ def _stripe_rows(stripes: list[tuple[str, bytes, Stripe]]) -> pa.RecordBatch:
 
 def _fold(held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[str, dict[bytes, Stripe]] = {}
+        waiting: list[pa.RecordBatch] = []
         size = 0
 
         def spill() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, term, stripe) for lang, by_term in stripes.items() for term, stripe in by_term.items()]
-            stripes.clear()
-            for start in range(0, len(rows), 16384):
-                yield _stripe_rows(rows[start : start + 16384])
+            columns = [pa.chunked_array([b.column(i) for b in waiting]).combine_chunks() for i in range(3)]
+            stripes = fold(*columns)
+            for start in range(0, stripes.num_rows, 65536):
+                yield stripes.slice(start, 65536)
 
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = (text.as_py() for text in batch.column(2).cast(pa.binary()))
-            for lang, source, text in zip(langs, sources, texts):
-                by_term = stripes.setdefault(lang, {})
-                counts: dict[bytes, int] = {b"": 1}
-                for term in terms(text):
-                    counts[term] = counts.get(term, 0) + 1
-                for term, n in counts.items():
-                    stripe = by_term.get(term)
-                    if stripe is None:
-                        by_term[term] = [1, {source: n}]
-                        size += 1
-                        continue
-                    stripe[0] += 1
-                    of = stripe[1]
-                    if source in of:
-                        of[source] += n
-                    else:
-                        of[source] = n
-                        size += 1
+            start = 0
+            for texts in parts(batch.column(2), held):
+                waiting.append(pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, len(texts)) for i in (0, 1)), texts], names=["l", "s", "t"]))
+                start += len(texts)
+                size += pc.sum(pc.binary_length(texts)).as_py()
                 if size >= held:
                     yield from spill()
-                    size = 0
-        yield from spill()
+                    waiting, size = [], 0
+        if waiting:
+            yield from spill()
 
     return run
 
 
 def _merge(min_docs: int):
-    """Merged stripes of sorted rows; the stripe of the empty term always stays."""
+    """Merged stripes of sorted rows; the stripe of the empty term always stays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stripe = None, None
-        done: list[tuple[str, bytes, Stripe]] = []
-
-        def close() -> None:
-            if key is not None and (stripe[0] >= min_docs or key[1] == b""):
-                done.append((*key, stripe))
+    Of a batch, only keys with enough documents are unfolded; the last key is held until the next one comes.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, bytes, Stripe] | None = None
         for batch in batches:
-            columns = [batch.column(i) for i in range(5)]
-            rows = zip(*(c.to_pylist() for c in columns))
-            for lang, term, docs, sources, counts in rows:
-                if (lang, term) != key:
-                    close()
-                    key, stripe = (lang, term), [docs, dict(zip(sources, counts))]
-                    continue
-                stripe[0] += docs
+            if not batch.num_rows:
+                continue
+            langs, keys, docs = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+            other = pc.or_(pc.not_equal(langs[1:], langs[:-1]), pc.not_equal(keys[1:], keys[:-1]))
+            starts = np.concatenate([[0], np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1])
+            ends = np.append(starts[1:], batch.num_rows)
+            sums = np.add.reduceat(docs, starts)
+            wanted = (sums >= min_docs) | (pc.binary_length(keys).to_numpy()[starts] == 0)
+            wanted[[0, -1]] = True  # these may go on in other batches
+            done = []
+            offsets = batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
+            sources, counts = batch.column(3).flatten(), batch.column(4).flatten()
+            for i in np.flatnonzero(wanted).tolist():
+                a, b = int(starts[i]), int(ends[i])
+                key = (langs[a].as_py(), keys[a].as_py())
+                if held is not None and held[:2] != key:
+                    done.append(held)
+                    held = None
+                stripe = held[2] if held is not None else [0, {}]
+                stripe[0] += int(sums[i])
+                low, length = int(offsets[a]), int(offsets[b] - offsets[a])
                 of = stripe[1]
-                for source, n in zip(sources, counts):
+                for source, n in zip(sources.slice(low, length).to_pylist(), counts.slice(low, length).to_pylist()):
                     of[source] = of.get(source, 0) + n
+                held = (*key, stripe)
+            done = [d for d in done if d[2][0] >= min_docs or d[1] == b""]
             if done:
                 yield _stripe_rows(done)
-                done.clear()
-        close()
-        if done:
-            yield _stripe_rows(done)
+        if held is not None and (held[2][0] >= min_docs or held[1] == b""):
+            yield _stripe_rows([held])
 
     return run
 

@@ -55,7 +55,7 @@ def some_rows(rng, count):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_docs": 3, "ranks": 2, "held": 7, "slice_terms": 4}, {"min_docs": 1, "ranks": 100}])
+@pytest.mark.parametrize("limits", [{}, {"min_docs": 3, "ranks": 2, "held": 300, "slice_terms": 4}, {"min_docs": 1, "ranks": 100}])
 def test_equals_whole_counts(spark, limits):
     rows = some_rows(random.Random(len(limits)), 120)
     rows += [("de", "one", "ein wort"), ("it", "a", None), ("it", "b", ""), ("long", "a", "go " * 5000), ("long", "b", "gone " * 3000 + "go")]
