@@ -58,55 +58,56 @@ def text_rules() -> list[TextRule]:
     return [TextRule(*row) for row in fixed.TEXT_RULES]
 
 
-def _runs(content: Column, min_len: int, max_len: int | None = None) -> Column:
-    found = F.regexp_extract_all(
-        F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7E]{%d,}" % min_len), F.lit(0)
-    )
-    return found if max_len is None else F.transform(found, lambda run: F.substring(run, 1, max_len))
+PIECE_BYTES = 8 * 1024 * 1024
+#: Bytes behind a piece that are looked at for the rest of a run that leaves it, before all others are.
+TAIL_BYTES = 64 * 1024
 
 
-PIECE_BYTES = 8 * 1024 * 1024
+def _text(content: Column) -> Column:
+    return F.decode(content, "ISO-8859-1")
 
 
-def _pieces(content: Column, size: int) -> Column:
-    """A content cut into texts that hold the runs starting in each ``size`` bytes.
+def _run_pattern(min_len: int) -> str:
+    return r"[\x20-\x7E]{%d,}" % min_len
 
-    A piece loses a run that began before it and gains the rest of a run that leaves it, over as
-    many pieces as the run is long, so every run is whole in exactly one piece. A content of one
-    piece is taken as it is.
-    """
-    last = F.floor(F.greatest(F.length(content) - 1, F.lit(0)) / size).cast("int")
-    parts = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda n: F.decode(F.substring(content, n * size + 1, F.lit(size)), "ISO-8859-1"),
-    )
 
-    def start(part: Column) -> Column:
-        return F.regexp_extract(part, r"^[\x20-\x7E]+", 0)
-
-    def cut(parts: Column) -> Column:
-        def piece(part: Column, n: Column) -> Column:
-            inside = (n > 0) & F.get(parts, n - 1).rlike(r"[\x20-\x7E]\z")
-            own = F.when(inside, F.regexp_replace(part, r"^[\x20-\x7E]+", "")).otherwise(part)
-            rest = F.aggregate(
-                F.slice(parts, n + 2, F.size(parts)),
-                F.struct(F.array().cast("array<string>").alias("found"), F.lit(True).alias("open")),
-                lambda seen, other: F.when(
-                    seen["open"],
-                    F.struct(
-                        F.concat(seen["found"], F.array(start(other))).alias("found"),
-                        (F.length(start(other)) == F.length(other)).alias("open"),
-                    ),
-                ).otherwise(seen),
-                lambda seen: F.array_join(seen["found"], ""),
-            )
-            return F.when(own.rlike(r"[\x20-\x7E]\z"), F.concat(own, rest)).otherwise(own)
+def _text_runs(text: Column, run_pattern: str | Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(run_pattern), F.lit(0))
+
+
+def _last_piece(content: Column, size: int) -> Column:
+    return F.floor(F.greatest(F.length(content) - 1, F.lit(0)) / size).cast("int")
+
+
+def _own(content: Column, n: Column, size: int) -> Column:
+    """Text of piece ``n`` of a content, without a run that began before it."""
+    part = _text(F.substring(content, n * size + 1, F.lit(size)))
+    behind = (n > 0) & _text(F.substring(content, n * size, F.lit(1))).between(" ", "~")
+    return F.when(behind, F.regexp_replace(part, r"^[\x20-\x7E]+", "")).otherwise(part)
+
 
-        return F.transform(parts, piece)
+def _whole(own: Column, content: Column, n: Column, size: int) -> Column:
+    """The text of :func:`_own` with the rest of a run that leaves the piece, so that every run is whole where it starts."""
 
-    one = F.array(F.decode(content, "ISO-8859-1"))
-    cut_parts = F.flatten(F.transform(F.array(parts), cut))
-    return F.when(last == 0, one).otherwise(cut_parts)
+    def rest(length: Column) -> Column:
+        return F.regexp_extract(_text(F.substring(content, (n + 1) * size + 1, length)), r"^[\x20-\x7E]*", 0)
+
+    tail = rest(F.lit(TAIL_BYTES))
+    tail = F.when(F.length(tail) < TAIL_BYTES, tail).otherwise(rest(F.length(content)))
+    return F.when(F.right(own, F.lit(1)).between(" ", "~"), F.concat(own, tail)).otherwise(own)
+
+
+def _over_pieces(content: Column, size: int, start: Column, step) -> Column:
+    """``start`` taken through ``step(state, text)`` over the pieces of a content, one piece at a time."""
+
+    def piece(n: Column) -> Column:
+        own = F.array(_own(content, n, size))
+        return F.get(F.transform(own, lambda text: _whole(text, content, n, size)), F.lit(0))
+
+    places = F.sequence(F.lit(0), _last_piece(content, size))
+    return F.when(F.length(content) <= size, step(start, _text(content))).otherwise(
+        F.aggregate(places, start, lambda state, n: step(state, piece(n)))
+    )
 
 
 def printable_runs(
@@ -121,16 +122,18 @@ def printable_runs(
     matcher never works on one text of its whole size.
     """
     keep = [c for c in artifacts.columns if c != "content"]
-    cut = artifacts.where(F.col("content").isNotNull()).select(
-        *keep, _pieces(F.col("content"), piece_bytes).alias("pieces")
-    )
-    pieces = explode_found(cut, "pieces", keep, "piece", "piece_ord")
-    found = F.regexp_extract_all("piece", F.lit(r"[\x20-\x7E]{%d,}" % min_len), F.lit(0))
+    content, n = F.col("content"), F.col("_piece_ord")
+    # An outer explode of numbers; the content stays where it is, and one piece of it at a time becomes a text.
+    places = F.sequence(F.lit(0), _last_piece(content, piece_bytes))
+    numbered = artifacts.where(content.isNotNull()).select(*keep, "content", F.explode_outer(places).alias("_piece_ord"))
+    own = numbered.select(*keep, "content", "_piece_ord", _own(content, n, piece_bytes).alias("_own"))
+    pieces = own.select(*keep, "_piece_ord", _whole(F.col("_own"), content, n, piece_bytes).alias("_piece"))
+    found = F.regexp_extract_all("_piece", F.lit(r"[\x20-\x7E]{%d,}" % min_len), F.lit(0))
     if max_len is not None:
         found = F.transform(found, lambda run: F.substring(run, 1, max_len))
-    split = pieces.select(*keep, "piece_ord", found.alias("runs"))
-    rows = explode_found(split, "runs", [*keep, "piece_ord"], "run", "at")
-    place = F.shiftleft(F.col("piece_ord").cast("bigint"), 32) + F.col("at")
+    split = pieces.select(*keep, "_piece_ord", found.alias("runs"))
+    rows = explode_found(split, "runs", [*keep, "_piece_ord"], "run", "at")
+    place = F.shiftleft(F.col("_piece_ord").cast("bigint"), 32) + F.col("at")
     return rows.select(*keep, place.alias("run_ord"), "run")
 
 
@@ -164,16 +167,19 @@ def _rooted(path: Column) -> Column:
 
 
 def _candidates(artifacts: DataFrame, rules: list[BinaryRule]) -> DataFrame:
-    """Artifacts at the path or fallback path of a rule: ``rule`` (position), ``rule_path``, and
-    for a fallback the ``primary_path`` that has priority."""
-    rows = [(i, r.path.lstrip("/"), None) for i, r in enumerate(rules)]
+    """Artifacts at the path or fallback path of a rule: ``rule`` (position), ``rule_path``, for a fallback the
+    ``primary_path`` that has priority, and how the rule searches."""
+    how = [(r.pattern, _run_pattern(r.min_length), r.normalizer == "integer_version") for r in rules]
+    rows = [(i, r.path.lstrip("/"), None, *how[i]) for i, r in enumerate(rules)]
     rows += [
-        (i, r.fallback_path.lstrip("/"), r.path.lstrip("/"))
+        (i, r.fallback_path.lstrip("/"), r.path.lstrip("/"), *how[i])
         for i, r in enumerate(rules)
         if r.fallback_path
     ]
     table = constant_table(
-        artifacts.sparkSession, rows, "rule int, rule_path string, primary_path string"
+        artifacts.sparkSession,
+        rows,
+        "rule int, rule_path string, primary_path string, pattern string, run_pattern string, is_integer boolean",
     )
     return artifacts.withColumn("rule_path", F.regexp_replace("path", "^/+", "")).join(
         table, "rule_path"
@@ -202,22 +208,35 @@ def match_rules(artifacts: DataFrame, rules: list[BinaryRule], keys: list[str])
     return matched.select(*artifacts.columns, "rule", "rule_path")
 
 
-def _version(runs: Column, rule: BinaryRule) -> Column:
-    if rule.normalizer == "integer_version":
-        numbers = F.transform(
-            F.flatten(
-                F.transform(
-                    runs, lambda run: F.regexp_extract_all(run, F.lit(rule.pattern), F.lit(0))
-                )
-            ),
-            lambda text: text.try_cast("bigint"),
-        )
-        return decode_integer(F.array_max(numbers))
+def _first_hit(seen: Column, runs: Column, pattern: str | Column, group: int = 0) -> Column:
+    """``seen``, or else the first match in some run; runs are not searched once there is one."""
+    wanted = F.lit(pattern)
     hits = F.filter(
-        F.transform(runs, lambda run: F.regexp_extract(run, rule.pattern, 0)),
-        lambda text: text != "",
+        F.transform(runs, lambda run: F.call_function("regexp_extract", run, wanted, F.lit(group))), lambda text: text != ""
     )
-    return normalize(F.get(hits, F.lit(0)), rule.normalizer, rule.arguments)
+    return F.coalesce(seen, F.get(hits, F.lit(0)))
+
+
+def _raw_version(content: Column, piece_bytes: int) -> Column:
+    """What the rule of a row finds in a content: its first match, or for integers the highest, as text."""
+    pattern, run_pattern = F.col("pattern"), F.col("run_pattern")
+
+    def highest(seen: Column, text: Column) -> Column:
+        found = F.flatten(F.transform(_text_runs(text, run_pattern), lambda run: F.regexp_extract_all(run, pattern, F.lit(0))))
+        return F.greatest(seen, F.array_max(F.transform(found, lambda number: number.try_cast("bigint"))))
+
+    def first(seen: Column, text: Column) -> Column:
+        return _first_hit(seen, _text_runs(text, run_pattern), pattern)
+
+    return F.when(
+        F.col("is_integer"), _over_pieces(content, piece_bytes, F.lit(None).cast("bigint"), highest).cast("string")
+    ).otherwise(_over_pieces(content, piece_bytes, F.lit(None).cast("string"), first))
+
+
+def _normalized(raw: Column, rule: BinaryRule) -> Column:
+    if rule.normalizer == "integer_version":
+        return decode_integer(raw.cast("bigint"))
+    return normalize(raw, rule.normalizer, rule.arguments)
 
 
 def extract_components(
@@ -225,43 +244,44 @@ def extract_components(
     rules: list[BinaryRule] | None = None,
     keys: list[str] | None = None,
     release_keys: list[str] | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Components of artifacts (``keys``, path, content): name, version, path, source.
 
-    The printable runs are split once per artifact; an artifact no pattern matches gives no
+    A content is searched piece by piece up to the first match; an artifact no pattern matches gives no
     row. ``release_keys`` name the release when ``keys`` say more than that. Contents are read
     once and never shuffled: fallbacks are extracted too, and dropped as short rows where the
-    release has the primary artifact.
+    release has the primary artifact. With a column ``piece`` (see ``scan_artifact_pieces``) a row is a piece of an artifact, which ``keys``
+    and path tell from others; what its pieces give meets as short rows.
     """
     rules = binary_rules() if rules is None else rules
     keys = keys or ["product", "build_number"]
     release_keys = release_keys or keys
     carried = list(dict.fromkeys([*keys, *release_keys]))
     matched = _candidates(artifacts, rules)
-    lengths = {r.min_length for r in rules}
-    runs = F.lit(None).cast("array<string>")
-    for length in sorted(lengths):
-        users = [i for i, r in enumerate(rules) if r.min_length == length]
-        runs = F.when(
-            F.col("rule").isin(users), _runs(F.col("content"), length)
-        ).otherwise(runs)
-    if len(lengths) == 1:
-        runs = _runs(F.col("content"), lengths.pop())
-    split = matched.select(*carried, "rule", "rule_path", "primary_path", runs.alias("runs"))
-
     def by_rule(value) -> Column:
         chosen = F.when(F.lit(False), F.lit(None).cast("string"))
         for i, rule in enumerate(rules):
             chosen = chosen.when(F.col("rule") == i, value(rule))
         return chosen
 
-    versions = split.select(
+    raw = matched.select(
         *carried,
         "rule",
         "rule_path",
         "primary_path",
-        by_rule(lambda r: _version(F.col("runs"), r)).alias("version"),
+        *[c for c in ("piece",) if c in artifacts.columns],
+        "is_integer",
+        _raw_version(F.col("content"), piece_bytes).alias("raw"),
     )
+    raw = keep_found(raw, "raw")
+    if "piece" in artifacts.columns:
+        raw = raw.groupBy(*carried, "rule", "rule_path", "primary_path", "is_integer").agg(
+            F.when(F.col("is_integer"), F.max(F.col("raw").try_cast("bigint")).cast("string"))
+            .otherwise(F.min_by("raw", "piece"))
+            .alias("raw")
+        )
+    versions = raw.withColumn("version", by_rule(lambda r: _normalized(F.col("raw"), r))).drop("raw")
     found = keep_found(versions, "version")
     return _without_overruled(found, artifacts, rules, release_keys).select(
         *keys,
@@ -318,27 +338,37 @@ def kernel_fields(
     artifacts: DataFrame,
     archs: DataFrame,
     keys: list[str] | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Darwin and XNU version, architecture, chip and devices of kernel files.
 
-    Each field is its first match over all runs. Kernels without a Darwin version give no row.
+    Each field is its first match over all runs. A content is searched piece by piece, and no further once all fields are
+    found. With a column ``piece`` (see ``scan_artifact_pieces``) a row is a piece of a kernel; of kernels by path, read only as far
+    as needed, see :func:`kernel_heads`. Kernels without a Darwin version give no row.
     """
     keys = keys or ["product", "build_number"]
-    runs = artifacts.select(*keys, "file", _runs(F.col("content"), fixed.MIN_RUN).alias("runs"))
+    patterns = {"darwin_version": fixed.KERNEL_DARWIN, "xnu_version": fixed.KERNEL_XNU, "suffix": fixed.KERNEL_ARCH}
+    nothing = F.struct(*[F.lit(None).cast("string").alias(name) for name in patterns])
 
-    def first(pattern: str) -> Column:
-        hits = F.filter(
-            F.transform("runs", lambda run: F.regexp_extract(run, pattern, 1)), lambda t: t != ""
+    def search(seen: Column, text: Column) -> Column:
+        found = F.transform(
+            F.array(_text_runs(text, _run_pattern(fixed.MIN_RUN))),
+            lambda runs: F.struct(*[_first_hit(seen[name], runs, pattern, 1).alias(name) for name, pattern in patterns.items()]),
         )
-        return F.get(hits, F.lit(0))
-
-    fields = runs.select(
-        *keys,
-        "file",
-        first(fixed.KERNEL_DARWIN).alias("darwin_version"),
-        first(fixed.KERNEL_XNU).alias("xnu_version"),
-        first(fixed.KERNEL_ARCH).alias("suffix"),
-    )
+        complete = seen["darwin_version"].isNotNull() & seen["xnu_version"].isNotNull() & seen["suffix"].isNotNull()
+        return F.when(complete, seen).otherwise(F.get(found, F.lit(0)))
+
+    if "content" in artifacts.columns:
+        pieces = [c for c in ("piece",) if c in artifacts.columns]
+        fields = artifacts.select(*keys, "file", *pieces, _over_pieces(F.col("content"), piece_bytes, nothing, search).alias("k"))
+        fields = keep_found(fields, "k").select(*keys, "file", *pieces, "k.*")
+        if pieces:
+            # min_by passes over null orders: the first piece that has the field.
+            fields = fields.groupBy(*keys, "file").agg(
+                *[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("piece"))).alias(n) for n in patterns]
+            )
+    else:
+        fields = artifacts.select(*keys, "file", *patterns)
     return keep_found(fields, "darwin_version").join(archs, "suffix", "left").select(
         *keys,
         "file",
@@ -376,21 +406,30 @@ def resolve_versioned_path(wanted: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def python_runtime_pick(
-    artifacts: DataFrame, keys: list[str] | None = None, min_len: int = fixed.MIN_RUN
+    artifacts: DataFrame,
+    keys: list[str] | None = None,
+    min_len: int = fixed.MIN_RUN,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Version of the Python runtime of each release.
 
     ``artifacts`` has ``keys``, version_dir, path and content. The first library of the
-    highest version directory (in text order) that holds a run being a version counts.
+    highest version directory (in text order) that holds a run being a version counts. With a column ``piece`` (see
+    ``scan_artifact_pieces``) a row is a piece of a library.
     """
     keys = keys or ["product", "build_number"]
     name, pattern, source = fixed.PYTHON_RULE
     library = F.substring_index("path", "/", -1)
     libraries = artifacts.where(library.startswith("libpython3") & library.endswith(".dylib"))
-    hits = F.filter(_runs(F.col("content"), min_len), lambda r: r.rlike(pattern))
-    per_dir = libraries.select(
-        *keys, "version_dir", "path", F.get(hits, F.lit(0)).alias("version")
-    ).groupBy(*keys, "version_dir").agg(F.min_by(F.struct("path", "version"), "path").alias("l"))
+    piece = F.col("piece") if "piece" in artifacts.columns else F.lit(0)
+
+    def search(seen: Column, text: Column) -> Column:
+        return F.coalesce(seen, F.get(F.filter(_text_runs(text, _run_pattern(min_len)), lambda r: r.rlike(pattern)), F.lit(0)))
+
+    hit = _over_pieces(F.col("content"), piece_bytes, F.lit(None).cast("string"), search)
+    found = libraries.select(*keys, "version_dir", "path", piece.alias("piece"), hit.alias("version"))
+    place = F.struct("path", F.col("version").isNull(), "piece")
+    per_dir = found.groupBy(*keys, "version_dir").agg(F.min_by(F.struct("path", "version"), place).alias("l"))
     picked = (
         per_dir.where("l.version is not null")
         .groupBy(*keys)
