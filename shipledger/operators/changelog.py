@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.fixed import CHANGE_DROPPED, CHANGE_SECTIONS
+from shipledger.operators.found import explode_struct
 from shipledger.session import constant_table
 
 FULL_LINK = "**Full Changelog**:"
 SPACE = r"\s+"
+#: Characters of ``\s``.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _after(text: Column, n: int | Column) -> Column:
     """``text`` without its first ``n`` characters and the white space behind them."""
-    return F.regexp_replace(F.substring(text, F.lit(n) + 1, F.length(text)), r"^\s+", "")
+    return F.ltrim(F.substring(text, F.lit(n) + 1, F.length(text)), F.lit(BLANKS))
 
 
 def _full_link(text: Column) -> Column:
@@ -32,18 +35,6 @@ def _bullet(text: Column) -> Column:
     return F.when(is_bullet, F.nullif(_after(text, 1), F.lit("")))
 
 
-def _typed(body: Column) -> tuple[Column, Column]:
-    """Type and text of a bullet: ``type: text`` or ``type(scope): text``, else no type."""
-    kind = F.regexp_extract(body, "^[a-z]+", 0)
-    after = F.substring(body, F.length(kind) + 1, F.length(body))
-    closed = F.instr(after, ")")
-    colon = F.when(~after.startswith("("), F.lit(0)).when(closed > 0, closed)
-    rest = _after(after, colon + 1)
-    has_colon = F.coalesce(F.substring(after, colon + 1, F.lit(1)) == ":", F.lit(False))
-    typed = (kind != "") & has_colon & (rest != "")
-    return F.when(typed, kind).otherwise(""), F.when(typed, rest).otherwise(body)
-
-
 def _without_credits(text: Column) -> Column:
     """Text without the address it ends with, then without the author before that."""
     unlinked = F.regexp_replace(text, r"\s+in\s+https?://\S+$", "")
@@ -57,15 +48,22 @@ def classify_change_lines(lines: DataFrame) -> DataFrame:
     order by (section_rank, ord) within a document. Dropped types and other lines give no
     row; the link has the section ``Full Changelog`` after all others.
     """
-    text = F.regexp_replace("line", r"^\s+|\s+$", "")
-    parsed = lines.select(
-        "doc_id",
-        "ord",
-        _full_link(text).alias("link"),
-        _bullet(text).alias("body"),
+    keep = ["doc_id", "ord"]
+    # Each step reads the columns of the one before; an outer explode keeps the optimizer from writing one into the other.
+    trimmed = lines.select(*keep, F.explode_outer(F.array(F.btrim("line", F.lit(BLANKS)))).alias("line"))
+    kinds = explode_struct(trimmed, keep, link=_full_link(F.col("line")), body=_bullet(F.col("line")))
+    # A bullet is ``type: text`` or ``type(scope): text``, else it has no type.
+    prefixed = explode_struct(
+        kinds, [*keep, "link", "body"], prefix=F.regexp_extract("body", r"^[a-z]+(?:\([^)]*\))?:", 0)
+    )
+    behind = explode_struct(prefixed, [*keep, "link", "body", "prefix"], rest=_after(F.col("body"), F.length("prefix")))
+    typed = (F.col("prefix") != "") & (F.col("rest") != "")
+    parsed = explode_struct(
+        behind,
+        [*keep, "link"],
+        type=F.when(typed, F.regexp_extract("prefix", "^[a-z]+", 0)).otherwise(""),
+        text=_without_credits(F.when(typed, F.col("rest")).otherwise(F.col("body"))),
     )
-    kind, rest = _typed(F.col("body"))
-    parsed = parsed.select("doc_id", "ord", "link", kind.alias("type"), _without_credits(rest).alias("text"))
     sections = constant_table(
         lines.sparkSession,
         [(kind, name, rank) for rank, (kind, name) in enumerate(CHANGE_SECTIONS.items())],

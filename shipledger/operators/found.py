@@ -28,6 +28,12 @@ def keep_found(df: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).select(*df.columns)
 
 
+def explode_struct(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns ``keep`` and new ones, which later steps read instead of repeating their expressions."""
+    named = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select(*keep, F.explode_outer(named).alias("_found")).select(*keep, *[f"_found.{name}" for name in columns])
+
+
 def order_by_key(df: DataFrame, key: Column, *rest: str, descending: bool = False) -> DataFrame:
     """Sort by an expensive key, then by the columns ``rest``, all in one direction.
 
