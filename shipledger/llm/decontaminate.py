@@ -1,9 +1,9 @@
 """Documents that hold passages of a benchmark, by SimHash of item-sized windows.
 
-1. Shingles of ``SHINGLE`` words of all documents are looked up among those of the benchmark. A window
-   whose shingles are similar to an item's shares at least one with it, so only windows that put such
-   a shingle where the item has it are looked at: the window of the item's size that starts the
-   shingle's offset before it.
+1. Shingles of ``SHINGLE`` words of all documents are looked up among those of the benchmark. A window as similar
+   to an item as asked holds that share of the item's weight in such shingles, wherever they stand. So the weight of
+   these shingles is summed over windows of each item size, by running sums over the places where one enters or
+   leaves, and every start is looked at whose sum is large enough for the lightest item of the size.
 2. Windows and items get a 64-bit SimHash of their words. Fingerprints are cut into
    ``radius + 1`` blocks; two that differ in at most ``radius`` bits agree in a whole block, so a join on
    (size, block, value) finds all of them, and the exact distance is checked.
@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shipledger.llm.work import written
+from shipledger.llm.work import unused, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -101,7 +101,12 @@ def find_leaks(
     hits, places = [], []
     for size in sorted(r["size"] for r in sizes):
         own = items.where(F.least("n_words", F.lit(SHINGLE)) == size)
-        place = own.selectExpr("n_words", f"posexplode({_shingles(size)}) AS (offset, shingle)").distinct()
+        place = (
+            own.selectExpr("n_words", f"posexplode({_shingles(size)}) AS (at, shingle)", "item_bag")
+            .selectExpr("n_words", "shingle", f"{size} AS size", "length(get(item_bag, at)) AS chars")
+            .groupBy("n_words", "shingle", "size")
+            .agg(F.max("chars").cast("long").alias("chars"))
+        )
         places.append(place)
         asked = _checked(written(place.select("shingle").distinct(), "leak-shingles"))
         rows = texts.selectExpr(*KEY, f"{_WORDS} AS words").selectExpr(
@@ -114,12 +119,28 @@ def find_leaks(
             "doc_id", f"CAST(NULL AS {kind}) AS item_id", "0 AS first_word", "0 AS n_words", "0D AS similarity"
         )
     found = written(reduce(DataFrame.unionByName, hits).distinct(), "leak-hits")
-    first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("doc_words") - F.col("n_words")))
+    weights = items.selectExpr("n_words", "aggregate(item_bag, 0L, (n, s) -> n + length(s)) AS weight")
+    least = weights.groupBy("n_words").agg((F.min("weight") * similarity).alias("least"))
+    met = found.join(reduce(DataFrame.unionByName, places), "shingle")
+    # A shingle counts for the starts from where the window reaches it to its own place.
+    turns = met.selectExpr(
+        *KEY,
+        "doc_words",
+        "n_words",
+        "explode(array(named_struct('at', greatest(0, at - (n_words - size)), 'chars', chars), named_struct('at', at + 1, 'chars', -chars))) AS turn",
+    )
+    stretch = ["doc_words", "n_words"]
+    turns = turns.groupBy(*KEY, *stretch, F.col("turn.at").alias("at")).agg(F.sum("turn.chars").alias("chars"))
+    along = Window.partitionBy(*KEY, "n_words").orderBy("at")
     starts = (
-        found.join(reduce(DataFrame.unionByName, places).distinct(), "shingle")
-        .select(*KEY, "n_words", first.alias("first_word"))
+        turns.withColumn("held", F.sum("chars").over(along))
+        .withColumn("until", F.least(F.lead("at").over(along), F.greatest(F.lit(0), F.col("doc_words") - F.col("n_words")) + 1))
+        .join(_checked(written(least, "leak-least")), "n_words")
+        # A little slack for the rounding of the share; the exact similarity decides.
+        .where((F.col("held") >= F.col("least") - 1e-6) & (F.col("held") > 0) & (F.col("at") < F.col("until")))
+        .select(*KEY, "n_words", F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("first_word"))
         .groupBy(*KEY)
-        .agg(F.collect_set(F.struct("n_words", "first_word")).alias("places"))
+        .agg(F.collect_list(F.struct("n_words", "first_word")).alias("places"))
     )
     starts = written(starts, "leak-starts")
     touched = _checked(starts.select(*KEY))
@@ -174,7 +195,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     Documents are dropped by their text, so a null doc_id makes no difference.
     """
+    key_name = unused("_key", docs.columns)
     leaks = find_leaks(docs.select(F.struct(F.xxhash64("text"), F.length("text")).alias("doc_id"), "text"), benchmark, similarity, radius)
-    bad = written(leaks.select(F.col("doc_id").alias("_key")).distinct(), "leak-texts")
+    bad = written(leaks.select(F.col("doc_id").alias(key_name)).distinct(), "leak-texts")
     key = F.struct(F.xxhash64(F.col("text")), F.length("text"))
-    return docs.withColumn("_key", key).join(_checked(bad), "_key", "left_anti").drop("_key")
+    return docs.withColumn(key_name, key).join(_checked(bad), key_name, "left_anti").drop(key_name)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,7 +167,7 @@ def test_leaks(spark):
         (9, items[5][1]),
         (10, filler(30000) + " " + ITEM),
     ]
-    docs_df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 AS item_id", "1 AS words")
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7 AS item_id", "1 AS words", "2 AS _key", "3 AS `a.b`")
     items_df = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'n' AS n_words")
     found = decontaminate.find_leaks(docs_df, items_df).collect()
     got = {(r.doc_id, r.item_id) for r in found}
@@ -181,6 +182,61 @@ def test_leaks(spark):
         assert none.count() == 0
 
 
+def brute_leaks(spark, docs, items, similarity, radius):
+    """Best window of every document for every item, over all windows of all documents."""
+    split = lambda text: [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    windows = []
+    for d, text in docs:
+        words = split(text)
+        for n in {len(split(t)) for _, t in items} - {0}:
+            windows += [(d, n, at, words[at : at + n]) for at in range(max(1, len(words) - n + 1)) if words]
+    rows = windows + [(-1 - i, 0, 0, split(t)) for i, (_, t) in enumerate(items) if split(t)]
+    df = spark.createDataFrame(rows, "d long, n int, at int, words array<string>")
+    prints = {(r.d, r.n, r.at): r.p for r in df.selectExpr("d", "n", "at", f"{decontaminate.simhash('words')} AS p").collect()}
+
+    def bag(words):
+        k = decontaminate.SHINGLE
+        return Counter([" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)])
+
+    best = {}
+    for i, (item, text) in enumerate(items):
+        own = bag(split(text))
+        for d, n, at, words in windows:
+            if split(text) and n == len(split(text)):
+                other = bag(words)
+                both = sum(len(s) * c for s, c in (own & other).items())
+                share = both / sum(len(s) * c for s, c in (own | other).items())
+                far = ((prints[d, n, at] ^ prints[-1 - i, 0, 0]) & (2**64 - 1)).bit_count()
+                if share >= similarity and far <= radius:
+                    best[d, item] = max(best.get((d, item), (0, 0)), (share, -at))
+    return {key: (-at, round(share, 9)) for key, (share, at) in best.items()}
+
+
+def test_every_window_within_the_radius_is_found(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{c}{d}" * rng.randint(1, 4) for c in "abcdefgh" for d in "xyzuvw"]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = [some(n) for n in (60, 40, 40, 15, 5, 3, 60)] + [["again", "and"] * 15, []]
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = []
+    for t in texts:
+        half = len(t) // 2
+        changed = list(t)
+        if not t:
+            docs.append((len(docs), ""))
+            continue
+        for _ in range(max(1, len(t) // 30)):
+            changed[rng.randrange(len(t))] = "other"
+        at = rng.randrange(len(t) + 1)
+        for words in (t, t[half:] + t[:half], changed, t[:at] + ["put", "in"] + t[at:], t[:at] + t[at + 2 :], t[1:], t + t, t[: len(t) * 4 // 5]):
+            docs.append((len(docs), " ".join(some(rng.randint(0, 9)) + words + some(rng.randint(0, 9)))))
+            docs.append((len(docs), " ".join(words)))
+    expected = brute_leaks(spark, docs, items, decontaminate.SIMILARITY, decontaminate.RADIUS)
+    assert len(expected) > 40
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 9)) for r in found.collect()} == expected
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(9)
     radius = decontaminate.RADIUS
