@@ -81,6 +81,42 @@ def test_hot_text_is_split(spark):
     assert sizes.max() < 1.02 * sizes.min()
 
 
+def test_groups_below_a_shard_stay_whole(spark):
+    rows = [(i, f"group {i % 6} " * 30) for i in range(1200)] + [(10000 + i, f"text {i} " * 20) for i in range(3000)]
+    found = shards(spark, rows, 8)
+    by_text, total = defaultdict(list), sum(r.size for r in found)
+    for r in found:
+        by_text[r.text_crc32].append(r)
+    large = [g for g in by_text.values() if len(g) > 100]
+    assert len(large) == 6 and all(0.2 < sum(r.size for r in g) * 8 / total < 1 for g in large)
+    assert all(len({r.shard for r in g}) == 1 for g in by_text.values())
+    sizes = np.bincount([r.shard for r in found], weights=[r.size for r in found], minlength=8)
+    assert sizes.max() < 1.02 * sizes.min()
+
+
+def test_placing_follows_the_dot_product():
+    """Every choice again, by a plain search over all shards."""
+    rng = np.random.default_rng(2)
+    weights = rng.random((40, 3)) * rng.choice([0.05, 0.4, 1.3], size=(40, 1))
+    residual, plain = np.ones((5, 3)), [[1.0] * 3 for _ in range(5)]
+    chosen = sharding.place_whole(weights, residual)
+    assert -1 in chosen and len(set(chosen.tolist())) > 3
+    for i in sorted(range(40), key=lambda i: -max(weights[i])):
+        room = [s for s in range(5) if plain[s][0] >= weights[i][0]]
+        if max(weights[i]) > 1 or not room:
+            assert chosen[i] == -1
+            continue
+        best = max(room, key=lambda s: (sum(a * b for a, b in zip(plain[s], weights[i])), -s))
+        assert chosen[i] == best
+        plain[best] = [a - b for a, b in zip(plain[best], weights[i])]
+    assert np.allclose(residual, plain)
+    bundles = rng.random((200, 3)) / 100
+    shard = sharding.pack(bundles, residual.copy())
+    room = residual[:, 0] - np.bincount(shard, weights=bundles[:, 0], minlength=5)
+    before = residual[:, 0].max() - residual[:, 0].min()
+    assert room.max() - room.min() <= before
+
+
 def test_few_and_no_rows(spark):
     assert shards(spark, [], 4) == []
     assert {r.slot for r in shards(spark, [(1, "a"), (2, "b")], 4)} == {0}
