@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import release_key
-from shipledger.operators.found import order_by_key
 from shipledger.schema import index_row
+from shipledger.session import settle
 
 
 def _sorted_struct(df: DataFrame) -> Column:
@@ -54,17 +56,14 @@ def _paths(spark: SparkSession, base: str):
     return jvm, path, files
 
 
-def write_index(index: DataFrame, base: str) -> str:
-    """Write a new version of the index below ``base`` and make it current.
+#: Index entries that a range of the index holds, about.
+RANGE_ROWS = 500_000
+KEY = ["product", "build_number"]
+_MANIFEST = "folder string, low struct<product:string,build_number:string>, high struct<product:string,build_number:string>, rows long"
 
-    The rows are written completely to a folder of their own before the pointer file
-    ``CURRENT`` is replaced by a rename, so readers see the old or the new index, never a
-    part. The rows are in version order, newest first, and range-partitioned by it. The current
-    version and the one before stay, older ones are removed. The store must rename atomically.
-    """
-    spark = index.sparkSession
-    version = uuid.uuid4().hex
-    order_by_key(index, release_key(), descending=True).write.mode("errorifexists").parquet(f"{base}/v-{version}")
+
+def _swap(spark: SparkSession, base: str, version: str) -> None:
+    """Make ``version`` current: the pointer file ``CURRENT`` is replaced by one rename."""
     jvm, path, files = _paths(spark, base)
     draft, current = path(f"{base}/CURRENT.{version}"), path(f"{base}/CURRENT")
     stream = files.create(draft, True)
@@ -78,16 +77,107 @@ def write_index(index: DataFrame, base: str) -> str:
     )
     overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
     context.rename(draft, current, overwrite)
-    _drop_old_versions(base, version, path, files)
+
+
+def _write_ranges(rows: DataFrame, base: str, version: str) -> DataFrame:
+    """Write ``rows`` below folders by their column ``_range``; gives the manifest of these folders."""
+    out = f"{base}/v-{version}"
+    rows.write.mode("errorifexists").partitionBy("_range").parquet(out)
+    key = F.struct(*KEY)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(out)
+    return written.groupBy("_range").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("rows")).select(
+        F.concat(F.lit(f"v-{version}/_range="), F.col("_range").cast("string")).alias("folder"), "low", "high", "rows"
+    )
+
+
+def _finish(manifest: DataFrame, base: str, version: str) -> str:
+    """Write the manifest of a version, make it current and remove what neither it nor the one before names."""
+    spark = manifest.sparkSession
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{base}/m-{version}")
+    _swap(spark, base, version)
+    _, path, files = _paths(spark, base)
+    listed = [(s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(path(base))]
+    manifests = sorted(x for x in listed if x[1].startswith("m-") and x[1] != f"m-{version}")
+    kept = [f"m-{version}", *(name for _, name in manifests[-1:])]
+    # Old versions stay while a current one names one of their ranges.
+    used = {
+        r["v"]
+        for r in spark.read.schema(_MANIFEST).parquet(*[f"{base}/{m}" for m in kept]).select(F.split("folder", "/")[0].alias("v")).distinct().collect()
+    }
+    for _, name in listed:
+        if (name.startswith("m-") and name not in kept) or (name.startswith("v-") and name not in used):
+            files.delete(path(f"{base}/{name}"), True)
     return version
 
 
-def _drop_old_versions(base: str, current: str, path, files, keep: int = 2) -> None:
-    """Remove all versions but the newest ``keep``; a reader of the one before can finish."""
-    found = [(s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(path(base))]
-    versions = sorted(v for v in found if v[1].startswith("v-") and v[1] != f"v-{current}")
-    for _, name in versions[: max(0, len(versions) - (keep - 1))]:
-        files.delete(path(f"{base}/{name}"), True)
+def write_index(index: DataFrame, base: str, range_rows: int = RANGE_ROWS) -> str:
+    """Write a new version of the whole index below ``base`` and make it current.
+
+    Entries are range-partitioned by product and build into folders of about ``range_rows``, which a manifest lists with
+    their least and greatest key. Everything is written completely before the pointer file
+    ``CURRENT`` is replaced by a rename, so readers see the old or the new index, never a
+    part. The version before stays for its readers. The store must rename atomically. :func:`merge_index` writes changes.
+    """
+    version = uuid.uuid4().hex
+    count = max(1, -(-index.count() // range_rows))
+    sliced = index.repartitionByRange(count, *KEY).sortWithinPartitions(*KEY).withColumn("_range", F.spark_partition_id())
+    return _finish(_write_ranges(sliced, base, version), base, version)
+
+
+def merge_index(new: DataFrame, base: str, range_rows: int = RANGE_ROWS) -> str:
+    """Entries of ``new`` (one per build) replace those of the same product and build in the index below ``base``.
+
+    Only ranges that a new key belongs to are read and written again; the folders of all others stay as they are and the new manifest names
+    them. A range that has grown above twice ``range_rows`` is split. Without an index, or for more rows than half of it, the index is
+    written as a whole. ``new`` may lack columns of the index, and have others.
+    """
+    spark = new.sparkSession
+    version = current_version(spark, base)
+    if version is None:
+        return write_index(new, base, range_rows)
+    manifest = settle(spark.read.schema(_MANIFEST).parquet(f"{base}/m-{version}"))
+    new = settle(new)
+    total, added = manifest.agg(F.sum("rows")).first()[0] or 0, new.count()
+    if 2 * added > total:
+        old = read_index(spark, base).join(new.select(*KEY).distinct(), KEY, "left_anti")
+        return write_index(old.unionByName(new, allowMissingColumns=True), base, range_rows)
+    # One row per range; a key belongs to the last range that starts at or before it, keys before all ranges to the first.
+    lows = [(r["low"]["product"] or "", r["low"]["build_number"] or "") for r in manifest.orderBy("low").select("low").collect()]
+    shared = spark.sparkContext.broadcast(lows)
+
+    @F.pandas_udf("int")
+    def range_of(product: pd.Series, build: pd.Series) -> pd.Series:
+        keys = zip(product.fillna(""), build.fillna(""))
+        return pd.Series([max(0, bisect_right(shared.value, key) - 1) for key in keys], dtype="int32")
+
+    placed = settle(new.withColumn("_range", range_of(*KEY)))
+    ordered = manifest.withColumn("_range", F.row_number().over(Window.orderBy("low")) - 1)
+    touched = settle(ordered.join(placed.select("_range").distinct(), "_range"))
+    folders = [f"{base}/{r['folder']}" for r in touched.select("folder").collect()]
+    old = _read_folders(spark, folders)
+    old = old.join(new.select(*KEY).distinct(), KEY, "left_anti").withColumn("_range", range_of(*KEY))
+    rows = old.unionByName(placed, allowMissingColumns=True)
+    sizes = rows.groupBy("_range").agg(F.ceil(F.count("*") / range_rows).alias("_parts"), F.count("*").alias("_rows"))
+    sizes = sizes.withColumn("_parts", F.when(F.col("_rows") > 2 * range_rows, F.col("_parts")).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*KEY)) - 1
+    part = F.floor(place * F.col("_parts") / F.col("_rows"))
+    cut = rows.join(F.broadcast(sizes), "_range").withColumn("_range", F.concat_ws("-", "_range", part)).drop("_parts", "_rows")
+    changed = uuid.uuid4().hex
+    fresh = _write_ranges(cut.repartition("_range").sortWithinPartitions("_range", *KEY), base, changed)
+    kept = manifest.join(touched.select("folder"), "folder", "left_anti")
+    return _finish(kept.unionByName(fresh), base, changed)
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    """The name of the current version of the index below ``base``; None when there is none yet."""
+    _, path, files = _paths(spark, base)
+    if not files.exists(path(f"{base}/CURRENT")):
+        return None
+    return spark.read.text(f"{base}/CURRENT").first()["value"]
+
+
+def _read_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*folders)
 
 
 def read_index(spark: SparkSession, base: str) -> DataFrame | None:
@@ -96,11 +186,15 @@ def read_index(spark: SparkSession, base: str) -> DataFrame | None:
     A pointer to a missing or broken version raises, so a damaged index is never replaced
     by a rewrite.
     """
-    _, path, files = _paths(spark, base)
-    if not files.exists(path(f"{base}/CURRENT")):
+    version = current_version(spark, base)
+    if version is None:
         return None
-    version = spark.read.text(f"{base}/CURRENT").first()["value"]
-    return spark.read.parquet(f"{base}/v-{version}")
+    # One name per range.
+    manifest = spark.read.parquet(f"{base}/m-{version}")
+    folders = [f"{base}/{r['folder']}" for r in manifest.select("folder").collect()]
+    if not folders:
+        return spark.read.parquet(f"{base}/v-{version}").drop("_range")
+    return _read_folders(spark, folders)
 
 
 def publish(df: DataFrame, name: str, out: str, by: list[str] | None = None) -> None:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from shipledger.operators.index import KEY, upsert_index
+from shipledger.operators.index import KEY
 from shipledger.operators.quality import valid_identity
 from shipledger.schema import RELEASE_DOCUMENT, data_file, release_columns
 from shipledger.sources.forms import document_texts, is_document
-from shipledger.sources.writers import read_index, write_index
+from shipledger.sources.writers import merge_index
 from shipledger.session import settle
 
 
@@ -40,8 +40,7 @@ def apply_batch(
         rejected = entries.where(~F.col("valid")).select("arrival.*", "document")
         rejected.write.mode("append").json(rejects_dir)
     new = latest_per_build(entries.where("valid").drop("valid", "document"), "arrival")
-    current = read_index(batch.sparkSession, index_dir)
-    write_index(new if current is None else upsert_index(current, new), index_dir)
+    merge_index(new, index_dir)
 
 
 def file_entries(spark: SparkSession, paths: list[str], order: str | None = None) -> DataFrame:

@@ -160,6 +160,39 @@ def test_index_upsert_round_trip(spark, tmp_path):
     assert list(lines[0]) == sorted(lines[0]) and lines[0]["dataFile"] == "releases/15/macOS-15.1-24B2083.json"
 
 
+def ranges(spark, base):
+    manifest = spark.read.parquet(f"{base}/m-{writers.current_version(spark, base)}")
+    return sorted((r.low.build_number, r.high.build_number, r.rows, r.folder) for r in manifest.collect())
+
+
+def test_merge_touches_only_its_ranges(spark, tmp_path):
+    base = str(tmp_path / "index")
+    rows = {f"24B{i:03d}": f"name {i}" for i in range(100)}
+    index = lambda of: flat(spark, [("15.1", build, name) for build, name in of.items()])
+    writers.write_index(index(rows), base, range_rows=10)
+    before = ranges(spark, base)
+    assert len(before) == 10 and all(a[1] < b[0] for a, b in zip(before, before[1:]))
+    changes = {"24A": "first", "24B031": "new", "24B0315": "between", "24C": "last"}
+    writers.merge_index(index(changes), base, range_rows=10)
+    after = ranges(spark, base)
+    touched = [r for r in after if r[3] not in {b[3] for b in before}]
+    assert [sum(r[2] for r in touched), len(after)] == [33, 10]
+    assert {r.build_number: r.release_name for r in writers.read_index(spark, base).collect()} == rows | changes
+    # A range that grows is split; a replay changes nothing.
+    many = {f"24B050-{i:02d}": "m" for i in range(30)}
+    for _ in range(2):
+        writers.merge_index(index(many).withColumn("note", F.lit("n")), base, range_rows=10)
+        final = ranges(spark, base)
+        assert all(a[1] < b[0] for a, b in zip(final, final[1:])) and max(r[2] for r in final) <= 20
+        found = writers.read_index(spark, base).collect()
+        assert {r.build_number: r.release_name for r in found} == rows | changes | many
+        assert len(found) == 133 and sum(r.note == "n" for r in found) == 30
+    writers.merge_index(index({f"25{i}": "x" for i in range(200)}), base, range_rows=10)
+    assert writers.read_index(spark, base).count() == 333
+    names = [p.name for p in (tmp_path / "index").iterdir()]
+    assert sum(n.startswith("m-") for n in names) == 2
+
+
 def test_broken_index_is_not_replaced(spark, tmp_path):
     base = tmp_path / "index"
     writers.write_index(flat(spark, [("15.1", "24B83", "x")]), str(base))
