@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shipledger.operators import extract as X
+from shipledger.operators import hardware as W
 from shipledger.operators import quality as Q
 from shipledger.plans.catalogue import order_releases, table
 from shipledger.plans.documents import scratch
 from shipledger.plans.registry import query
 from shipledger.plans.sql import ORDER_REL, with_
 from shipledger.schema import data_file, index_row
-from shipledger.sources import readers
+from shipledger.sources import pieces, readers, writers
 
 #: Index files that the orders are dealt over.
 FILES = 16
@@ -96,3 +98,63 @@ def validate_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("file_name"))
     # A key and its comma take 13 bytes, what is around them 7.
     return Q.validate_index_text(texts, expected, variant_bytes=12 * 13 + 7).select("file_name", "rule")
+
+
+@query(
+    "merge_index",
+    with_(ORDER_REL)
+    + """SELECT build_number, release_name || CASE WHEN product = 'Xcode' AND order_key % 3 = 0 THEN ' (again)' WHEN product = 'macOS' AND order_key % 40 = 7 THEN ' (new)' ELSE '' END AS release_name
+ FROM orel""",
+)
+def merge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all orders in ranges, after two merges: some new and changed macOS builds, then some Xcode builds."""
+    releases = order_releases(spark, sf_dir).withColumn("data_file", data_file())
+    late = (F.col("product") == "macOS") & (F.col("order_key") % 40 == 7)
+    again = (F.col("product") == "Xcode") & (F.col("order_key") % 3 == 0)
+    base = scratch(spark, "ranged-index")
+    # The first index lacks half of the builds that the first merge brings.
+    writers.write_index(releases.where(~late | (F.col("order_key") % 80 == 7)), base, range_rows=2000)
+    for rows, mark in ((releases.where(late), " (new)"), (releases.where(again), " (again)")):
+        writers.merge_index(rows.withColumn("release_name", F.concat("release_name", F.lit(mark))), base, range_rows=2000)
+    return writers.read_index(spark, base).select("build_number", "release_name")
+
+
+@query(
+    "scan_artifact_pieces",
+    """SELECT coalesce(source, '') AS source, count(*) AS runs, sum(length(run)) AS bytes FROM (
+ SELECT source, unnest(regexp_extract_all(text, '[ -~]{4,}')) AS run FROM documents) GROUP BY 1""",
+)
+def scan_artifact_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printable runs of the documents of every source, written as files and read in pieces of 64 KiB."""
+    out = scratch(spark, "source-files")
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.coalesce("source", F.lit(""))).alias("folder"), F.col("text").alias("value"))
+    texts.where("value IS NOT NULL").write.partitionBy("folder").text(out)
+    runs = X.printable_runs(pieces.scan_artifact_pieces(spark, out, exts=["txt"], piece_bytes=1 << 16))
+    return runs.groupBy(F.regexp_extract("path", r"/folder=s([^/]*)/", 1).alias("source")).agg(
+        F.count("*").alias("runs"), F.sum(F.length("run")).alias("bytes")
+    )
+
+
+@query(
+    "kernel_heads",
+    """SELECT page_id, '24.' || (page_id % 7) || '.0' AS darwin_version, CASE page_id % 3 WHEN 0 THEN 'M1 Pro' ELSE 'X' || page_id END AS chip,
+ CASE page_id % 2 WHEN 0 THEN 1 ELSE 2 END AS pieces_read FROM pages""",
+)
+def kernel_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernels by path, read up to their banner: in front, or behind the first 64 KiB."""
+    key, page = F.col("page_id"), F.col("page_id").cast("string")
+    chip = F.when(key % 3 == 0, "T6000").otherwise(F.concat(F.lit("X"), page))
+    banner = F.concat(
+        F.lit("Darwin Kernel Version 24."), (key % 7).cast("string"), F.lit(".0: root:xnu-1.2."), page, F.lit("~1/RELEASE_ARM64_"), chip
+    )
+    filler = F.repeat(F.lit("0\n"), 1 << 15)
+    out = scratch(spark, "kernels")
+    table(spark, sf_dir, "pages").select(
+        "page_id", F.when(key % 2 == 0, F.concat_ws("\n", banner, "html", filler)).otherwise(F.concat_ws("\n", filler, banner, "html")).alias("value")
+    ).repartition("page_id").write.partitionBy("page_id").text(out)
+    files = readers.scan_artifacts(spark, out, exts=["txt"]).select(
+        "path", "length", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"), F.lit("kernelcache.release.Mac16,1").alias("file")
+    )
+    heads = pieces.kernel_heads(files, piece_bytes=1 << 16)
+    found = X.kernel_fields(heads, W.arch_table(spark), keys=["page_id", "pieces_read"])
+    return found.select("page_id", "darwin_version", "chip", "pieces_read")
