@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shipledger.llm.pieces import CUT
+from shipledger.llm.work import map_rows
 
 LEAF = 4096
 WINDOW = 32
@@ -96,10 +97,6 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def _schema(df: DataFrame, extra: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), extra])
-
-
 #: Rows that are encoded at once; bounds the memory of a worker.
 ROWS = 512
 
@@ -123,7 +120,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 ids = [coder.encode(value or "") for value in part.column(place).to_pylist()]
                 yield _with_column(part, into, pa.array(ids, pa.list_(pa.int32())))
 
-    return df.mapInArrow(run, _schema(df, f"`{into}` array<int>"))
+    return map_rows(df, run, {into: "array<int>"})
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -140,4 +137,4 @@ def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids
                 texts = [None if v is None else coder.decode(v) for v in part.column(place).to_pylist()]
                 yield _with_column(part, into, pa.array(texts, pa.binary()))
 
-    return df.mapInArrow(run, _schema(df, f"`{into}` binary"))
+    return map_rows(df, run, {into: "binary"})

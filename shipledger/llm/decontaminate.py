@@ -49,11 +49,27 @@ def _bag(words: str) -> str:
       transform(sequence(1, greatest(1, size({words}) - {SHINGLE - 1})), i -> array_join(slice({words}, i, {SHINGLE}), ' ')))"""
 
 
-def simhash(words: str) -> str:
-    """SQL for the 64-bit SimHash of an array of words, each with its number of occurrences as weight."""
-    ones = "aggregate(hashes, 0, (n, h) -> n + CAST(shiftrightunsigned(h, b) & 1 AS INT))"
-    bits = f"aggregate(sequence(0, 63), CAST(0 AS BIGINT), (x, b) -> x | IF(2 * {ones} > size(hashes), shiftleft(CAST(1 AS BIGINT), b), CAST(0 AS BIGINT)))"
-    return f"transform(array(transform({words}, w -> xxhash64(w))), hashes -> {bits})[0]"
+#: The lowest bit of every byte.
+_LOW_BITS = 0x0101010101010101
+#: Words whose bits a byte can count, the highest one being signed.
+_BYTE_WORDS = 127
+
+
+def simhash(words: str, byte_words: int = _BYTE_WORDS) -> str:
+    """SQL for the 64-bit SimHash of an array of words, each with its number of occurrences as weight.
+
+    The bits of up to ``byte_words`` words are counted in the bytes of eight longs, those of more words one bit after the other.
+    """
+    steps = ", ".join(f"get(s, {k}) + (shiftrightunsigned(h, {k}) & {_LOW_BITS}L)" for k in range(8))
+    counts = f"aggregate(hashes, array({', '.join(['0L'] * 8)}), (s, h) -> array({steps}))"
+    in_bytes = "CAST(shiftrightunsigned(get(counts, b % 8), CAST(8 * (b div 8) AS INT)) & 255 AS INT)"
+    in_turn = "aggregate(hashes, 0, (n, h) -> n + CAST(shiftrightunsigned(h, b) & 1 AS INT))"
+
+    def bits(ones: str) -> str:
+        return f"aggregate(sequence(0, 63), 0L, (x, b) -> x | IF(2 * {ones} > size(hashes), shiftleft(1L, b), 0L))"
+
+    few = f"transform(array({counts}), counts -> {bits(in_bytes)})[0]"
+    return f"transform(array(transform({words}, w -> xxhash64(w))), hashes -> IF(size(hashes) <= {byte_words}, {few}, {bits(in_turn)}))[0]"
 
 
 def blocks(fingerprint: str, radius: int) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm.work import slices, written
+from shipledger.llm.work import map_rows, slices, unused, written
 
 STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -108,7 +108,9 @@ def drop_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) ->
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     at = names.index("text")
-    rows = docs.withColumn("_doc", _doc()).join(lost.select(F.col("doc").alias("_doc"), F.col("keys").alias("_keys")), "_doc", "left")
+    doc, keys = unused("_doc", names), unused("_keys", names)
+    lost = lost.select(F.col("doc").alias(doc), F.col("keys").alias(keys))
+    rows = docs.withColumn(doc, _doc()).join(lost, doc, "left").drop(doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +129,9 @@ def drop_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) ->
                 columns = [part.column(i) for i in range(len(names))]
                 columns[at] = pa.array(texts, columns[at].type)
                 columns += [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[: len(names)], "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.select(*names, "_keys").mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    return map_rows(rows, run, {"n_lines": "long", "n_dropped": "long"}, keep=len(names))
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:

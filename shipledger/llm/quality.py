@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipledger.llm.work import map_rows, unused
+
 BUCKETS = 1 << 18
 #: Labelled documents that the model is fitted on at most; taken by hash of their doc_id.
 SAMPLE_ROWS = 8192
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     """Fit on at most ``sample_rows`` labelled documents (labels: doc_id, quality, toxic).
 
     Labels with a null count for nothing; a text that occurs several times counts once. Without labels
-    nothing is learnt and every document passes.
+    nothing is learnt and every document with a word passes.
     """
     grade = F.when(F.col("toxic") == 1, 0).otherwise(F.when(F.col("quality") == 1, 2).otherwise(1))
     sample = (
@@ -240,8 +242,8 @@ def score(
 ) -> DataFrame:
     """``docs`` with the expected grade and the tail probability P(grade >= 2).
 
-    The columns ``grade`` and ``tail`` replace such columns; all rows and other columns stay; a null
-    text is an empty one; texts are read whole.
+    The columns ``grade`` and ``tail`` replace such columns; all rows and other columns stay; texts are read whole. A text
+    that is null, empty or white space has the lowest grade, whatever the model.
     """
     docs = docs.drop(grade, tail)
     at = docs.columns.index("text")
@@ -256,13 +258,13 @@ def score(
                 part = batch.slice(start, 1024)
                 sums = np.array([model.dense[features(t)].sum() for t in part.column(at).to_pylist()])
                 chances = model.probabilities(sums)
+                chances[[not (t and t.strip()) for t in part.column(at).to_pylist()]] = np.eye(GRADES)[0]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(chances @ np.arange(GRADES)), pa.array(chances[:, GRADES - 1])],
                     names=[*part.schema.names, grade, tail],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{grade}` double, `{tail}` double")
+    return map_rows(docs, run, {grade: "double", tail: "double"})
 
 
 #: Documents with a smaller chance of the best grade are rejected.
@@ -271,5 +273,6 @@ LEAST_TAIL = 0.5
 
 def select(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL) -> DataFrame:
     """``docs`` whose tail probability is at least ``least_tail``, with their own columns only."""
-    scored = score(docs, model, "_selected_grade", "_selected_tail")
-    return scored.where(F.col("_selected_tail") >= least_tail).select(*docs.columns)
+    grade, tail = unused("_grade", docs.columns), unused("_tail", docs.columns)
+    scored = score(docs, model, grade, tail)
+    return scored.where(F.col(tail) >= least_tail).drop(grade, tail)

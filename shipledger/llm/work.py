@@ -49,6 +49,18 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def map_rows(df: DataFrame, run, added: dict[str, str], keep: int | None = None) -> DataFrame:
+    """``df.mapInArrow(run)`` for columns of any names, dots included; ``run`` sees and gives them by position.
+
+    ``added`` names the new columns and their types; of the columns of ``df`` the first ``keep`` stay.
+    """
+    fields = df.schema.fields
+    names = [f"_column_{i}" for i in range(len(fields))]
+    kept = list(zip(names, (f.dataType.simpleString() for f in fields)))[:keep]
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*kept, *added.items()])
+    return df.toDF(*names).mapInArrow(run, schema).toDF(*df.columns[:keep], *added)
+
+
 def slices(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -182,6 +182,14 @@ def test_leaks(spark):
         assert none.count() == 0
 
 
+def test_simhash_counts_bits_either_way(spark):
+    rng = random.Random(7)
+    rows = [([f"w{rng.randint(0, 30)}" for _ in range(n)],) for n in (0, 1, 2, 40, 126, 127, 128, 600)]
+    df = spark.createDataFrame(rows, "words array<string>")
+    both = df.selectExpr("size(words) AS n", f"{decontaminate.simhash('words')} AS a", f"{decontaminate.simhash('words', 0)} AS b").collect()
+    assert len(both) == 8 and all(r.a == r.b for r in both) and len({r.a for r in both}) == 8
+
+
 def brute_leaks(spark, docs, items, similarity, radius):
     """Best window of every document for every item, over all windows of all documents."""
     split = lambda text: [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]

@@ -134,7 +134,10 @@ def test_quality(spark):
     kept = quality.select(df, model)
     assert kept.schema == df.schema
     nothing = quality.fit(df, train.limit(0))
-    assert quality.select(df, nothing).count() == df.count()
+    assert quality.select(df, nothing).count() == df.count() - 2
+    for fitted in (model, nothing):
+        blank = quality.score(df.where("doc_id IS NULL OR doc_id = 5000").withColumn("b.c", F.lit(1)), fitted).collect()
+        assert [(r.expected_grade, r.tail_probability) for r in blank] == [(0.0, 0.0)] * 2
     assert quality.score(df.limit(0), model).count() == 0
 
 
