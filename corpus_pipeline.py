@@ -15,6 +15,11 @@ from shipledger.llm.registry import table
 from shipledger.llm.work import written
 
 
+def _own(docs: DataFrame) -> list[str]:
+    """The columns of ``docs``, quoted, as a name may hold a dot."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on their labels, gives the best grade; others go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -28,7 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     kept = line_dedup.dedup_lines(docs, batches=4)
     some = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return kept.where(some).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return kept.where(some).withColumn("n_chars", F.length("text").cast("long")).select(*_own(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     others = written(others, "near-duplicates")
     few = F.broadcast(others) if others.count() <= ngram_join.BROADCAST_ROWS else others
-    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(few, "doc_id", "left_anti").select(*_own(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*_own(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
