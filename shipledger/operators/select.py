@@ -219,7 +219,7 @@ def lookup_components(requests: DataFrame, components: DataFrame) -> DataFrame:
         *release, *details, tiers(lname, strip_parenthetical(lname))
     ).select(*release, "t.tier", "t.key", *details)
     found = (
-        keyed.join(targets, [*release, "tier", "key"])
+        join_dimension(keyed, targets, [*release, "tier", "key"])
         .groupBy(*release, "tier", "key")
         .agg(F.min_by(F.struct(*details), "ord").alias("hit"))
     )
