@@ -158,3 +158,19 @@ def kernel_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = pieces.kernel_heads(files, piece_bytes=1 << 16)
     found = X.kernel_fields(heads, W.arch_table(spark), keys=["page_id", "pieces_read"])
     return found.select("page_id", "darwin_version", "chip", "pieces_read")
+
+
+@query(
+    "publish_current",
+    with_(ORDER_REL) + "SELECT build_number, os_version || CASE WHEN order_key % 5 = 0 THEN ' (2)' ELSE '' END AS os_version, 2 AS folders FROM orel",
+)
+def publish_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release list published three times: as it is, again without a change, and with changed versions."""
+    out = scratch(spark, "published")
+    first = order_releases(spark, sf_dir).select("build_number", "os_version", "order_key")
+    again = F.concat("os_version", F.when(F.col("order_key") % 5 == 0, " (2)").otherwise(""))
+    written = 0
+    for rows in (first, first, first.withColumn("os_version", again)):
+        written += writers.publish_current(rows, "releases", out, of=writers.fingerprint(rows))
+    lines = spark.read.schema("build_number STRING, os_version STRING").json(writers.published(spark, out, "releases"))
+    return lines.withColumn("folders", F.lit(written))

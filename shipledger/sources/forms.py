@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shipledger.session import settle
+
 #: Files up to this size are read as one value; larger ones by line, in splits.
 WHOLE_BYTES = 32 << 20
 #: A text is a value, so no longer file can be one document.
 VALUE_BYTES = (1 << 31) - (1 << 20)
 
+#: Large files up to which the table of those that are one document is broadcast, a row each.
+BROADCAST_ROWS = 500_000
+
 WHERE = ["file_path", "file_modification_time"]
 
 
@@ -43,7 +48,8 @@ def _one_document(lines: DataFrame) -> DataFrame:
     """Paths of files of ``lines`` that can be one document over several lines; a row per file.
 
     In one value, the first line is no value by itself, the last line closes it, and behind each line that is a value
-    by itself comes a line that starts with a closing bracket or a comma.
+    by itself comes a line that starts with a closing bracket or a comma. A file that opens a value and has no line that is one
+    stays together too, as a broken document does in a smaller file.
     """
     place = F.struct("block", "line")
     return (
@@ -56,7 +62,7 @@ def _one_document(lines: DataFrame) -> DataFrame:
             F.count_if("_one").alias("values"),
             F.count_if(F.col("value").rlike(r"^\s*[}\],]")).alias("behind"),
         )
-        .where("opens AND closes AND behind >= values")
+        .where("opens AND (values = 0 OR (closes AND behind >= values))")
         .select("file_path", F.lit(True).alias("one"))
     )
 
@@ -69,7 +75,7 @@ def document_texts(
     Columns: file_path, file_modification_time, the place in the file (block, line, item; in this order) and text.
     A file that is one JSON value is one text, any other gives its lines that are not blank, each for itself. An
     array gives its elements. Files above ``whole_bytes`` are read by line in splits and only put together where they can
-    be one document. Files are UTF-8, with or without a byte order mark.
+    be one document, with the same texts as a smaller file; above 2 GiB, where they can be no value, they give their lines. Files are UTF-8, with or without a byte order mark.
     """
 
     def read(whole: bool) -> DataFrame:
@@ -86,7 +92,8 @@ def document_texts(
 
     # Lines of a split have ascending numbers; only the lines of one split are compared by them.
     lines = read(False).withColumn("line", F.monotonically_increasing_id()).where(F.col("value").rlike(r"\S"))
-    marked = lines.join(F.broadcast(_one_document(lines)), "file_path", "left")
+    one = settle(_one_document(lines))
+    marked = lines.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, "file_path", "left")
     joined = (
         marked.where("one")
         .groupBy(*WHERE)

@@ -65,7 +65,7 @@ _MANIFEST = "folder string, low struct<product:string,build_number:string>, high
 def _swap(spark: SparkSession, base: str, version: str) -> None:
     """Make ``version`` current: the pointer file ``CURRENT`` is replaced by one rename."""
     jvm, path, files = _paths(spark, base)
-    draft, current = path(f"{base}/CURRENT.{version}"), path(f"{base}/CURRENT")
+    draft, current = path(f"{base}/CURRENT.{uuid.uuid4().hex}"), path(f"{base}/CURRENT")
     stream = files.create(draft, True)
     stream.write(bytearray(version, "utf-8"))
     stream.close()
@@ -206,3 +206,51 @@ def publish(df: DataFrame, name: str, out: str, by: list[str] | None = None) ->
     text = df.select(*by, F.to_json(_sorted_struct(df)).alias("value"))
     writer = text.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).text(f"{out}/{name}")
+
+
+def fingerprint(*inputs: DataFrame) -> str:
+    """A text that tells whether tables have changed: number and summed hashes of their rows, whatever their order."""
+    parts = []
+    for df in inputs:
+        # Hashes are added as decimals of their halves, which cannot overflow.
+        row = F.xxhash64(F.lit(",".join(df.columns)), *[F.col(f"`{c}`") for c in df.columns])
+        sums = df.select(row.alias("h")).agg(
+            F.count("*").alias("n"),
+            F.sum(F.expr("CAST(h & 4294967295 AS DECIMAL(38, 0))")).alias("low"),
+            F.sum(F.expr("CAST(shiftrightunsigned(h, 32) AS DECIMAL(38, 0))")).alias("high"),
+        )
+        parts.append("-".join(str(x or 0) for x in sums.first()))
+    return "+".join(parts)
+
+
+def publish_current(df: DataFrame, name: str, out: str, by: list[str] | None = None, of: str | None = None) -> bool:
+    """Publish like :func:`publish`, into a new folder below ``out/name`` that becomes current by one rename.
+
+    Readers, who take the folder from :func:`published`, see the old or the new dataset; the one before stays for those who still read it. ``of`` is the
+    :func:`fingerprint` of what the dataset is made from: if the current one was made from the same, nothing is computed or written, and the result
+    is False. A publish that ends early leaves the current dataset as it was.
+    """
+    spark, base = df.sparkSession, f"{out}/{name}"
+    known = _published(spark, out, name)
+    if of is not None and known is not None and known[1] == of:
+        return False
+    version = f"v-{uuid.uuid4().hex}"
+    publish(df, version, base, by)
+    _swap(spark, base, f"{version} {of or ''}")
+    _, path, files = _paths(spark, base)
+    keep = {version, known and known[0]}
+    for s in files.listStatus(path(base)):
+        if s.getPath().getName().startswith("v-") and s.getPath().getName() not in keep:
+            files.delete(s.getPath(), True)
+    return True
+
+
+def _published(spark: SparkSession, out: str, name: str) -> tuple[str, str] | None:
+    found = current_version(spark, f"{out}/{name}")
+    return None if found is None else tuple(found.split(" ", 1))
+
+
+def published(spark: SparkSession, out: str, name: str) -> str | None:
+    """The folder of the current dataset ``name``; None when there is none yet."""
+    found = _published(spark, out, name)
+    return None if found is None else f"{out}/{name}/{found[0]}"

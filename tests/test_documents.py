@@ -193,6 +193,26 @@ def test_merge_touches_only_its_ranges(spark, tmp_path):
     assert sum(n.startswith("m-") for n in names) == 2
 
 
+def test_publish_current(spark, tmp_path):
+    out = str(tmp_path)
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, `v.w` string")
+    read = lambda: sorted(r.value for r in spark.read.text(writers.published(spark, out, "set")).collect())
+    assert writers.published(spark, out, "set") is None
+    of = writers.fingerprint(rows)
+    assert of == writers.fingerprint(rows.orderBy(F.desc("id"))) != writers.fingerprint(rows.limit(1)) and writers.fingerprint(rows.where("false")) == "0-0-0"
+    assert writers.publish_current(rows, "set", out, of=of) and read() == ['{"id":1,"v.w":"a"}', '{"id":2}']
+    first = writers.published(spark, out, "set")
+    assert not writers.publish_current(rows, "set", out, of=of) and writers.published(spark, out, "set") == first
+    broken = rows.withColumn("id", F.expr("CAST(raise_error('stopped') AS INT)"))
+    with pytest.raises(Exception):
+        writers.publish_current(broken, "set", out, of="other")
+    assert writers.published(spark, out, "set") == first and len(read()) == 2
+    assert writers.publish_current(rows.where("id = 1"), "set", out) and read() == ['{"id":1,"v.w":"a"}']
+    assert spark.read.text(first).count() == 2  # readers of the one before can finish
+    assert writers.publish_current(rows.where("id = 2"), "set", out) and read() == ['{"id":2}']
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "set").iterdir()) == 2
+
+
 def test_broken_index_is_not_replaced(spark, tmp_path):
     base = tmp_path / "index"
     writers.write_index(flat(spark, [("15.1", "24B83", "x")]), str(base))
@@ -336,6 +356,21 @@ def test_stream_rejects_only_broken_lines(spark, tmp_path):
     assert sorted(r.document for r in spark.read.json(str(tmp_path / "index-rejects")).collect()) == ["# comment", "torn line", '{"torn":']
 
 
+def test_large_files_give_the_texts_of_small_ones(spark, tmp_path):
+    texts = {
+        "cut.json": '{\n  "a": [1,\n  2\n', "pretty.json": json.dumps([{"a": 1}, {"b": [{"c": 2}]}], indent=2), "row.json": '[\n{"a":1},\n{"b":2}\n]',
+        "lines.json": '{"a": 1}\n{broken\n[2]\n', "words.json": "no\njson\n", "torn.json": '{"x":\n{"a": 1}\n', "one.json": '{"a": {"b": 1}}',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    small, large = (
+        sorted((r.file_path.rpartition("/")[2], r.line, r.item, r.text.strip()) for r in forms.document_texts(spark, str(tmp_path), "*.json", size).collect())
+        for size in (forms.WHOLE_BYTES, 0)
+    )
+    numbered = lambda rows: [(name, text) for name, _, _, text in sorted(rows)]
+    assert numbered(small) == numbered(large) and len(small) == 13
+
+
 @pytest.mark.parametrize("whole_bytes", [forms.WHOLE_BYTES, 0])
 def test_stream_orders_a_build_over_files(spark, tmp_path, monkeypatch, whole_bytes):
     """A build in two files of a batch: the order field decides, also in files read by line."""
