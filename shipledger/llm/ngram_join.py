@@ -47,7 +47,7 @@ class _Words(dict):
 class Shingler:
     """Distinct n-gram hashes of texts, sorted."""
 
-    def __init__(self, n: int, limit: int = 400_000):
+    def __init__(self, n: int, limit: int = 200_000):
         self.n, self.limit, self.words = n, limit, _Words()
         self.factors = [int(_ODD[k % 4]) + 2 * (k // 4) for k in range(n)]
 

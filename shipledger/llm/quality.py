@@ -54,7 +54,7 @@ def form(token: str) -> str:
 class _Tokens(dict):
     """Form and feature buckets of tokens seen so far."""
 
-    def __init__(self, wanted: np.ndarray | None, limit: int = 300_000):
+    def __init__(self, wanted: np.ndarray | None, limit: int = 150_000):
         super().__init__()
         self.wanted, self.limit = wanted, limit
 
