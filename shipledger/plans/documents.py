@@ -294,7 +294,7 @@ INDEX_FAULTS = 43
 
 
 def index_raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Index entries (product, pos, raw) of the order catalogue with faults, and the files."""
+    """Index entries (product, pos, raw) of the order catalogue with faults, and the files; some files are left out, as faults too."""
     releases = order_releases(spark, sf_dir).withColumn("pos", _rank()).withColumn("g", F.col("order_key") % INDEX_FAULTS)
     releases = releases.withColumns({"is_beta": F.lit(False), "is_rc": F.lit(False), "rank_kept": F.col("pos")})
     shown = releases.withColumn("data_file", data_file())
@@ -421,7 +421,10 @@ def duplicate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT build_number, release_name FROM orel WHERE NOT is_beta AND order_key % 2 = 1""",
 )
 def upsert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index after new entries replaced some of its own, written and read back."""
+    """An index after new entries replaced some of its own, written and read back.
+
+    The first index lacks orders that the new entries bring.
+    """
     releases = order_releases(spark, sf_dir).withColumn("data_file", data_file())
     old = releases.where(F.col("is_beta") | (F.col("order_key") % 6 != 0))
     new = releases.where(~F.col("is_beta") & (F.col("order_key") % 2 == 0)).withColumn(
@@ -644,7 +647,7 @@ for _name, _of in (
     + """SELECT build_number, order_key % 6 <> 0 AS safe, CASE WHEN order_key % 6 <> 0 AND order_key % 5 <> 0 THEN os_version ELSE '-' END AS document FROM orel""",
 )
 def load_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries with their documents, unsafe paths refused."""
+    """Index entries with their documents, unsafe paths refused; every fifth document is left out, so that entries lack theirs."""
     releases = order_releases(spark, sf_dir).withColumn("data_file", data_file())
     key = F.col("order_key")
     entries = releases.withColumn(
