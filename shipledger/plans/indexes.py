@@ -60,7 +60,7 @@ def index_files(spark: SparkSession, sf_dir: str) -> str:
 @query(
     "scan_index",
     with_(ORDER_REL, PLACED)
-    + """SELECT product, os_version, build_number, release_name, release_date, is_beta, coalesce(beta_number, 0) AS beta_number, is_rc, place AS pos,
+    + """SELECT product, os_version, build_number, release_name, release_date, is_beta, CAST(coalesce(beta_number, 0) AS INTEGER) AS beta_number, is_rc, place AS pos,
  os_version || '-' || build_number AS id FROM placed WHERE reason IS NULL""",
 )
 def scan_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def scan_artifact_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "kernel_heads",
     """SELECT page_id, '24.' || (page_id % 7) || '.0' AS darwin_version, CASE page_id % 3 WHEN 0 THEN 'M1 Pro' ELSE 'X' || page_id END AS chip,
- CASE page_id % 2 WHEN 0 THEN 1 ELSE 2 END AS pieces_read FROM pages""",
+ CAST(CASE page_id % 2 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS pieces_read FROM pages""",
 )
 def kernel_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernels by path, read up to their banner: in front, or behind the first 64 KiB."""
