@@ -7,6 +7,8 @@ source; ranges are read where their rows are, from any store that Arrow's file s
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shipledger import fixed
 from shipledger.operators.extract import PIECE_BYTES
+from shipledger.session import settle
 from shipledger.sources.readers import scan_artifacts
 
 _INSIDE = re.compile(rb"[\x20-\x7E]*")
@@ -23,9 +26,13 @@ _INSIDE = re.compile(rb"[\x20-\x7E]*")
 _AHEAD = 64 * 1024
 
 
+def _store(path: str):
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "", 1))
+
+
 def opened(path: str):
     """An input file for random reads; ``path`` is a URI or a local path."""
-    store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "", 1))
+    store, name = _store(path)
     return store.open_input_file(name)
 
 
@@ -66,12 +73,17 @@ def _read(size: int):
     return run
 
 
+def _parts(df: DataFrame) -> int:
+    """Tasks to deal short rows over, each of which stands for much work; without a number few bytes would become few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _with_contents(files: DataFrame, size: int) -> DataFrame:
     """``files`` (path, length, other columns) once per piece, with ``piece`` and ``content``."""
     last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / size).cast("long")
     pieces = files.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     # Ranges of one file lie together in what lists it; dealt anew, they are read by many tasks.
-    dealt = pieces.repartition("path", "piece")
+    dealt = pieces.repartition(_parts(files), "path", "piece")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(_read(size), f"{kinds}, content binary")
 
@@ -88,6 +100,33 @@ def scan_artifact_pieces(
     return _with_contents(files, piece_bytes)
 
 
+#: Folders that written files are dealt over.
+FOLDERS = 256
+
+
+def write_files(rows: DataFrame, out: str) -> DataFrame:
+    """Every row (name, content, other columns) as a file of its own below ``out``; gives path and length with the other columns.
+
+    A task writes its rows one after the other, with no folder, sort or listing for a single row. A file gets its name when it is complete, so a
+    task that runs again leaves the same files. Names tell rows apart and hold no slash. The result is computed once.
+    """
+
+    def write(name: str, content: bytes) -> tuple[str, int]:
+        folder = f"{out}/{zlib.crc32(name.encode()) % FOLDERS:03d}"
+        store, place = _store(folder)
+        store.create_dir(place, recursive=True)
+        draft = f"{place}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as stream:
+            stream.write(content)
+        store.move(draft, f"{place}/{name}")
+        return f"{folder}/{name}", len(content)
+
+    # Plain UDF: it takes 100 rows at a time, however large their contents are.
+    writer = F.udf(write, "struct<path: string, length: long>", useArrow=False).asNondeterministic()
+    rest = [c for c in rows.columns if c not in ("name", "content")]
+    return settle(rows.select(*rest, writer("name", "content").alias("file_")).select("file_.*", *rest))
+
+
 _HEADS = {"darwin_version": fixed.KERNEL_DARWIN, "xnu_version": fixed.KERNEL_XNU, "suffix": fixed.KERNEL_ARCH}
 
 
@@ -125,4 +164,4 @@ def kernel_heads(files: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.repartition("path").mapInArrow(run, f"{kinds}, darwin_version string, xnu_version string, suffix string, pieces_read long")
+    return files.repartition(_parts(files), "path").mapInArrow(run, f"{kinds}, darwin_version string, xnu_version string, suffix string, pieces_read long")

@@ -1,5 +1,6 @@
 """Contents searched in pieces, as values and as files."""
 
+import pathlib
 import random
 import re
 
@@ -112,3 +113,20 @@ def test_python_runtime_is_the_same_for_any_piece(spark, size):
     assert sorted((r.id, r.version) for r in found) == [("a", "3.9.6"), ("b", "3.11.4")]
     cut = df.select("id", "version_dir", "path", F.lit(1).alias("piece"), "content").union(df.select("id", "version_dir", "path", F.lit(0), F.lit(b"3.1\x00")))
     assert sorted((r.id, r.version) for r in X.python_runtime_pick(cut, keys=["id"]).collect()) == [("a", "3.9.6"), ("b", "3.11.4")]
+
+
+def test_every_row_becomes_a_file_without_a_folder_of_its_own(spark, tmp_path):
+    contents = [b"", b"\x00\xff\n", *[b"%d" % i for i in range(600)]]
+    rows = spark.createDataFrame([(i, f"k-{i}", bytearray(c)) for i, c in enumerate(contents)], "id long, name string, content binary")
+    files = P.write_files(rows, str(tmp_path / "out")).collect()
+    assert sorted((f.id, f.length) for f in files) == [(i, len(c)) for i, c in enumerate(contents)]
+    assert all(pathlib.Path(f.path).read_bytes() == contents[f.id] for f in files)
+    below = list((tmp_path / "out").rglob("*"))
+    assert sum(p.is_file() for p in below) == len(contents) and sum(p.is_dir() for p in below) <= P.FOLDERS
+
+
+def test_few_bytes_of_many_kernels_are_read_by_many_tasks(spark):
+    files = spark.range(1000).select(F.concat(F.lit("/k/"), "id").alias("path"), F.lit(9).cast("long").alias("length"))
+    for read in (P.kernel_heads(files), P._with_contents(files, 8)):
+        exchange = next(line for line in read._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in line)
+        assert exchange.rstrip().endswith(", 4")
