@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import with_direction
-from shipledger.operators.dimension import join_dimension
+from shipledger.operators.dimension import BROADCAST_ROWS, join_dimension
 from shipledger.operators.succession import with_next
+from shipledger.session import settle
 
 PAIR = ["product", "from_build", "to_build"]
 
@@ -46,21 +47,27 @@ def _diff(sided: DataFrame, keys: list[str]) -> DataFrame:
 def compare_many(components: DataFrame, pairs: DataFrame) -> DataFrame:
     """All requested pairs in one job; ``pairs`` has product, from_build and to_build.
 
-    Only the four columns needed travel. ``pairs`` meets the components by ``join_dimension``:
-    the shuffle on (pair, name) is the only one of the facts, as long as the pairs are few.
+    Only the columns needed travel, and for a pair a number, which meets its builds again behind the
+    grouping. ``pairs`` meets the components by ``join_dimension``: the shuffle on (pair, name) is the
+    only one of the facts, as long as the pairs are few; beyond, pairs travel by their builds.
     """
-    wanted = pairs.select(*PAIR).distinct()
+    wanted = settle(pairs.select(*PAIR).distinct().withColumn("_pair", F.monotonically_increasing_id()))
+    few = wanted.count() <= BROADCAST_ROWS
+    keys = ["_pair"] if few else PAIR
     sides = wanted.select(
-        *PAIR,
+        *dict.fromkeys([*keys, "product"]),
         F.explode(
             F.array(
                 F.struct(F.col("from_build").alias("build_number"), F.lit("from").alias("side")),
                 F.struct(F.col("to_build").alias("build_number"), F.lit("to").alias("side")),
             )
         ).alias("s"),
-    ).select(*PAIR, "s.build_number", "s.side")
+    ).select(*dict.fromkeys([*keys, "product"]), "s.build_number", "s.side")
     slim = components.select("product", "build_number", "ord", "name", "version")
-    return _diff(join_dimension(slim, sides, ["product", "build_number"]), PAIR)
+    diff = _diff(join_dimension(slim, sides, ["product", "build_number"]), keys)
+    if few:
+        diff = diff.join(F.broadcast(wanted), "_pair")
+    return diff.select(*PAIR, "name", "from_version", "to_version", "status")
 
 
 def compare_releases(

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from shipledger.operators import compare as C
 from tests.test_versions import plain_direction
 
@@ -70,3 +72,17 @@ def test_overlay(spark):
     over = spark.createDataFrame([("macOS", "a", 0, "x", "2")], schema)
     assert sorted((r.name, r.version) for r in C.overlay_components(base, over).collect()) == [("x", "2"), ("y", "1")]
     assert C.overlay_components(base, over.limit(0)).count() == 2
+
+
+@pytest.mark.parametrize("limit", [0, C.BROADCAST_ROWS])
+def test_pairs_travel_as_numbers_while_they_are_few(spark, monkeypatch, limit):
+    rows = [("macOS", b, i, f"n{i % 3}", f"{i}.{b}") for b in ("1A1", "1A2", "1A3") for i in range(4)]
+    components = spark.createDataFrame(rows, "product string, build_number string, ord long, name string, version string")
+    pairs = spark.createDataFrame([("macOS", "1A1", "1A2"), ("macOS", "1A2", "1A3")] * 2, "product string, from_build string, to_build string")
+    monkeypatch.setattr(C, "BROADCAST_ROWS", limit)
+    diff = C.compare_many(components, pairs)
+    assert diff.columns == [*C.PAIR, "name", "from_version", "to_version", "status"]
+    found = sorted((r.from_build, r.to_build, r.name, r.from_version, r.to_version) for r in diff.collect())
+    assert found == [(a, b, f"n{i}", f"{i}.{a}", f"{i}.{b}") for a, b in (("1A1", "1A2"), ("1A2", "1A3")) for i in range(3)]
+    groups = [line for line in diff._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert any("from_build" in line for line in groups) == (limit == 0)
