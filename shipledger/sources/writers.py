@@ -6,7 +6,7 @@ import uuid
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shipledger.functions.versions import release_key
@@ -18,14 +18,19 @@ def _sorted_struct(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])
 
 
-def write_releases(documents: DataFrame, out: str, fmt: str = "json") -> None:
+def _compressed(writer: DataFrameWriter, compression: str | None) -> DataFrameWriter:
+    return writer if compression is None else writer.option("compression", compression)
+
+
+def write_releases(documents: DataFrame, out: str, fmt: str = "json", compression: str | None = None) -> None:
     """Documents below ``product=…/major=…``; null fields are left out of JSON.
 
-    Many documents share a file, so a large catalogue does not become as many small files.
+    Many documents share a file, so a large catalogue does not become as many small files. ``compression`` names a
+    codec of the format, which readers tell by the file name.
     """
     major = F.regexp_extract("osVersion", "[^.]+", 0)
     placed = documents.drop("file_path", "data_file", "build_number").withColumn("major", major)
-    placed.write.mode("overwrite").partitionBy("product", "major").format(fmt).save(out)
+    _compressed(placed.write.mode("overwrite"), compression).partitionBy("product", "major").format(fmt).save(out)
 
 
 def write_document_files(documents: DataFrame, out: str) -> None:
@@ -197,14 +202,14 @@ def read_index(spark: SparkSession, base: str) -> DataFrame | None:
     return _read_folders(spark, folders)
 
 
-def publish(df: DataFrame, name: str, out: str, by: list[str] | None = None) -> None:
+def publish(df: DataFrame, name: str, out: str, by: list[str] | None = None, compression: str | None = None) -> None:
     """Publish a dataset as JSON lines with sorted keys below ``out/name``.
 
-    ``by`` names the columns that split the dataset into folders.
+    ``by`` names the columns that split the dataset into folders, ``compression`` a codec such as ``gzip``.
     """
     by = by or []
     text = df.select(*by, F.to_json(_sorted_struct(df)).alias("value"))
-    writer = text.write.mode("overwrite")
+    writer = _compressed(text.write.mode("overwrite"), compression)
     (writer.partitionBy(*by) if by else writer).text(f"{out}/{name}")
 
 

@@ -471,3 +471,13 @@ def test_files_follow_bytes_not_rows(spark, tmp_path, monkeypatch, query, source
     found = {r[key]: r.digest for r in getattr(plans, query)(spark, str(tmp_path)).collect()}
     assert found == {str(i): hashlib.sha256(f"{t}\n".encode()).hexdigest() for i, t in enumerate(texts)}
     assert len(list(tmp_path.glob("*s/**/*.txt"))) == -(-len(texts) // plans.BUNDLE_ROWS)
+
+
+def test_written_json_can_be_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("macOS", f"1A{i}", "15.1") for i in range(50)], "product string, buildNumber string, osVersion string")
+    writers.publish(rows, "p", str(tmp_path), by=["product"], compression="gzip")
+    writers.write_releases(rows, str(tmp_path / "r"), compression="gzip")
+    assert not list(tmp_path.rglob("*.txt")) + list(tmp_path.rglob("*.json"))
+    for folder in ("p", "r"):
+        back = spark.read.schema("buildNumber string").json(str(tmp_path / folder))
+        assert sorted(r.buildNumber for r in back.collect()) == sorted(f"1A{i}" for i in range(50))
