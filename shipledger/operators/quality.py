@@ -49,34 +49,37 @@ def _unfold(read: DataFrame, found: Column) -> DataFrame:
     )
 
 
-def _parts(variant: Column, field: str) -> dict[str, Column]:
-    path = f"$.{field}"
-    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    return {
-        "kind": kind,
-        "text": F.when(kind == "STRING", F.try_variant_get(variant, path, "string")),
-        "number": F.when(kind.isin("BIGINT", "BOOLEAN"), F.try_variant_get(variant, path, "bigint")),
-    }
+def _fields(variant: Column, fields: list[str]) -> Column:
+    """Values of an object as a struct of variants, read in one pass; null for anything else. A missing field is null, a JSON null is not."""
+    return F.try_variant_get(variant, "$", "struct<" + ",".join(f"`{f}`:variant" for f in fields) + ">")
 
 
-def _read(variant: Column, field: str) -> Column:
-    """A JSON value below a variant with its type, as a struct.
+def _text(value: Column, kind: Column) -> Column:
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
 
-    ``kind`` is null when the field is missing and VOID for a JSON null; ``text`` and ``number``
-    are null for other types.
-    """
-    return F.struct(*[c.alias(name) for name, c in _parts(variant, field).items()])
+
+def _read(value: Column) -> Column:
+    """A JSON value as a struct: whether it is ``present``, and its ``text``, null for other types."""
+    return F.struct(value.isNotNull().alias("present"), _text(value, F.schema_of_variant(value)).alias("text"))
 
 
-def _columns(variant: Column, fields: list[str]) -> list[Column]:
-    """The parts of several values as plain columns, looked up once per row.
+def _columns(df: DataFrame, variant: str, fields: list[str]) -> DataFrame:
+    """``df`` with ``is_object`` and kind, text and number of several values below a variant as plain columns, looked up once per row.
 
-    Structs would not do: the optimizer inlines a struct that is only taken apart again, and
-    with it the look-up into every rule.
+    ``kind`` is null when the field is missing and VOID for a JSON null; ``text`` and ``number`` are null for other types.
+    Structs would not do: the optimizer inlines a struct that is only taken apart again, and with it the look-up into every rule.
     """
-    return [
-        c.alias(f"{f}_{name}") for f in fields for name, c in _parts(variant, f).items()
-    ]
+    values = df.withColumn("_values", _fields(F.col(variant), fields))
+    kinds = values.withColumn("is_object", F.col("_values").isNotNull()).withColumns(
+        {f"{f}_kind": F.schema_of_variant(F.col(f"_values.{f}")) for f in fields}
+    )
+
+    def number(f: str) -> Column:
+        return F.when(F.col(f"{f}_kind").isin("BIGINT", "BOOLEAN"), F.try_variant_get(F.col(f"_values.{f}"), "$", "bigint"))
+
+    return kinds.withColumns(
+        {f"{f}_text": _text(F.col(f"_values.{f}"), F.col(f"{f}_kind")) for f in fields} | {f"{f}_number": number(f) for f in fields}
+    ).drop("_values")
 
 
 class _Value:
@@ -94,25 +97,41 @@ class _Value:
         self.number = number
         self.flag = F.coalesce(self.is_bool & (number == 1), F.lit(False))
 
-    @classmethod
-    def of(cls, read: Column) -> _Value:
-        """From a struct of :func:`_read`."""
-        return cls(read["kind"], read["text"], read["number"])
-
     @classmethod
     def column(cls, field: str) -> _Value:
         """From the columns of :func:`_columns`."""
         return cls(F.col(f"{field}_kind"), F.col(f"{field}_text"), F.col(f"{field}_number"))
 
 
+def _given(read: Column) -> Column:
+    """The text of a struct of :func:`_read`; null unless it is a non-empty string."""
+    return F.nullif(read["text"], F.lit(""))
+
+
 def _list(variant: Column, field: str) -> Column:
     """The elements of an array; null for anything else."""
     return F.try_variant_get(variant, f"$.{field}", "array<variant>")
 
 
+def _date_columns(read: DataFrame) -> DataFrame:
+    """The release date, and whether its text has the form of one; rules read them several times."""
+    text = F.nullif("releaseDate_text", F.lit(""))
+    return read.withColumns({"release_day": F.try_to_date(text, "yyyy-MM-dd"), "release_form": text.rlike(fixed.DATE_FORM)})
+
+
+def _url_columns(read: DataFrame, field: str) -> DataFrame:
+    """Scheme and host of the link of a document, which rules read several times."""
+    url = F.nullif(f"{field}_text", F.lit(""))
+    return read.withColumns(
+        {
+            "url_scheme": F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))),
+            "url_host": F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))),
+        }
+    )
+
+
 def _date_checks(text: Column, field: str) -> list[Column]:
-    day = F.try_to_date(text, "yyyy-MM-dd")
-    form = text.rlike(fixed.DATE_FORM)
+    day, form = F.col("release_day"), F.col("release_form")
     return [
         _violation(~form, field, "date_format", detail=text),
         _violation(form & day.isNull(), field, "date_invalid", detail=text),
@@ -122,12 +141,11 @@ def _date_checks(text: Column, field: str) -> list[Column]:
 
 
 def _url_checks(url: _Value, field: str) -> list[Column]:
-    scheme = F.lower(F.try_parse_url(url.text, F.lit("PROTOCOL")))
-    host = F.lower(F.coalesce(F.try_parse_url(url.text, F.lit("HOST")), F.lit("")))
+    host = F.col("url_host")
     allowed = host == fixed.DOWNLOAD_HOST
     for suffix in fixed.DOWNLOAD_HOST_SUFFIXES:
         allowed = allowed | host.endswith(suffix)
-    secure = F.coalesce(scheme == "https", F.lit(False))
+    secure = F.coalesce(F.col("url_scheme") == "https", F.lit(False))
     return [
         _violation(url.text.isNull(), field, "empty"),
         _violation(url.text.isNotNull() & ~secure, field, "url_not_https", detail=url.text),
@@ -210,12 +228,11 @@ def _read_elements(elements: Column, fields: list[str], more=None) -> Column:
     """Objects of an array as structs of looked-up fields; null for other elements."""
 
     def one(element: Column) -> Column:
-        parts = [_read(element, f).alias(f) for f in fields]
+        parts = [_read(element[f]).alias(f) for f in fields]
         parts += [more(element).alias("more")] if more else []
-        is_object = F.try_variant_get(element, "$", "map<string,variant>").isNotNull()
-        return F.when(is_object, F.struct(*parts))
+        return F.when(element.isNotNull(), F.struct(*parts))
 
-    return F.transform(elements, one)
+    return F.transform(F.transform(elements, lambda element: _fields(element, fields)), one)
 
 
 def _each(elements: Column, name: str, required: list[str], checks) -> Column:
@@ -224,7 +241,7 @@ def _each(elements: Column, name: str, required: list[str], checks) -> Column:
     def one(element: Column, position: Column) -> Column:
         label = F.concat(F.lit(f"{name}["), position.cast("string"), F.lit("]"))
         absent = [
-            _violation(~_Value.of(element[f]).present, label, "missing_field", detail=F.lit(f))
+            _violation(~element[f]["present"], label, "missing_field", detail=F.lit(f))
             for f in required
         ]
         shape = _collect([_violation(F.lit(True), label, "not_object")])
@@ -243,15 +260,15 @@ def _component_checks(product: str) -> Column:
     sources = fixed.COMPONENT_SOURCES[product]
 
     def checks(element: Column, position: Column, label: Column) -> list[Column]:
-        name, source = _Value.of(element["name"]).text, _Value.of(element["source"]).text
+        name, source = _given(element["name"]), _given(element["source"])
         earlier = F.col("repeated") & (F.array_position("names", name) <= position)
         return [
             _violation(name.isNull(), label, "component_name"),
             _violation(name.isNotNull() & earlier, label, "component_duplicate", detail=name),
             _violation(
-                _Value.of(element["version"]).text.isNull(), label, "component_version", detail=name
+                _given(element["version"]).isNull(), label, "component_version", detail=name
             ),
-            _violation(_Value.of(element["path"]).text.isNull(), label, "component_path", detail=name),
+            _violation(_given(element["path"]).isNull(), label, "component_path", detail=name),
             _violation(
                 ~F.coalesce(source.isin(sources), F.lit(False)), label, "component_source", detail=source
             ),
@@ -264,7 +281,7 @@ def _component_checks(product: str) -> Column:
 
 
 def _kernel_devices(element: Column) -> Column:
-    devices = _list(element, "devices")
+    devices = F.try_variant_get(element["devices"], "$", "array<variant>")
     return F.struct(
         F.coalesce(F.size(devices), F.lit(0)).alias("count"),
         F.exists(devices, lambda d: F.schema_of_variant(d) != "STRING").alias("mixed"),
@@ -273,13 +290,13 @@ def _kernel_devices(element: Column) -> Column:
 
 def _kernel_checks() -> Column:
     def checks(element: Column, _: Column, label: Column) -> list[Column]:
-        none, chip = element["more"]["count"] <= 0, _Value.of(element["chip"]).text
+        none, chip = element["more"]["count"] <= 0, _given(element["chip"])
         exempt = (chip == fixed.NO_DEVICE_CHIP) | (
             (chip == fixed.NO_DEVICE_VM) & F.col("build").isin(fixed.NO_DEVICE_VM_BUILDS)
         )
         return [
             *[
-                _violation(_Value.of(element[f]).text.isNull(), label, "kernel_field", detail=F.lit(f))
+                _violation(_given(element[f]).isNull(), label, "kernel_field", detail=F.lit(f))
                 for f in ("arch", "chip", "file")
             ],
             _violation(none & ~F.coalesce(exempt, F.lit(False)), label, "no_devices", WARNING),
@@ -328,14 +345,12 @@ def judge_documents(documents: DataFrame, product: str) -> DataFrame:
     fields = [f for f in allowed if f not in lists]
     v = F.col("v")
     keys = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
-    read = documents.select(
-        "file_name",
-        "build",
-        "version",
+    looked = _url_columns(_date_columns(_columns(documents, "v", fields)), fixed.FILE_FIELDS[product][1])
+    read = looked.select(
+        *[c for c in looked.columns if c not in ("raw", "v", "is_object")],
         v.isNull().alias("invalid"),
         F.array_except(F.array(*[F.lit(f) for f in required]), keys).alias("missing"),
         F.array_except(keys, F.array(*[F.lit(f) for f in allowed])).alias("unexpected"),
-        *_columns(v, fields),
         _read_elements(_list(v, "components"), fixed.COMPONENT_REQUIRED).alias("components"),
         _read_elements(
             _list(v, "kernels"), [f for f in fixed.KERNEL_REQUIRED], _kernel_devices
@@ -527,12 +542,7 @@ def validate_index(
     parity = fixed.PARITY_FIELDS[product]
     v = F.col("v")
     fields = list(dict.fromkeys([*required, *parity]))
-    parsed = entries.withColumn("v", F.try_parse_json("raw")).select(
-        "pos",
-        "v",
-        F.try_variant_get(v, "$", "map<string,variant>").isNotNull().alias("is_object"),
-        *_columns(v, fields),
-    )
+    parsed = _date_columns(_columns(entries.select("pos", F.try_parse_json("raw").alias("v")), "v", fields))
     value = {f: _Value.column(f) for f in fields}
     parsed = parsed.withColumn(
         "missing",

@@ -481,3 +481,9 @@ def test_written_json_can_be_compressed(spark, tmp_path):
     for folder in ("p", "r"):
         back = spark.read.schema("buildNumber string").json(str(tmp_path / folder))
         assert sorted(r.buildNumber for r in back.collect()) == sorted(f"1A{i}" for i in range(50))
+
+
+def test_judging_looks_into_a_document_once(spark):
+    documents = spark.createDataFrame([("macOS-15.1-24B83.json", json.dumps(document()))], "file_name string, raw string")
+    plan = Q.judge_documents(Q.catalog_documents(documents, "macOS"), "macOS")._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.osVersion" not in plan
