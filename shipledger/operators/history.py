@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.functions.labels import component_slug, display_name, release_slug
-from shipledger.functions.versions import version_key, with_direction
+from shipledger.functions.versions import direction_of_keys, version_key
 from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import order_by_key
-from shipledger.operators.succession import with_next
+from shipledger.operators.succession import with_next_in_groups
 from shipledger.session import settle
 
 
@@ -96,13 +96,12 @@ def history_direction(history: DataFrame) -> DataFrame:
     ``added``. Versions without a number sort below all others."""
     keyed = history.withColumn("_key", version_key("version"))
     order = [F.col("_key").desc_nulls_last(), F.col("min_pos").asc(), F.col("version").asc()]
-    lower = with_next(keyed, ["product", "slug"], order, ["version"], into="lower")
-    directed = with_direction(
-        lower.withColumn("_lower", F.col("lower.version")), "_lower", "version", "direction"
-    )
-    return directed.select(
+    lower = with_next_in_groups(keyed, ["product", "slug"], order, ["version", "_key"], into="lower")
+    # The keys travel with the rows, so each is computed once.
+    direction = direction_of_keys(F.col("lower._key"), F.col("_key"))
+    return lower.select(
         *history.columns,
-        F.when(F.col("_lower").isNull(), "added").otherwise(F.col("direction")).alias("direction"),
+        F.when(F.col("lower.version").isNull(), "added").otherwise(direction).alias("direction"),
     )
 
 

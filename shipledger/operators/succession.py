@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from shipledger.session import settle
 
+#: Rows of a group up to which one task sorts it whole; larger groups are sliced.
+GROUP_ROWS = 1_000_000
+
 
 def with_next(
     df: DataFrame,
@@ -56,3 +59,30 @@ def with_next(
         )
         .drop("_slice", "_at", "_following")
     )
+
+
+def with_next_in_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    payload: list[str],
+    into: str = "next",
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """As :func:`with_next`, for many groups of which few or none are large.
+
+    Groups are counted first. A window takes all groups of up to ``group_rows`` rows; only larger ones
+    go through range slices, which sample, sort and shuffle their rows once more.
+    """
+    placed = settle(df)
+    large = placed.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > group_rows)
+    large = settle(large.select(*keys))
+    # Sorting compares a number first; texts are read only inside a group.
+    group = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
+    row = F.struct(*[F.col(p) for p in payload])
+    if large.isEmpty():
+        return placed.withColumn(into, F.lead(row).over(group))
+    # There are at most rows / group_rows large groups. A null key joins none of them and stays with the small ones.
+    small = placed.join(F.broadcast(large), keys, "left_anti").withColumn(into, F.lead(row).over(group))
+    sliced = with_next(placed.join(F.broadcast(large), keys, "left_semi"), keys, order, payload, into)
+    return small.unionByName(sliced)

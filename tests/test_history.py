@@ -2,6 +2,8 @@
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from shipledger.operators import history as H
 
 RELEASES = "product string, os_version string, build_number string, release_name string, release_date date, is_beta boolean, beta_number int, beta_revision int, is_rc boolean, rc_number int, pos bigint"
@@ -56,3 +58,13 @@ def test_sdk_history(spark):
     }
     assert [r.sdk_version for r in H.sdk_versions(sdks).collect()] == ["15.1", "15.0"]
     assert H.dedupe_sdks(sdks).where("build_number = 'c'").collect()[1].build_version is None
+
+
+def test_direction_shuffles_a_history_once(spark):
+    rows = [("macOS", f"s{i % 50}", f"1.{i}", i) for i in range(1000)]
+    history = spark.createDataFrame(rows, "product string, slug string, version string, min_pos int")
+    directed = H.history_direction(history)
+    plan = directed._jdf.queryExecution().executedPlan().toString()
+    # One shuffle brings a slug together, and no version key is computed again for its direction.
+    assert plan.count("Exchange") == 1 and "regexp" not in plan
+    assert sorted(r.n for r in directed.groupBy("direction").agg(F.count("*").alias("n")).collect()) == [50, 950]
