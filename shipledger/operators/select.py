@@ -16,6 +16,7 @@ from shipledger.functions.versions import (
 )
 from shipledger.operators.dimension import join_dimension
 from shipledger.operators.found import order_by_key
+from shipledger.session import settle
 
 
 def list_releases(releases: DataFrame, major_version: int | None = None) -> DataFrame:
@@ -124,15 +125,17 @@ def resolve_specs(specs: DataFrame, releases: DataFrame) -> DataFrame:
     )
 
 
-GRAM = 3
+#: Letters of a term by which names are found at once.
+PIECE = 16
 
 
-def _grams(text: Column, sizes: Column) -> Column:
+def _grams(text: Column, sizes: list[int]) -> Column:
     """All distinct substrings of the given sizes."""
+    fitting = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda size: size <= F.length(text))
     return F.array_distinct(
         F.flatten(
             F.transform(
-                sizes,
+                fitting,
                 lambda size: F.transform(
                     F.sequence(F.lit(1), F.length(text) - size + 1),
                     lambda start: F.substr(text, start, size),
@@ -145,32 +148,21 @@ def _grams(text: Column, sizes: Column) -> Column:
 def _containing_names(terms: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (term, lname) where the name contains the term, without comparing all pairs.
 
-    A name that contains a term contains each piece of it. Both sides meet on the piece of
-    the term that the fewest names have, then the pair is verified. Terms shorter than a
-    piece are a piece of their own. Only pieces that some term has are counted and joined.
+    A term of up to ``PIECE`` letters meets a name on a substring equal to it, so only pairs of the
+    result meet. A longer term meets names on that one of its pieces of this size that the fewest
+    names have, then the pair is verified. Names are cut into sizes that some term has, no others.
     """
-    length = F.length("lname")
-    pieces = names.select(
-        "lname",
-        F.explode(
-            F.concat(
-                F.array(F.lit("")),
-                _grams(
-                    F.col("lname"),
-                    F.when(length >= 1, F.sequence(F.lit(1), F.least(F.lit(GRAM), length)))
-                    .otherwise(F.array().cast("array<int>")),
-                ),
-            )
-        ).alias("gram"),
-    )
-    size = F.least(F.lit(GRAM), F.length("term"))
-    wanted = terms.select(
-        "term",
-        F.explode(
-            F.when(F.length("term") == 0, F.array(F.lit("")))
-            .otherwise(_grams(F.col("term"), F.array(size)))
-        ).alias("gram"),
-    )
+    length = F.length("term")
+    # At most PIECE + 2 numbers.
+    lengths = terms.where(length.isNotNull()).select(F.least(length, F.lit(PIECE + 1)).alias("n")).distinct().collect()
+    sizes = sorted({min(r["n"], PIECE) for r in lengths})
+    pieces = names.select("lname", F.explode(_grams(F.col("lname"), sizes or [0])).alias("gram"))
+    short = terms.where(length <= PIECE).select("term", F.col("term").alias("gram"))
+    pairs = join_dimension(pieces, short, ["gram"]).select("term", "lname")
+    if all(r["n"] <= PIECE for r in lengths):
+        return pairs
+    wanted = terms.where(length > PIECE).select("term", F.explode(_grams(F.col("term"), [PIECE])).alias("gram"))
+    pieces = names.select("lname", F.explode(_grams(F.col("lname"), [PIECE])).alias("gram"))
     pieces = join_dimension(pieces, wanted.select("gram").distinct(), ["gram"])
     frequency = pieces.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
@@ -178,7 +170,7 @@ def _containing_names(terms: DataFrame, names: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     )
-    return (
+    return pairs.unionByName(
         join_dimension(pieces, rarest, ["gram"])
         .where(F.contains(F.col("lname"), F.col("term")))
         .select("term", "lname")
@@ -194,32 +186,33 @@ def lookup_components(requests: DataFrame, components: DataFrame) -> DataFrame:
     """
     release = ["product", "build_number"]
     details = ["ord", "name", "version", "path", "source"]
-    asked = requests.select(*release, "request").distinct().select(
-        *release,
-        "request",
-        F.lower("request").alias("term"),
-        strip_parenthetical(F.lower("request")).alias("bare"),
-    )
-
-    def tiers(exact: Column, bare: Column) -> Column:
-        return F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("tier"), exact.alias("key")),
-                F.struct(F.lit(2).alias("tier"), bare.alias("key")),
-            )
-        ).alias("t")
-
-    targets = (
-        asked.select(*release, tiers(F.col("term"), F.col("bare")))
-        .select(*release, "t.tier", "t.key")
-        .distinct()
+    asked = settle(
+        requests.select(*release, "request").distinct().select(
+            *release,
+            "request",
+            F.lower("request").alias("term"),
+            strip_parenthetical(F.lower("request")).alias("bare"),
+        )
     )
+    # Only releases that are asked for are searched; their components are read once.
     lname = F.lower("name")
-    keyed = components.select(
-        *release, *details, tiers(lname, strip_parenthetical(lname))
-    ).select(*release, "t.tier", "t.key", *details)
-    found = (
-        join_dimension(keyed, targets, [*release, "tier", "key"])
+    searched = settle(
+        join_dimension(
+            components.select(*release, *details), asked.select(*release).distinct(), release
+        ).select(*release, *details, lname.alias("lname"), strip_parenthetical(lname).alias("lbare"))
+    )
+
+    keys = F.explode(F.array("term", "bare")).alias("key")
+    targets = asked.select(*release, keys).distinct()
+    tiers = F.explode(
+        F.array(
+            F.struct(F.lit(1).alias("tier"), F.col("lname").alias("key")),
+            F.struct(F.lit(2).alias("tier"), F.col("lbare").alias("key")),
+        )
+    ).alias("t")
+    keyed = searched.select(*release, *details, tiers).select(*release, "t.tier", "t.key", *details)
+    found = settle(
+        join_dimension(keyed, targets, [*release, "key"])
         .groupBy(*release, "tier", "key")
         .agg(F.min_by(F.struct(*details), "ord").alias("hit"))
     )
@@ -229,8 +222,10 @@ def lookup_components(requests: DataFrame, components: DataFrame) -> DataFrame:
             *release, F.col("key").alias(key), F.col("hit").alias(f"hit{number}")
         )
 
-    placed = asked.join(tier(1, "term"), [*release, "term"], "left").join(
-        tier(2, "bare"), [*release, "bare"], "left"
+    placed = settle(
+        asked.join(tier(1, "term"), [*release, "term"], "left").join(
+            tier(2, "bare"), [*release, "bare"], "left"
+        )
     )
     hit = F.coalesce("hit1", "hit2")
     single = placed.where(hit.isNotNull()).select(
@@ -242,12 +237,10 @@ def lookup_components(requests: DataFrame, components: DataFrame) -> DataFrame:
 
     open_requests = placed.where(hit.isNull()).select(*release, "request", "term")
     pairs = _containing_names(
-        open_requests.select("term").distinct(),
-        components.select(lname.alias("lname")).distinct(),
+        open_requests.select("term").distinct(), searched.select("lname").distinct()
     )
     several = (
-        components.select(*release, *details, lname.alias("lname"))
-        .join(open_requests.join(pairs, "term"), [*release, "lname"])
+        searched.join(open_requests.join(pairs, "term"), [*release, "lname"])
         .select(*release, "request", F.lit(3).alias("tier"), *details)
     )
     return single.unionByName(several)

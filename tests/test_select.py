@@ -106,3 +106,37 @@ def test_projection_order(spark):
     rows = [("macOS", "b", n, "1", "/p", "sdk") for n in ["b", "curl", "A", "B", "Ruby", "a"]]
     df = spark.createDataFrame(rows, "product string, build_number string, name string, version string, path string, source string")
     assert [r.name for r in S.component_projection(df).collect()] == ["a", "A", "b", "B", "curl", "Ruby"]
+
+
+def test_lookup_reads_components_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        read.add(1)
+        return name
+
+    # Other releases than those asked for are read too, but no component twice.
+    rows = [("macOS", f"b{i % 4}", i, f"lib{i}", "1", f"/{i}", "filesystem") for i in range(200)]
+    components = spark.createDataFrame(rows, "product string, build_number string, ord int, name string, version string, path string, source string")
+    requests = spark.createDataFrame([("macOS", "b1", a) for a in ("LIB1", "lib5 (x)", "b19", "none")], "product string, build_number string, request string")
+    out = S.lookup_components(requests, components.withColumn("name", counted("name"))).collect()
+    assert sorted((r.request, r.tier, r.name) for r in out) == sorted(
+        [("LIB1", 1, "lib1"), ("lib5 (x)", 2, "lib5"), *(("b19", 3, f"lib{i}") for i in (193, 197))]
+    )
+    assert read.value <= len(rows)
+
+
+def test_containing_names_meet_only_in_results(spark):
+    words = ["", "a", "ab", "part-12", "part-12 (compat)", "com.example.framework.one", "com.example.framework.two", "Ünïcode", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    names = words + [f"part-{i}" for i in range(300)]
+    terms = words + [None, "t-1", "t-12", "rt-29", "zzz", "example.framework.t", "example.framework.zz", "aaaaaaaaaaaaaaaaa"]
+    frame = lambda of, column: spark.createDataFrame([(x,) for x in of], f"{column} string")
+    want = {(t, n) for t in terms if t is not None for n in names if t in n}
+    for some in (terms, [t for t in terms if t is None or len(t) <= S.PIECE], ["x" * 30], []):
+        out = S._containing_names(frame(some, "term").distinct(), frame(names, "lname").distinct())
+        got = [(r.term, r.lname) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if p[0] in some}
+    # Short terms need no check after they met, however many names share their letters.
+    plan = S._containing_names(frame(["t-1", "t-12"], "term"), frame(names, "lname"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan
