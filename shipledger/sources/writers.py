@@ -63,6 +63,8 @@ def _paths(spark: SparkSession, base: str):
 
 #: Index entries that a range of the index holds, about.
 RANGE_ROWS = 500_000
+#: Ranges of an index, about. Beyond, ranges hold more rows, so that folders, manifest and what the driver lists of them stay bounded.
+MAX_RANGES = 1_000
 KEY = ["product", "build_number"]
 _MANIFEST = "folder string, low struct<product:string,build_number:string>, high struct<product:string,build_number:string>, rows long"
 
@@ -115,17 +117,23 @@ def _finish(manifest: DataFrame, base: str, version: str) -> str:
     return version
 
 
+def _rows_of_range(total: int, range_rows: int) -> int:
+    """Rows of a range in an index of ``total`` rows."""
+    return max(range_rows, -(-total // MAX_RANGES))
+
+
 def write_index(index: DataFrame, base: str, range_rows: int = RANGE_ROWS) -> str:
     """Write a new version of the whole index below ``base`` and make it current.
 
-    Entries are range-partitioned by product and build into folders of about ``range_rows``, which a manifest lists with
-    their least and greatest key. Everything is written completely before the pointer file
+    Entries are range-partitioned by product and build into folders of about ``range_rows`` (more, if these were above
+    ``MAX_RANGES`` folders), which a manifest lists with their least and greatest key. Everything is written completely before the pointer file
     ``CURRENT`` is replaced by a rename, so readers see the old or the new index, never a
     part. The version before stays for its readers. The store must rename atomically. :func:`merge_index` writes changes.
     """
     version = uuid.uuid4().hex
-    count = max(1, -(-index.count() // range_rows))
-    sliced = index.repartitionByRange(count, *KEY).sortWithinPartitions(*KEY).withColumn("_range", F.spark_partition_id())
+    total = index.count()
+    count = max(1, -(-total // _rows_of_range(total, range_rows)))
+    sliced = index.repartitionByRange(count, *KEY).withColumn("_range", F.spark_partition_id()).sortWithinPartitions("_range", *KEY)
     return _finish(_write_ranges(sliced, base, version), base, version)
 
 
@@ -133,19 +141,15 @@ def merge_index(new: DataFrame, base: str, range_rows: int = RANGE_ROWS) -> str:
     """Entries of ``new`` (one per build) replace those of the same product and build in the index below ``base``.
 
     Only ranges that a new key belongs to are read and written again; the folders of all others stay as they are and the new manifest names
-    them. A range that has grown above twice ``range_rows`` is split. Without an index, or for more rows than half of it, the index is
-    written as a whole. ``new`` may lack columns of the index, and have others.
+    them. A range that has grown above twice ``range_rows`` (or what :func:`write_index` takes instead) is split. Without an index, for
+    more rows than half of it, or when it has come to twice ``MAX_RANGES`` ranges, the index is written as a whole. ``new`` may lack columns of the index, and have others.
     """
     spark = new.sparkSession
     version = current_version(spark, base)
     if version is None:
         return write_index(new, base, range_rows)
     manifest = settle(spark.read.schema(_MANIFEST).parquet(f"{base}/m-{version}"))
-    new = settle(new)
-    total, added = manifest.agg(F.sum("rows")).first()[0] or 0, new.count()
-    if 2 * added > total:
-        old = read_index(spark, base).join(new.select(*KEY).distinct(), KEY, "left_anti")
-        return write_index(old.unionByName(new, allowMissingColumns=True), base, range_rows)
+    total = manifest.agg(F.sum("rows")).first()[0] or 0
     # One row per range; a key belongs to the last range that starts at or before it, keys before all ranges to the first.
     lows = [(r["low"]["product"] or "", r["low"]["build_number"] or "") for r in manifest.orderBy("low").select("low").collect()]
     shared = spark.sparkContext.broadcast(lows)
@@ -156,17 +160,36 @@ def merge_index(new: DataFrame, base: str, range_rows: int = RANGE_ROWS) -> str:
         return pd.Series([max(0, bisect_right(shared.value, key) - 1) for key in keys], dtype="int32")
 
     placed = settle(new.withColumn("_range", range_of(*KEY)))
+    new, added = placed.drop("_range"), placed.count()
+    if 2 * added > total or len(lows) > 2 * MAX_RANGES:
+        old = read_index(spark, base).join(new.select(*KEY).distinct(), KEY, "left_anti")
+        return write_index(old.unionByName(new, allowMissingColumns=True), base, range_rows)
+    range_rows = _rows_of_range(total + added, range_rows)
     ordered = manifest.withColumn("_range", F.row_number().over(Window.orderBy("low")) - 1)
-    touched = settle(ordered.join(placed.select("_range").distinct(), "_range"))
+    touched = settle(ordered.join(placed.groupBy("_range").agg(F.count("*").alias("_added")), "_range"))
     folders = [f"{base}/{r['folder']}" for r in touched.select("folder").collect()]
-    old = _read_folders(spark, folders)
-    old = old.join(new.select(*KEY).distinct(), KEY, "left_anti").withColumn("_range", range_of(*KEY))
+    # The folder of an old row tells its range.
+    name = F.regexp_extract("_metadata.file_path", "(v-[^/]+/_range=[^/]+)/[^/]+$", 1)
+    named = F.broadcast(touched.select(F.col("folder").alias("_folder"), "_range"))
+    old = _read_folders(spark, folders).withColumn("_folder", name).join(named, "_folder").drop("_folder")
+    old = old.join(new.select(*KEY), KEY, "left_anti")
     rows = old.unionByName(placed, allowMissingColumns=True)
-    sizes = rows.groupBy("_range").agg(F.ceil(F.count("*") / range_rows).alias("_parts"), F.count("*").alias("_rows"))
-    sizes = sizes.withColumn("_parts", F.when(F.col("_rows") > 2 * range_rows, F.col("_parts")).otherwise(1))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*KEY)) - 1
-    part = F.floor(place * F.col("_parts") / F.col("_rows"))
-    cut = rows.join(F.broadcast(sizes), "_range").withColumn("_range", F.concat_ws("-", "_range", part)).drop("_parts", "_rows")
+    # Only ranges that the new rows may have made too large are counted.
+    large = touched.where(F.col("rows") + F.col("_added") > 2 * range_rows).select("_range")
+    grown = None
+    if not large.isEmpty():
+        counts = rows.join(F.broadcast(large), "_range", "left_semi").groupBy("_range").agg(F.count("*").alias("_rows"))
+        sizes = counts.withColumn("_parts", F.ceil(F.col("_rows") / range_rows))
+        grown = settle(sizes.where(F.col("_rows") > 2 * range_rows))
+    if grown is None or grown.isEmpty():
+        cut = rows.withColumn("_range", F.concat_ws("-", "_range", F.lit(0)))
+    else:
+        # Only rows of grown ranges are numbered.
+        place = F.row_number().over(Window.partitionBy("_range").orderBy(*KEY)) - 1
+        part = F.floor(place * F.col("_parts") / F.col("_rows"))
+        split = rows.join(F.broadcast(grown), "_range").withColumn("_range", F.concat_ws("-", "_range", part)).drop("_parts", "_rows")
+        whole = rows.join(F.broadcast(grown), "_range", "left_anti").withColumn("_range", F.concat_ws("-", "_range", F.lit(0)))
+        cut = whole.unionByName(split)
     changed = uuid.uuid4().hex
     fresh = _write_ranges(cut.repartition("_range").sortWithinPartitions("_range", *KEY), base, changed)
     kept = manifest.join(touched.select("folder"), "folder", "left_anti")

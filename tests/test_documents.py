@@ -487,3 +487,23 @@ def test_judging_looks_into_a_document_once(spark):
     documents = spark.createDataFrame([("macOS-15.1-24B83.json", json.dumps(document()))], "file_name string, raw string")
     plan = Q.judge_documents(Q.catalog_documents(documents, "macOS"), "macOS")._jdf.queryExecution().optimizedPlan().toString()
     assert "$.osVersion" not in plan
+
+
+def test_ranges_stay_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "MAX_RANGES", 4)
+    base = str(tmp_path / "index")
+    rows = {f"24B{i:03d}": f"name {i}" for i in range(100)}
+    index = lambda of: flat(spark, [("15.1", build, name) for build, name in of.items()])
+    writers.write_index(index(rows), base, range_rows=2)
+    assert len(ranges(spark, base)) == 4
+    # Builds that only arrive at the end split the last range, until the whole is written anew.
+    counts = []
+    for batch in range(3):
+        more = {f"25{batch}{i:03d}": "m" for i in range(12 * (batch + 1) + 28)} | {"24B031": f"new {batch}"}
+        rows |= more
+        writers.merge_index(index(more), base, range_rows=2)
+        found = ranges(spark, base)
+        counts.append(len(found))
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:])) and sum(r[2] for r in found) == len(rows)
+    assert max(counts) <= 3 * 4
+    assert {r.build_number: r.release_name for r in writers.read_index(spark, base).collect()} == rows
